@@ -189,7 +189,7 @@ class Utf8Stream:
                     if not self.need:
                         out.append(chr(self.point))
                     continue
-                out.append("�")
+                out.append("\ufffd")
                 self.need, self.low, self.high = 0, 0x80, 0xBF
             if b < 0x80:
                 out.append(chr(b))
@@ -202,12 +202,12 @@ class Utf8Stream:
                 self.need, self.point = 3, b & 0x07
                 self.low, self.high = (0x90 if b == 0xF0 else 0x80), (0x8F if b == 0xF4 else 0xBF)
             else:
-                out.append("�")
+                out.append("\ufffd")
         return "".join(out)
 
     def close(self) -> str:
         left, self.need = self.need, 0
-        return "�" if left else ""
+        return "\ufffd" if left else ""
 
 
 def decode(ids, bytes_of: dict[int, bytes]) -> str:

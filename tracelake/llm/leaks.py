@@ -19,7 +19,7 @@ from tracelake.core import spread
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|mark|q|s|small|span|strong|sub|sup|tt|u)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]*>")
 _TARGET = re.compile(r"\]\([^()\s]*\)")
-_UNSEEN = re.compile("[­​-‏⁠﻿]")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _SIGN = re.compile(r"[^\w\s]+|_+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 

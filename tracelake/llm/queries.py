@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.core import table
-from tracelake.llm import encode, leaks, survivors
+from tracelake.llm import broken, encode, leaks, pairs, survivors
 
 
 def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,6 +28,29 @@ def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.discover_truth(said)[1].select("source", F.round("reliability", 6).alias("reliability"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken.invalid_files(table(spark, sf_dir, "source_files"))
+
+
+def p4_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All errors of each invalid file, first cause included."""
+    return broken.parse_files(table(spark, sf_dir, "source_files")).where("n_errors > 0").select("file_id", "language", "n_errors", "first_line", "first_error")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken.acceptance(table(spark, sf_dir, "source_files"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.documented_functions(table(spark, sf_dir, "source_files")).select("file_id", "qualified_name", "start_line").distinct()
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function, documentation, and the comment right above it, if there is one."""
+    files = table(spark, sf_dir, "source_files")
+    return pairs.documented_functions(files).join(pairs.leading_comments(files), ["file_id", "name", "start_line"], "left")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents"), encode.tokenizer_body())
 
@@ -50,7 +73,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_truth, p3_reliability, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_truth, p3_reliability, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean)}
 
 SQL = {
     "p3_found": """
