@@ -62,3 +62,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = cores(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= n else df.repartition(2 * n, *keys)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by ``keys``, enough for all cores and as many as the session's shuffles have.
+
+    Groups, windows and Python stages on these keys that follow need no further exchange.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = "doc_id bigint, entity string, pre int, post int, pos int, value string"
-_SPACE = " \t\r\n﻿"
+_SPACE = " \t\r\n\ufeff"
 
 
 class _Number(str):
