@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.core import table
-from tracelake.llm import broken, encode, leaks, pairs, survivors
+from tracelake.llm import broken, encode, leaks, pairs, spam, survivors
 
 
 def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,7 +73,16 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_truth, p3_reliability, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.find_spam(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, robust distance and spam share of every document with words."""
+    return spam.score(spam.cut(spam.feature_table(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_truth, p3_reliability, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean, p10_found, p10_scores)}
 
 SQL = {
     "p3_found": """
