@@ -6,13 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.core import table
-from tracelake.llm import broken, encode, leaks, pairs, spam, survivors
+from tracelake.llm import broken, encode, leaks, pairs, secrets, spam, survivors
 
 
 def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(table(spark, sf_dir, t) for t in ("duplicate_groups", "raw_findings", "scanner_trust"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, sf_dir, "source_files")).select("file_id", "line").distinct()
+
+
+def p2_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials by rule, with whether a scanner reported them."""
+    found = secrets.find_credentials(table(spark, sf_dir, "source_files"))
+    told = secrets.reported_state(found, table(spark, sf_dir, "raw_findings"))
+    return told.select("file_id", "line", "rule", "reported").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted_files(table(spark, sf_dir, "source_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(*_three(spark, sf_dir))
 
@@ -82,7 +97,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.score(spam.cut(spam.feature_table(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_truth, p3_reliability, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reported, p2_redacted, p3_found, p3_truth, p3_reliability, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean, p10_found, p10_scores)}
 
 SQL = {
     "p3_found": """
