@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.plans import records
+from tracelake.plans import graph_queries, records
 
-MODULES = (records,)
+MODULES = (graph_queries, records)
 
 
 def queries() -> dict:

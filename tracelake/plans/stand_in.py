@@ -1,0 +1,131 @@
+"""A code graph over the star-schema tables: parts are definitions, brands files, successive parts of an order calls.
+
+Each function here has its twin in ``CTE``, so that queries over the graph can be checked against SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracelake.core import table
+
+ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    defs = part.select(
+        F.col("p_partkey").cast("string").alias("node_id"),
+        F.when(F.col("p_size") % 10 == 0, "class").otherwise("function").alias("kind"),
+        F.col("p_name").alias("qualified_name"),
+        F.col("p_brand").alias("file_path"),
+        F.col("p_size").alias("start_line"),
+        (F.col("p_size") + F.col("p_partkey") % 20).cast("int").alias("end_line"),
+        F.col("p_partkey").alias("ordinal"),
+    )
+    files = part.select("p_brand").distinct().select(
+        F.col("p_brand").alias("node_id"),
+        F.lit("file").alias("kind"),
+        F.col("p_brand").alias("qualified_name"),
+        F.col("p_brand").alias("file_path"),
+        F.lit(1).alias("start_line"),
+        F.lit(100).alias("end_line"),
+        F.lit(0).cast("bigint").alias("ordinal"),
+    )
+    return defs.unionByName(files)
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag of call edges ``(src_id, dst_id, kind, resolved, ordinal)``."""
+    w = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *ITEM_ORDER)
+    return (
+        items.withColumn("dst", F.lead("l_partkey").over(w))
+        .where(F.col("dst").isNotNull() & (F.col("dst") != F.col("l_partkey")) & (F.col("l_quantity") <= 2))
+        .select(
+            F.col("l_partkey").cast("string").alias("src_id"),
+            F.col("dst").cast("string").alias("dst_id"),
+            F.lit("calls").alias("kind"),
+            (F.col("l_returnflag") != "R").alias("resolved"),
+            F.col("l_orderkey").alias("ordinal"),
+        )
+    )
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    defines = part.select(
+        F.col("p_brand").alias("src_id"), F.col("p_partkey").cast("string").alias("dst_id"), F.lit("defines").alias("kind"), F.lit(True).alias("resolved"), F.col("p_partkey").alias("ordinal")
+    )
+    return calls(spark, sf_dir).unionByName(defines)
+
+
+def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").where("p_size <= 7")
+    return part.select(F.col("p_partkey").cast("string").alias("node_id"), F.lit("http_route").alias("kind"), F.when(F.col("p_size") <= 5, "untrusted").otherwise("internal").alias("trust"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_discount >= 0.09")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*ITEM_ORDER[1:])
+    source = F.when(F.col("l_returnflag") == "A", "bandit").when(F.col("l_returnflag") == "N", "semgrep").otherwise("gitleaks")
+    raw = F.when(F.col("l_tax") >= 0.07, "CRITICAL").when(F.col("l_tax") >= 0.05, "HIGH").when(F.col("l_tax") >= 0.02, "MEDIUM").otherwise("LOW")
+    return items.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", F.row_number().over(w)).alias("finding_id"),
+        F.col("l_partkey").cast("string").alias("node_id"),
+        source.alias("source"),
+        F.concat(F.lit("R"), F.col("l_suppkey") % 50).alias("rule_id"),
+        F.concat(F.lit("CWE-"), F.col("l_suppkey") % 7 + 1).alias("cwe"),
+        F.col("l_linenumber").alias("line"),
+        raw.alias("raw_severity"),
+        F.col("l_orderkey").alias("ordinal"),
+    )
+
+
+_ITEMS = ", ".join(ITEM_ORDER)
+#: The same in DuckDB.
+CTE = f"""
+nodes AS (SELECT CAST(p_partkey AS VARCHAR) AS node_id, CASE WHEN p_size % 10 = 0 THEN 'class' ELSE 'function' END AS kind, p_name AS qualified_name,
+    p_brand AS file_path, p_size AS start_line, CAST(p_size + p_partkey % 20 AS INTEGER) AS end_line, p_partkey AS ordinal FROM part
+  UNION ALL SELECT DISTINCT p_brand, 'file', p_brand, p_brand, 1, 100, CAST(0 AS BIGINT) FROM part),
+calls AS MATERIALIZED (SELECT CAST(l_partkey AS VARCHAR) AS src_id, CAST(dst AS VARCHAR) AS dst_id, 'calls' AS kind, l_returnflag <> 'R' AS resolved, l_orderkey AS ordinal
+  FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ITEMS}) AS dst FROM lineitem)
+  WHERE dst IS NOT NULL AND dst <> l_partkey AND l_quantity <= 2),
+edges AS MATERIALIZED (SELECT * FROM calls UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), 'defines', TRUE, p_partkey FROM part),
+graph AS MATERIALIZED (SELECT src_id, dst_id, bool_or(resolved) AS resolved FROM edges GROUP BY 1, 2),
+entry_points AS (SELECT CAST(p_partkey AS VARCHAR) AS node_id, 'http_route' AS kind, CASE WHEN p_size <= 5 THEN 'untrusted' ELSE 'internal' END AS trust FROM part WHERE p_size <= 7),
+untrusted AS MATERIALIZED (SELECT node_id FROM entry_points WHERE trust = 'untrusted'),
+findings AS MATERIALIZED (SELECT concat_ws('-', l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {", ".join(ITEM_ORDER[1:])})) AS finding_id,
+    CAST(l_partkey AS VARCHAR) AS node_id, CASE l_returnflag WHEN 'A' THEN 'bandit' WHEN 'N' THEN 'semgrep' ELSE 'gitleaks' END AS source,
+    'R' || CAST(l_suppkey % 50 AS VARCHAR) AS rule_id, 'CWE-' || CAST(l_suppkey % 7 + 1 AS VARCHAR) AS cwe, l_linenumber AS line,
+    CASE WHEN l_tax >= 0.07 THEN 'CRITICAL' WHEN l_tax >= 0.05 THEN 'HIGH' WHEN l_tax >= 0.02 THEN 'MEDIUM' ELSE 'LOW' END AS raw_severity, l_orderkey AS ordinal
+  FROM lineitem WHERE l_discount >= 0.09)"""
+
+
+def _search(name: str, where: str) -> str:
+    """Recursive CTEs ``<name>_depth(node, depth)`` and ``<name>(node, depth, path)`` of least shortest paths."""
+    return f"""
+{name}_walk AS (SELECT node_id AS node, 0 AS depth FROM untrusted
+  UNION SELECT g.dst_id, w.depth + 1 FROM {name}_walk w JOIN graph g ON g.src_id = w.node WHERE {where} AND w.depth < 60),
+{name}_depth AS MATERIALIZED (SELECT node, min(depth) AS depth FROM {name}_walk GROUP BY 1),
+{name}_step AS MATERIALIZED (SELECT a.node AS src, b.node AS dst, b.depth FROM graph g JOIN {name}_depth a ON a.node = g.src_id JOIN {name}_depth b ON b.node = g.dst_id AND b.depth = a.depth + 1 WHERE {where}),
+{name} AS (SELECT node, 0 AS depth, node AS path FROM {name}_depth WHERE depth = 0
+  UNION ALL SELECT s.dst, s.depth, min(p.path || ' > ' || s.dst) FROM {name} p JOIN {name}_step s ON s.src = p.node AND s.depth = p.depth + 1 GROUP BY 1, 2)"""
+
+
+GOOD = _search("good", "g.resolved")
+FAR = _search("far", "TRUE")
+PAIRS = """
+pairs AS (SELECT node_id AS seed, node_id AS node FROM untrusted UNION SELECT p.seed, g.dst_id FROM pairs p JOIN graph g ON g.src_id = p.node),
+blast AS MATERIALIZED (SELECT node, count(*) AS n FROM pairs GROUP BY 1)"""
+EVIDENCE = """
+evidence AS MATERIALIZED (SELECT f.finding_id,
+    CASE WHEN u.node_id IS NOT NULL THEN 'reachable' WHEN g.node IS NOT NULL THEN 'reachable' WHEN r.node IS NOT NULL THEN 'unknown' ELSE 'unreachable' END AS reachable,
+    CASE WHEN u.node_id IS NOT NULL THEN f.node_id ELSE coalesce(g.path, r.path, '') END AS path,
+    CASE WHEN u.node_id IS NOT NULL THEN 1 ELSE coalesce(b.n, 0) END AS blast_radius
+  FROM findings f LEFT JOIN untrusted u ON u.node_id = f.node_id LEFT JOIN good g ON g.node = f.node_id LEFT JOIN far r ON r.node = f.node_id LEFT JOIN blast b ON b.node = f.node_id)"""
+
+
+def sql(select: str, *more: str) -> str:
+    return "WITH RECURSIVE " + ",".join([CTE, *more]) + "\n" + select
