@@ -38,10 +38,10 @@ def scores(findings: DataFrame, hit: DataFrame, truth: DataFrame, scope: str = "
     """
     methods = keeps()
     kept = F.array(*(F.when(c, F.lit(m)) for m, c in methods.items()))
-    true = hit.select("finding_id").distinct().withColumn("true", F.lit(1))
-    rows = findings.join(true, "finding_id", "left").select(scope, "finding_id", "true", F.explode(F.array_compact(kept)).alias("method"))
-    count = rows.groupBy(scope, "method").agg(F.count("*").alias("kept"), F.count("true").alias("true_pos"))
-    cases = rows.where("true = 1").join(hit, "finding_id").groupBy(scope, "method").agg(F.countDistinct("case_id").alias("cases_hit"))
+    true = hit.select("finding_id").distinct().withColumn("is_true", F.lit(1))
+    rows = findings.join(true, "finding_id", "left").select(scope, "finding_id", "is_true", F.explode(F.array_compact(kept)).alias("method"))
+    count = rows.groupBy(scope, "method").agg(F.count("*").alias("kept"), F.count("is_true").alias("true_pos"))
+    cases = rows.where("is_true = 1").join(hit, "finding_id").groupBy(scope, "method").agg(F.countDistinct("case_id").alias("cases_hit"))
     detected = cases.where("method = 'keep_all'").select(scope, F.col("cases_hit").alias("detected"))
     total = truth.groupBy(scope).agg(F.countDistinct("case_id").alias("truth"))
     out = count.join(cases, [scope, "method"], "left").join(detected, scope, "left").join(total, scope, "left").na.fill(0, ["cases_hit", "detected", "truth"])

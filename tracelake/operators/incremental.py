@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,20 +42,7 @@ def node_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def pair_renames(gone: list[dict], came: list[dict]) -> list[tuple[str, str]]:
-    """One to one, in the order of ``gone``: same file before same name before the first that is free."""
-    free = list(came)
-    out = []
-    for g in gone:
-        if not free:
-            break
-        best = min(free, key=lambda c: (c["file_path"] != g["file_path"], c["qualified_name"] != g["qualified_name"], c["new_id"]))
-        free.remove(best)
-        out.append((g["old_id"], best["new_id"]))
-    return out
-
-
-def renames(diff: DataFrame, most: int = 5_000) -> DataFrame:
+def renames(diff: DataFrame) -> DataFrame:
     """``(old_id, new_id)``: deleted and added defs with the same source.
 
     Groups share a source hash. Pairs in the same file, then of the same name, are taken by rank joins, which any size
@@ -65,8 +51,6 @@ def renames(diff: DataFrame, most: int = 5_000) -> DataFrame:
     gone = diff.where("status = 'deleted' and kind <> 'file'").select("source_hash", "file_path", "qualified_name", F.col("old_id").alias("id"))
     came = diff.where("status = 'added' and kind <> 'file'").select("source_hash", "file_path", "qualified_name", F.col("new_id").alias("id"))
     pairs = None
-    from pyspark.sql import Window
-
     for key in (["source_hash", "file_path"], ["source_hash", "qualified_name"], ["source_hash"]):
         w = Window.partitionBy(*key).orderBy("id")
         a = gone.withColumn("rn", F.row_number().over(w)).select(*key, "rn", F.col("id").alias("old_id"))
@@ -78,19 +62,6 @@ def renames(diff: DataFrame, most: int = 5_000) -> DataFrame:
     return pairs
 
 
-def greedy_renames(diff: DataFrame) -> DataFrame:
-    """As ``renames``, by the greedy rule on each source hash, for groups known to be small."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["file_path", "qualified_name"])
-        gone = pdf[pdf["status"] == "deleted"].to_dict("records")
-        came = pdf[pdf["status"] == "added"].to_dict("records")
-        return pd.DataFrame(pair_renames(gone, came), columns=["old_id", "new_id"])
-
-    rows = diff.where("status in ('deleted', 'added') and kind <> 'file'").select("source_hash", "file_path", "qualified_name", "old_id", "new_id", "status")
-    return rows.groupBy("source_hash").applyInPandas(run, "old_id string, new_id string")
-
-
 def splice(edges: DataFrame, fresh: DataFrame, diff: DataFrame, renamed: DataFrame, dirty_files: DataFrame) -> DataFrame:
     """Edges after a change: those that start in untouched files, with renamed ends, and ``fresh`` ones of dirty files.
 

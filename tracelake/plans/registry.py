@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.plans import graph_queries, records
+from tracelake.plans import graph_queries, records, table_queries
 
-MODULES = (graph_queries, records)
+MODULES = (graph_queries, table_queries, records)
 
 
 def queries() -> dict:
