@@ -77,6 +77,37 @@ def shortest_paths(graph: DataFrame, seeds: DataFrame, max_rounds: int = 10_000)
     return seen
 
 
+GOOD, FAR, PAIR = 0, 1, 2
+
+
+def search(graph: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """``(layer, seed, node, depth, path)``: three searches in one loop, so that a depth costs one job, not three.
+
+    Layer ``GOOD`` has shortest paths over resolved edges, ``FAR`` over all edges (both without a seed), ``PAIR`` the pairs
+    of a seed and what it reaches over all edges (without a path). ``graph(src_id, dst_id, resolved)``.
+    """
+    spark = graph.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut(graph.select("src_id", "dst_id", "resolved").repartition(parts, "src_id"))
+    s = seeds.select(F.col("node_id").alias("node")).distinct()
+    none = F.lit(None).cast("array<string>")
+    start = s.select("node", F.explode(F.array(*(F.struct(F.lit(x).alias("layer"), (F.col("node") if x == PAIR else F.lit("")).alias("seed"), (none if x == PAIR else F.array("node")).alias("path")) for x in (GOOD, FAR, PAIR)))).alias("l"))
+    seen = frontier = cut(start.select("l.layer", "l.seed", "node", F.lit(0).alias("depth"), "l.path"))
+    for depth in range(1, max_rounds):
+        step = (
+            frontier.join(edges, frontier["node"] == edges["src_id"])
+            .where((F.col("layer") != GOOD) | F.col("resolved"))
+            .select("layer", "seed", F.col("dst_id").alias("node"), F.concat("path", F.array("dst_id")).alias("path"))
+            .groupBy("layer", "seed", "node")
+            .agg(F.min("path").alias("path"))
+        )
+        frontier = cut(step.join(seen, ["layer", "seed", "node"], "left_anti").select("layer", "seed", "node", F.lit(depth).alias("depth"), "path"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier)) if depth % 6 == 0 else seen.unionByName(frontier)
+    return seen
+
+
 def blast_radius(pairs: DataFrame) -> DataFrame:
     """``(node, blast)``: seeds that reach each node."""
     return pairs.groupBy("node").agg(F.countDistinct("seed").alias("blast"))

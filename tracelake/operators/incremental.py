@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(path, kind, old_path)`` between two states ``(rel_path, content_hash)``: added, modified, deleted, renamed.
 
-    A deleted and an added file of one hash are a rename, if the hash is unique among both.
+    A deleted and an added file of one hash are a rename, if the hash is unique among both. A null hash equals only null.
     """
-    o = old.select("rel_path", F.col("content_hash").alias("before"))
-    n = new.select("rel_path", F.col("content_hash").alias("after"))
+    o = old.select("rel_path", F.col("content_hash").alias("before"), F.lit(True).alias("was"))
+    n = new.select("rel_path", F.col("content_hash").alias("after"), F.lit(True).alias("now"))
     both = o.join(n, "rel_path", "full")
     kind = (
-        F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").when(F.col("before") != F.col("after"), "modified")
+        F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(~F.col("before").eqNullSafe(F.col("after")), "modified")
     )
     changed = both.withColumn("kind", kind).where(F.col("kind").isNotNull())
     gone = changed.where("kind = 'deleted'").groupBy(F.col("before").alias("h")).agg(F.min("rel_path").alias("old_path"), F.count("*").alias("n1"))

@@ -45,9 +45,8 @@ def trace(targets: DataFrame, edges: DataFrame, entry_points: DataFrame) -> Data
     t = targets.join(nodes, "node_id", "left").join(untrusted.withColumn("is_entry", F.lit(True)), "node_id", "left")
     if any_untrusted:
         wanted = targets.select(F.col("node_id").alias("node")).distinct()
-        good = G.shortest_paths(G.resolved_graph(graph), untrusted).join(wanted, "node", "left_semi")
-        far = G.shortest_paths(graph, untrusted).join(wanted, "node", "left_semi")
-        pairs = G.reach_pairs(graph, untrusted).join(wanted, "node", "left_semi")
+        found = G.cut(G.search(graph, untrusted).join(wanted, "node", "left_semi"))
+        good, far, pairs = (found.where(F.col("layer") == x) for x in (G.GOOD, G.FAR, G.PAIR))
         t = (
             t.join(good.select(F.col("node").alias("node_id"), F.struct(F.size("path").alias("n"), "path").alias("good")), "node_id", "left")
             .join(far.select(F.col("node").alias("node_id"), F.struct(F.size("path").alias("n"), "path").alias("far")), "node_id", "left")

@@ -494,10 +494,11 @@ SELECT doc_id, name FROM said WHERE name NOT IN (SELECT name FROM names) AND reg
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k, min(CAST(json_extract(props, '$.k') AS INTEGER)) AS min_k, max(CAST(json_extract(props, '$.k') AS INTEGER)) AS max_k FROM events GROUP BY 1",
     "extracted_nodes": "SELECT DISTINCT repo, file_path, kind, qualified_name, start_line, end_line FROM nodes WHERE kind <> 'file'",
     "node_diff_counts": f"WITH {_STATE} SELECT status, count(*) AS n FROM d GROUP BY 1",
-    "file_change_kinds": f"""WITH {_STATE}, c AS (SELECT file_path, CASE WHEN status = 'modified' AND (h1 = '' OR h2 = '') THEN 'null' ELSE status END AS status, h1, h2 FROM d WHERE kind = 'file' AND status <> 'unchanged'),
+    "file_change_kinds": f"""WITH {_STATE}, o0 AS (SELECT * FROM o WHERE k = 'file'), w0 AS (SELECT * FROM w WHERE k = 'file'),
+d0 AS (SELECT o0.h AS h1, w0.h AS h2, file_path, CASE WHEN o0.id IS NULL THEN 'added' WHEN w0.id IS NULL THEN 'deleted' WHEN o0.h = w0.h THEN 'unchanged' ELSE 'modified' END AS status FROM o0 FULL JOIN w0 USING (file_path)), c AS (SELECT file_path, status, h1, h2 FROM d0 WHERE status <> 'unchanged'),
 m AS (SELECT 1 FROM (SELECT h1 AS h FROM c WHERE status = 'deleted' AND h1 <> '' GROUP BY 1 HAVING count(*) = 1) a JOIN (SELECT h2 AS h FROM c WHERE status = 'added' AND h2 <> '' GROUP BY 1 HAVING count(*) = 1) b USING (h)),
 r AS (SELECT count(*) AS k FROM m)
-SELECT * FROM (SELECT status AS kind, count(*) - CASE WHEN status IN ('added', 'deleted') THEN (SELECT k FROM r) ELSE 0 END AS n FROM c WHERE status <> 'null' GROUP BY 1 UNION ALL SELECT 'renamed', k FROM r) WHERE n > 0""",
+SELECT * FROM (SELECT status AS kind, count(*) - CASE WHEN status IN ('added', 'deleted') THEN (SELECT k FROM r) ELSE 0 END AS n FROM c GROUP BY 1 UNION ALL SELECT 'renamed', k FROM r) WHERE n > 0""",
     "rename_pairs": f"""WITH {_STATE}, g0 AS (SELECT h1 AS h, file_path AS f, qualified_name AS q, old_id AS id FROM d WHERE status = 'deleted' AND kind <> 'file' AND h1 <> ''),
 c0 AS (SELECT h2 AS h, file_path AS f, qualified_name AS q, new_id AS id FROM d WHERE status = 'added' AND kind <> 'file' AND h2 <> ''),
 p1 AS (SELECT a.id AS old_id, b.id AS new_id FROM (SELECT *, row_number() OVER (PARTITION BY h, f ORDER BY id) AS rn FROM g0) a JOIN (SELECT *, row_number() OVER (PARTITION BY h, f ORDER BY id) AS rn FROM c0) b USING (h, f, rn)),
