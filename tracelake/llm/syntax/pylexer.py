@@ -136,7 +136,7 @@ def _field_end(text: str, pos: int, quote: str, raw: bool, fields: list[tuple[in
             if c == "}":
                 return pos + 1
             if c == "{":
-                pos = pos + 2 if text.startswith("{{", pos) else _scan_field(text, pos + 1, quote, raw, fields, depth + 1)
+                pos = _scan_field(text, pos + 1, quote, raw, fields, depth + 1)
             elif text.startswith(quote, pos) or (c in "\r\n" and len(quote) == 1):
                 break
             else:
