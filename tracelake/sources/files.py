@@ -23,12 +23,12 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     """
     ship(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PYTHON).load(root)
-    rel = S.relative_path(F.regexp_replace("path", "^file:/*", "/"), root)
+    local = F.regexp_replace("path", "^file:/*", "/")
+    raw = raw.select(local.alias("path"), F.decode("content", "UTF-8").alias("content"))
     # A file scan passes over empty files; the scan's own listing has them.
-    listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string")
+    listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string").select(local.alias("path"))
     empty = listed.join(raw.select("path"), "path", "left_anti").withColumn("content", F.lit(""))
-    read = raw.select("path", F.decode("content", "UTF-8").alias("content")).unionByName(empty)
-    files = read.select(rel.alias("rel_path"), "content").where(~skipped("rel_path"))
+    files = raw.unionByName(empty).select(S.relative_path("path", root).alias("rel_path"), "content").where(~skipped("rel_path"))
     return inventory(files)
 
 
