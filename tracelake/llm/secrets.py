@@ -1,9 +1,9 @@
 """Credentials in source and configuration files: one automaton finds where one may begin, grammars tell whether it does.
 
-The heads of all token formats, key armor, connection strings, authorisation schemes and sensitive names go into a single
-Aho-Corasick automaton. It runs over overlapping chunks of a text; hits are merged by their absolute place, and the
-grammar of the hit's kind is matched on the whole text from there. What matches is a span, which can be listed by line
-or replaced by a placeholder.
+Token formats, key armor, connection strings, URL parameters and authorisation schemes are one deterministic automaton. A
+word automaton of their heads, and of names that hold credentials, runs over overlapping chunks of a text first; its hits
+are merged by their absolute place, and the grammars are run on the whole text from there. What matches is a span, which
+can be listed by line or replaced by a placeholder.
 """
 
 from __future__ import annotations
@@ -20,54 +20,70 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.automaton import DIGITS, LETTERS, SPACES, UPPER, Automaton, Node, alt, any_case, any_of, none_of, rep, seq
 from tracelake.llm.broken import one_per_file
 from tracelake.llm.syntax.common import Lines
 
+_ALNUM = LETTERS | DIGITS
+_HEX = DIGITS | frozenset("abcdefABCDEF")
+_B64 = _ALNUM | frozenset("_-")
+
+
+def _token(head: str, chars: frozenset, least: int, most: int | None = None) -> Node:
+    return seq(head, rep(any_of(chars), least, most))
+
+
 #: Heads and bodies of public token formats.
 TOKEN_FORMATS = {
-    "ghp_": r"ghp_[A-Za-z0-9]{36,}",
-    "gho_": r"gho_[A-Za-z0-9]{36,}",
-    "ghu_": r"ghu_[A-Za-z0-9]{36,}",
-    "ghs_": r"ghs_[A-Za-z0-9]{36,}",
-    "ghr_": r"ghr_[A-Za-z0-9]{36,}",
-    "github_pat_": r"github_pat_[A-Za-z0-9_]{50,}",
-    "glpat-": r"glpat-[A-Za-z0-9_-]{20,}",
-    "sk_live_": r"sk_live_[A-Za-z0-9]{16,}",
-    "sk_test_": r"sk_test_[A-Za-z0-9]{16,}",
-    "rk_live_": r"rk_live_[A-Za-z0-9]{16,}",
-    "xoxb-": r"xoxb-[A-Za-z0-9-]{20,}",
-    "xoxp-": r"xoxp-[A-Za-z0-9-]{20,}",
-    "xoxa-": r"xoxa-[A-Za-z0-9-]{20,}",
-    "xoxr-": r"xoxr-[A-Za-z0-9-]{20,}",
-    "xoxs-": r"xoxs-[A-Za-z0-9-]{20,}",
-    "akia": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "asia": r"ASIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "aiza": r"AIza[A-Za-z0-9_-]{35}",
-    "sg.": r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
-    "npm_": r"npm_[A-Za-z0-9]{36}",
-    "pypi-": r"pypi-[A-Za-z0-9_-]{50,}",
-    "hf_": r"hf_[A-Za-z0-9]{30,}",
-    "dop_v1_": r"dop_v1_[a-f0-9]{64}",
-    "shpat_": r"shpat_[a-fA-F0-9]{32}",
-    "ya29.": r"ya29\.[A-Za-z0-9_-]{20,}",
-    "eyj": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}",
+    "ghp_": _token("ghp_", _ALNUM, 36),
+    "gho_": _token("gho_", _ALNUM, 36),
+    "ghu_": _token("ghu_", _ALNUM, 36),
+    "ghs_": _token("ghs_", _ALNUM, 36),
+    "ghr_": _token("ghr_", _ALNUM, 36),
+    "github_pat_": _token("github_pat_", _ALNUM | {"_"}, 50),
+    "glpat-": _token("glpat-", _B64, 20),
+    "sk_live_": _token("sk_live_", _ALNUM, 16),
+    "sk_test_": _token("sk_test_", _ALNUM, 16),
+    "rk_live_": _token("rk_live_", _ALNUM, 16),
+    "xoxb-": _token("xoxb-", _ALNUM | {"-"}, 20),
+    "xoxp-": _token("xoxp-", _ALNUM | {"-"}, 20),
+    "xoxa-": _token("xoxa-", _ALNUM | {"-"}, 20),
+    "xoxr-": _token("xoxr-", _ALNUM | {"-"}, 20),
+    "xoxs-": _token("xoxs-", _ALNUM | {"-"}, 20),
+    "akia": _token("AKIA", UPPER | DIGITS, 16, 16),
+    "asia": _token("ASIA", UPPER | DIGITS, 16, 16),
+    "aiza": _token("AIza", _B64, 35),
+    "sg.": seq("SG.", rep(any_of(_B64), 16), ".", rep(any_of(_B64), 16)),
+    "npm_": _token("npm_", _ALNUM, 36),
+    "pypi-": _token("pypi-", _B64, 50),
+    "hf_": _token("hf_", _ALNUM, 30),
+    "dop_v1_": _token("dop_v1_", DIGITS | frozenset("abcdef"), 64),
+    "shpat_": _token("shpat_", _HEX, 32),
+    "ya29.": _token("ya29.", _B64, 20),
+    "eyj": seq("eyJ", rep(any_of(_B64), 8), ".eyJ", rep(any_of(_B64), 8), ".", rep(any_of(_B64), 16)),
 }
 ARMOR = "-----begin "
 LINK = "://"
 SCHEMES = ("bearer ", "basic ", "identified by", "mysql ", "sshpass", "curl ", "mysqldump ")
 NAMES = ("passw", "passphrase", "pwd", "pass", "secret", "token", "key", "credential")
 
-_BOUND = r"(?<![A-Za-z0-9_])"
-_TOKENS = {head: re.compile(_BOUND + body) for head, body in TOKEN_FORMATS.items()}
+#: Names of URL parameters that hold credentials.
+PARAMETERS = ("access_token", "api_key", "api-key", "apikey", "token", "key", "sig", "signature", "secret", "client_secret", "password", "passwd", "pwd", "auth", "x-amz-signature", "code")
+_HIDDEN = seq("<", rep(none_of("<>", SPACES), 1), ">")
+#: Everything with a form of its own, as one automaton.
+GRAMMAR = Automaton(
+    {
+        "token": alt(*TOKEN_FORMATS.values()),
+        "private-key": seq("-----BEGIN ", rep(seq(rep(any_of(UPPER, DIGITS), 1), " ")), "PRIVATE KEY", rep(" BLOCK", 0, 1), "-----"),
+        "connection-string": seq("://", rep(none_of(SPACES, "/:@\"'<>\\")), ":", alt(rep(none_of(SPACES, "/\"'<>\\"), 1), _HIDDEN), "@"),
+        "url-parameter": seq(any_of("?&"), alt(*map(any_case, PARAMETERS)), "=", alt(rep(none_of(SPACES, "&\"'<>#\\"), 1), _HIDDEN)),
+        "bearer": seq(any_case("bearer"), rep(any_of(SPACES), 1), rep(any_of(_B64, ".~+/="), 12)),
+        "basic": seq(any_case("basic"), rep(any_of(SPACES), 1), rep(any_of(_ALNUM, "+/"), 8), rep("=", 0, 2)),
+    }
+)
 _ARMOR = re.compile(
     r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[ \t]*(?:\\r)?(?:\\n|\\?\r?\n)[^\r\n\"'-]*)+?[A-Za-z0-9+/=]{24,}(?:[^-]|-(?!----END))*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?"
 )
-_USERINFO = re.compile(r"://[^\s/:@\"'<>\\]*:(?P<value>[^\s/\"'<>\\]+|<[^<>\s]*>)@(?=[A-Za-z0-9\[$%{<_-])")
-_QUERY = re.compile(
-    r"[?&](?:access_token|api[_-]?key|apikey|token|key|sig|signature|secret|client_secret|password|passwd|pwd|auth|x-amz-signature|code)=(?P<value>[^\s&\"'<>#\\]+|<[^<>\s]*>)", re.I
-)
-_BEARER = re.compile(r"bearer\s+(?P<value>[A-Za-z0-9._~+/=-]{12,})(?![A-Za-z0-9{$<])", re.I)
-_BASIC = re.compile(r"basic\s+(?P<value>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9{$<=])", re.I)
 _IDENTIFIED = re.compile(r"identified\s+(?:with\s+\S+\s+)?by\s+(?:password\s+)?(?P<q>\\?['\"])(?P<value>[^'\"\n]*)(?P=q)", re.I)
 _CLIENT = re.compile(r"(?:mysql|mysqldump)\b[^\n|;&]*?\s-p(?P<q>['\"]?)(?P<value>[^\s'\"]+)(?P=q)", re.I)
 _SSHPASS = re.compile(r"sshpass\s+-p\s*(?P<q>['\"]?)(?P<value>[^\s'\"]+)(?P=q)", re.I)
@@ -113,9 +129,9 @@ class Span(NamedTuple):
 
 
 @lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
+def heads_automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, heads in (("token", _TOKENS), ("armor", (ARMOR,)), ("link", (LINK, "?", "&")), ("scheme", SCHEMES), ("name", NAMES)):
+    for kind, heads in (("token", TOKEN_FORMATS), ("armor", (ARMOR,)), ("link", (LINK, "?", "&")), ("scheme", SCHEMES), ("name", NAMES)):
         for h in heads:
             a.add_word(h, (kind, h))
     a.make_automaton()
@@ -134,7 +150,7 @@ def _fold(text: str) -> str:
 def hits(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str, str]]:
     """(start, kind, head) of every head, in the order of the text; the same whatever the chunks."""
     found = set()
-    a = automaton()
+    a = heads_automaton()
     low = _fold(text)
     for base in range(0, max(len(low), 1), chunk):
         for end, (kind, head) in a.iter(low[base : base + chunk + overlap]):
@@ -257,18 +273,10 @@ class _Scan:
     def run(self) -> list[Span]:
         done: set[tuple[int, int]] = set()
         for start, kind, head in hits(self.text):
-            if kind == "token":
-                m = _TOKENS[head].match(self.text, start)
-                if m and not _MOCK.search(m.group()) and len(set(m.group()[len(head) :])) > 4:
-                    self.keep(m.start(), m.end(), "token")
-            elif kind == "armor":
-                m = _ARMOR.match(self.text, start)
-                if m and not _MOCK.search(m["body"]):
-                    self.keep(start, m.end(), "private-key")
-            elif kind == "link":
-                m = (_USERINFO if head == LINK else _QUERY).match(self.text, start)
-                if m and grants_access(m["value"]):
-                    self.keep(*m.span("value"), "connection-string" if head == LINK else "url-parameter")
+            if kind in ("token", "armor", "link") or head in ("bearer ", "basic "):
+                found = GRAMMAR.match(self.text, start)
+                if found:
+                    self.formal(start, *found)
             elif kind == "scheme":
                 self.scheme(start, head)
             else:
@@ -280,22 +288,50 @@ class _Scan:
             out.append(s)
         return out
 
-    def scheme(self, start: int, head: str) -> None:
-        r = {"bearer ": _BEARER, "basic ": _BASIC, "identified by": _IDENTIFIED, "sshpass": _SSHPASS, "curl ": _CURL}.get(head, _CLIENT)
-        m = r.match(self.text, start)
-        if not m:
-            return
-        value = m["value"]
-        if head == "basic ":
-            try:
-                user, _, value = base64.b64decode(value, validate=True).decode("utf-8").partition(":")
-            except (ValueError, binascii.Error):
+    def formal(self, start: int, rule: str, end: int) -> None:
+        """What the automaton matched: whether the value in it is a credential, and where that stands."""
+        text = self.text
+        body, following = text[start:end], text[end : end + 1]
+        if rule == "token":
+            before = text[start - 1 : start] if start else ""
+            fixed = body[:4] in ("AKIA", "ASIA")
+            if before.isalnum() or before == "_" or (fixed and following.isalnum()):
                 return
-            if not user or not value.isprintable():
+            if not _MOCK.search(body) and len(set(body[4:])) > 4:
+                self.keep(start, end, rule)
+        elif rule == "private-key":
+            m = _ARMOR.match(text, start)
+            if m and not _MOCK.search(m["body"]):
+                self.keep(start, m.end(), rule)
+        elif rule == "connection-string":
+            at = text.index(":", start + 3) + 1
+            if (following.isalnum() or following in tuple("[$%{<_-")) and grants_access(text[at : end - 1]):
+                self.keep(at, end - 1, rule)
+        elif rule == "url-parameter":
+            at = text.index("=", start) + 1
+            if grants_access(text[at:end]):
+                self.keep(at, end, rule)
+        else:
+            value = body.split(None, 1)[1]
+            at = end - len(value)
+            if following and (following.isalnum() or following in "{$<="):
                 return
-        if head == "bearer " and not re.search(r"\d", value):
-            return
-        if grants_access(value):
+            if rule == "bearer" and not any(c.isdigit() for c in value):
+                return
+            if rule == "basic":
+                try:
+                    user, _, value = base64.b64decode(value, validate=True).decode("utf-8").partition(":")
+                except (ValueError, binascii.Error):
+                    return
+                if not user or not value.isprintable():
+                    return
+            if grants_access(value):
+                self.keep(at, end, rule)
+
+    def scheme(self, start: int, head: str) -> None:
+        r = {"identified by": _IDENTIFIED, "sshpass": _SSHPASS, "curl ": _CURL}.get(head, _CLIENT)
+        m = r.match(self.text, start)
+        if m and grants_access(m["value"]):
             self.keep(*m.span("value"), head.strip().replace(" ", "-"))
 
     def named(self, start: int, head: str, done: set[tuple[int, int]]) -> None:
