@@ -36,76 +36,81 @@ def resolved_graph(graph: DataFrame) -> DataFrame:
     return graph.where("resolved").select("src_id", "dst_id")
 
 
-def reach_pairs(graph: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``(seed, node, depth)``: least number of steps from each seed to every node it reaches, itself included at 0.
+#: Frontiers up to this many rows take several hops a round: there, starting jobs costs more than the rows do.
+SMALL_FRONTIER = 100_000
+HOPS = 4
 
-    Semi-naive frontier rounds: only pairs that are new take the next step, and an anti join drops those seen before.
-    Each round is one job whose result is checkpointed; rounds end when the frontier is empty, so loops end too.
+
+def _frontier_search(edges: DataFrame, start: DataFrame, keys: list[str], take=None, max_depth: int = 100_000) -> DataFrame:
+    """``(*keys, depth, path)``: breadth-first search from the rows of ``start(*keys, path)``, a null path stays null.
+
+    Semi-naive: only rows that are new go on, and an anti join drops what was seen before, so loops end. A round over a
+    large frontier is one hop; over a small one it is several hops in one job, after which each key keeps its least depth
+    and path. (What an inner hop reaches again over seen rows has a lesser depth already, so it falls out there.) Each
+    round's rows are checkpointed. Least paths extend least paths: all paths to a predecessor have one length, so the
+    smaller prefix wins. ``take`` filters the joined rows.
     """
-    edges = cut(graph.select("src_id", "dst_id").distinct())
-    seen = cut(seeds.select(F.col("node_id").alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
-    frontier = seen
-    for depth in range(1, max_rounds):
-        step = frontier.join(edges, frontier["node"] == edges["src_id"]).select("seed", F.col("dst_id").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut(edges.repartition(parts, "src_id"))
+    group = [k for k in keys if k != "node"]
+    seen = frontier = cut(start.select(*keys, F.lit(0).alias("depth"), "path"))
+    depth, rounds = 0, 0
+    while depth < max_depth:
+        size = frontier.count()
+        if not size:
             break
-        seen = cut(seen.unionByName(frontier)) if depth % 4 == 0 else seen.unionByName(frontier)
+        hops = HOPS if size <= SMALL_FRONTIER else 1
+        here, found = frontier, None
+        for h in range(1, hops + 1):
+            step = here.join(edges, here["node"] == edges["src_id"])
+            if take is not None:
+                step = step.where(take)
+            step = step.select(*group, F.col("dst_id").alias("node"), F.concat("path", F.array("dst_id")).alias("path"))
+            here = step.groupBy(*keys).agg(F.min("path").alias("path")).withColumn("depth", F.lit(depth + h)).select(*keys, "depth", "path")
+            found = here if found is None else found.unionByName(here)
+        if hops > 1:
+            found = found.groupBy(*keys).agg(F.min(F.struct("depth", "path")).alias("b")).select(*keys, "b.depth", "b.path")
+        new = cut(found.join(seen.select(*keys), keys, "left_anti"))
+        depth, rounds = depth + hops, rounds + 1
+        frontier = new.where(F.col("depth") == depth)
+        seen = cut(seen.unionByName(new)) if rounds % 4 == 0 else seen.unionByName(new)
     return seen
 
 
-def shortest_paths(graph: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+_NO_PATH = "array<string>"
+
+
+def reach_pairs(graph: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(seed, node, depth)``: least number of steps from each seed to every node it reaches, itself included at 0."""
+    start = seeds.select(F.col("node_id").alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(None).cast(_NO_PATH).alias("path"))
+    return _frontier_search(graph.select("src_id", "dst_id").distinct(), start, ["seed", "node"]).select("seed", "node", "depth")
+
+
+def shortest_paths(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node, depth, path)``: from any seed, the shortest path to each node, the least one in text order on a tie.
 
-    A node is settled once, at its least depth, so a round holds one path a node and work is linear in the edges. Least
-    paths extend least paths: all paths to a predecessor have one length, so the smaller prefix wins.
+    A node is settled once, at its least depth, so a round holds one path a node and work is linear in the edges.
     """
-    edges = cut(graph.select("src_id", "dst_id").distinct())
-    seen = cut(seeds.select(F.col("node_id").alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
-    frontier = seen
-    for depth in range(1, max_rounds):
-        step = (
-            frontier.join(edges, frontier["node"] == edges["src_id"])
-            .select(F.col("dst_id").alias("node"), F.concat("path", F.array("dst_id")).alias("path"))
-            .groupBy("node")
-            .agg(F.min("path").alias("path"))
-        )
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "path"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier)) if depth % 4 == 0 else seen.unionByName(frontier)
-    return seen
+    start = seeds.select(F.col("node_id").alias("node")).distinct().select("node", F.array("node").alias("path"))
+    return _frontier_search(graph.select("src_id", "dst_id").distinct(), start, ["node"])
 
 
 GOOD, FAR, PAIR = 0, 1, 2
 
 
-def search(graph: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def search(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(layer, seed, node, depth, path)``: three searches in one loop, so that a depth costs one job, not three.
 
     Layer ``GOOD`` has shortest paths over resolved edges, ``FAR`` over all edges (both without a seed), ``PAIR`` the pairs
     of a seed and what it reaches over all edges (without a path). ``graph(src_id, dst_id, resolved)``.
     """
-    spark = graph.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = cut(graph.select("src_id", "dst_id", "resolved").repartition(parts, "src_id"))
     s = seeds.select(F.col("node_id").alias("node")).distinct()
-    none = F.lit(None).cast("array<string>")
-    start = s.select("node", F.explode(F.array(*(F.struct(F.lit(x).alias("layer"), (F.col("node") if x == PAIR else F.lit("")).alias("seed"), (none if x == PAIR else F.array("node")).alias("path")) for x in (GOOD, FAR, PAIR)))).alias("l"))
-    seen = frontier = cut(start.select("l.layer", "l.seed", "node", F.lit(0).alias("depth"), "l.path"))
-    for depth in range(1, max_rounds):
-        step = (
-            frontier.join(edges, frontier["node"] == edges["src_id"])
-            .where((F.col("layer") != GOOD) | F.col("resolved"))
-            .select("layer", "seed", F.col("dst_id").alias("node"), F.concat("path", F.array("dst_id")).alias("path"))
-            .groupBy("layer", "seed", "node")
-            .agg(F.min("path").alias("path"))
-        )
-        frontier = cut(step.join(seen, ["layer", "seed", "node"], "left_anti").select("layer", "seed", "node", F.lit(depth).alias("depth"), "path"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier)) if depth % 6 == 0 else seen.unionByName(frontier)
-    return seen
+    none = F.lit(None).cast(_NO_PATH)
+    layers = F.array(
+        *(F.struct(F.lit(x).alias("layer"), (F.col("node") if x == PAIR else F.lit("")).alias("seed"), (none if x == PAIR else F.array("node")).alias("path")) for x in (GOOD, FAR, PAIR))
+    )
+    start = s.select("node", F.explode(layers).alias("l")).select("l.layer", "l.seed", "node", "l.path")
+    return _frontier_search(graph.select("src_id", "dst_id", "resolved"), start, ["layer", "seed", "node"], take=(F.col("layer") != GOOD) | F.col("resolved"))
 
 
 def blast_radius(pairs: DataFrame) -> DataFrame:
