@@ -159,3 +159,19 @@ def _version_keys(v: pd.Series) -> pd.Series:
 
 def version_key(c: Column | str) -> Column:
     return F.pandas_udf(_version_keys, "string")(_col(c))
+
+
+def normalize_target(target: str) -> str:
+    """A repository address as git takes it; ``github.com/x/y`` and ``x.git`` shorthands get their scheme."""
+    t = target.strip()
+    return "https://" + t if t.startswith("github.com/") else t
+
+
+def location(path: Column | str, line: Column | str) -> Column:
+    """``path:line``, the path alone for line 0 or null."""
+    return F.when(F.coalesce(_col(line), F.lit(0)) > 0, F.concat_ws(":", _col(path), _col(line).cast("string"))).otherwise(_col(path))
+
+
+def percent(c: Column | str) -> Column:
+    """A share as ``12.3%``, a dash for null."""
+    return F.when(_col(c).isNull(), "-").otherwise(F.format_string("%.1f%%", _col(c) * 100))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,3 +150,40 @@ def _warning(body: list, conditional: bool, kind: str, module: bool = False) ->
                 if found:
                     return found
     return None
+
+
+def with_versions(refs: DataFrame, versions: DataFrame) -> DataFrame:
+    """``refs`` with the installed version of their package; null for the standard library or without an environment."""
+    return refs.join(versions.select("package", "version"), "package", "left")
+
+
+def deprecated_uses(uses: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Uses of external definitions that their library marks, and how many were checked.
+
+    ``uses(node_id, line, package, symbol, def_path, def_line)`` (a null path: no source at hand), ``markers(def_path,
+    def_line, kind, category, message, conditional)``.
+    """
+    j = uses.join(markers, ["def_path", "def_line"], "left")
+    found = j.where(F.col("kind").isNotNull()).select("node_id", "line", "package", "symbol", F.struct("kind", "category", "message", "conditional").alias("marker"))
+    stats = j.agg(F.count("*").alias("checked"), F.count_if(F.col("kind").isNotNull()).alias("deprecated"), F.count_if(F.col("def_path").isNull()).alias("no_source"))
+    return found, stats
+
+
+def read_markers(sources: DataFrame) -> DataFrame:
+    """Deprecation markers of ``sources(def_path, def_line, content)``; the texts are parsed, never run."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, line, text in zip(b["def_path"], b["def_line"], b["content"], strict=True):
+                m = deprecation_marker(text, line) if text is not None else None
+                if m:
+                    rows.append((path, line, m["kind"], m["category"], m["message"] if isinstance(m["message"], str) else None, m["conditional"]))
+            yield pd.DataFrame(rows, columns=["def_path", "def_line", "kind", "category", "message", "conditional"])
+
+    return sources.select("def_path", "def_line", "content").mapInPandas(run, "def_path string, def_line int, kind string, category string, message string, conditional boolean")
+
+
+def payload(report: DataFrame) -> DataFrame:
+    """The dependency report as JSON, one object a package, with its place in the order."""
+    return report.select("package", F.to_json(F.struct("*")).alias("entry"))

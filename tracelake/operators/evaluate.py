@@ -152,3 +152,9 @@ def within_budget(rows: DataFrame, scope: str, order: str, cost: str, limit: int
     """``rows`` with ``spent`` before each and whether it still runs: once the limit is reached, nothing more does."""
     w = Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("spent", F.coalesce(F.sum(cost).over(w), F.lit(0))).withColumn("runs", F.col("spent") < limit)
+
+
+def case_gate(passed: DataFrame, coverage: float, floor: float = 0.80) -> DataFrame:
+    """One row over ``graph_cases``: how many pass, and whether all do with enough coverage."""
+    n, k = F.count("*"), F.count_if("passed")
+    return passed.agg(n.alias("cases"), k.alias("passed"), ((n == k) & F.lit(coverage >= floor)).alias("ok"))

@@ -301,3 +301,16 @@ def path_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = edges.groupBy("src_id", "dst_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("kinds"), F.max(ok).alias("resolved"))
     return steps.join(pairs, ["src_id", "dst_id"], "left").select("node", "hop", "src_id", "dst_id", "kinds", F.coalesce("resolved", F.lit(False)).alias("resolved"))
 
+
+
+def constructor_targets(calls: DataFrame, orders: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``calls`` of classes lead to the first ``__init__`` in the class's resolution order, where there is one.
+
+    ``orders(cls, position, base)`` as from ``method_orders``; other calls stay as they are.
+    """
+    inits = nodes.where("kind = 'function'").where(F.col("qualified_name").endswith(".__init__"))
+    owner = inits.select(F.regexp_replace("qualified_name", r"\.__init__$", "").alias("qualified_name"), "file_path", F.col("node_id").alias("init"))
+    classes = nodes.where("kind = 'class'").select(F.col("node_id").alias("base"), "qualified_name", "file_path")
+    have = classes.join(owner, ["qualified_name", "file_path"]).groupBy("base").agg(F.min("init").alias("init"))
+    first = orders.join(have, "base").groupBy(F.col("cls").alias("dst_id")).agg(F.min_by("init", "position").alias("init"))
+    return calls.join(first, "dst_id", "left").withColumn("dst_id", F.coalesce("init", "dst_id")).select(*calls.columns)

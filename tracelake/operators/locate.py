@@ -103,8 +103,17 @@ def line_text(content: Column, line: Column) -> Column:
     return F.coalesce(F.trim(F.get(lines, line - 1)), F.lit(""))
 
 
-def snippet(content: Column, start: Column, end: Column, cap: int = 60) -> Column:
-    """Lines ``start`` to ``end`` joined, ``cap`` at most."""
+def snippet(content: Column, start: Column, end: Column, cap: int = 60, more: bool = False) -> Column:
+    """Lines ``start`` to ``end`` joined, ``cap`` at most; with ``more`` a last line says how many were left out."""
     lines = F.split(content, "\n")
     n = F.least(end, start + F.lit(cap - 1)) - start + 1
-    return F.array_join(F.slice(lines, F.greatest(start, F.lit(1)), F.greatest(n, F.lit(0))), "\n")
+    text = F.array_join(F.slice(lines, F.greatest(start, F.lit(1)), F.greatest(n, F.lit(0))), "\n")
+    left = end - start + 1 - cap
+    return F.when(left > 0, F.concat(text, F.lit("\n# ... "), left.cast("string"), F.lit(" more lines"))).otherwise(text) if more else text
+
+
+def code_of(content: Column, kind: Column, start: Column, end: Column, line: Column, around: int = 5) -> Column:
+    """Code to show for a finding: its definition, or the lines around it where it stands in a file's own code."""
+    inner = snippet(content, start, end)
+    outer = snippet(content, F.greatest(line - around, F.lit(1)), line + around)
+    return F.when(kind != "file", inner).otherwise(outer)

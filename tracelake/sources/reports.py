@@ -33,6 +33,35 @@ SKIPPED = (
 ).split()
 
 
+#: Parsers by source: reports and root folder to raw findings. Others can be added.
+PARSERS: dict = {}
+
+
+def register(source: str, parse) -> None:
+    """Adds a scanner: ``parse(reports(path, body), root)`` gives rows with the columns of ``RAW``."""
+    PARSERS[source] = parse
+
+
+def ingest(found: dict[str, DataFrame], root: str) -> DataFrame:
+    """Raw findings of several scanners' reports, in one table; a source without a parser is an error."""
+    out = None
+    for source in sorted(found):
+        if source not in PARSERS:
+            raise ValueError(f"no parser for {source!r}")
+        rows = PARSERS[source](found[source], root)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no reports")
+    return out
+
+
+def check_rule_source(config: str) -> str:
+    """Rules must be local files: registry names and addresses would be fetched at scan time."""
+    if config == "auto" or config.startswith(("p/", "r/", "s/", "http://", "https://")):
+        raise ValueError(f"rules must be local: {config}")
+    return config
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """``(path, body)`` of report files, one text each."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
@@ -205,3 +234,9 @@ def parse_verdicts(replies: DataFrame, text: str = "reply") -> DataFrame:
     sure = F.coalesce(F.try_variant_get(j, "$.confidence", "double"), F.regexp_extract(raw, r'(?i)"?confidence"?\s*[:=]\s*"?([0-9.]+)', 1).try_cast("double"), F.lit(0.5))
     why = F.coalesce(F.try_variant_get(j, "$.reasoning", "string"), F.lit(""))
     return replies.withColumn("verdict", F.when(found.isin(*_VERDICTS), found).otherwise("needs_review")).withColumn("confidence", S.clamp(sure)).withColumn("reasoning", why)
+
+
+register("bandit", bandit)
+register("semgrep", semgrep)
+register("gitleaks", gitleaks)
+register("osv", lambda reports, root: osv(reports))
