@@ -168,14 +168,14 @@ def expect(text):
 
 def test_documented_functions(spark):
     df = table(spark, (1, "a.py", SOURCE), (2, "b.pyi", SOURCE.replace("\n", "\r\n")), (3, "c.py", SOURCE + "("), (4, "d.js", SOURCE), (5, "e.py", None), (6, "f.py", ""), (1, "a.py", SOURCE))
-    rows = [(r.file_id, r.qualified_name, r.start_line) for r in pairs.documented_functions(df).collect()]
+    rows = [(r.file_id, r.qualified_name, r.start_line) for r in pairs.documented_functions(pairs.token_rows(df)).collect()]
     assert len(rows) == len(set(rows))
     want = expect(SOURCE)
     assert {n for n, _ in want} == {"first", "first.inner", "first.K.m", "first.K.m.deep", "C.f", "C.k", "last"}
     assert set(rows) == {(i, q, n) for i in (1, 2) for q, n in want}
-    comments = {(r.name, r.comment) for r in pairs.leading_comments(df).where("file_id = 1").collect()}
+    comments = {(r.name, r.comment) for r in pairs.leading_comments(pairs.token_rows(df)).where("file_id = 1").collect()}
     assert comments == {("first", "# Says what it\n# is good for.")}
-    assert pairs.documented_functions(table(spark)).collect() == []
+    assert pairs.documented_functions(pairs.token_rows(table(spark))).collect() == []
 
 
 @pytest.mark.parametrize("doc", ["", "  ", "...", "TODO", "N/A", "No docs yet.", "(undocumented)", "FIXME add docs", "Needs documentation.", "merge_rows", "merge_rows()", "The merge rows function.", "Merges rows.", ":param a:\n:param b:\n:return:", "Args:\n    a:\n    b:", "-----"])

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.core import by_key
 from tracelake.llm.syntax.common import Lines, Problem
 from tracelake.llm.syntax.javascript import js_problems
 from tracelake.llm.syntax.json_toml import json_problems, toml_problems
@@ -66,10 +65,13 @@ PARSED = "file_id bigint, repo string, rel_path string, language string, n_error
 
 
 def one_per_file(files: DataFrame) -> DataFrame:
-    """Of several deliveries of a file the one with the latest ``loaded_at`` (the greatest content on a tie)."""
+    """Of several deliveries of a file the one with the latest ``loaded_at`` (the greatest content on a tie).
+
+    A partial aggregate leaves one delivery of a file in each input partition before anything moves, so a file that is
+    delivered over and over does not pile up in one task. The result is hashed by ``file_id``.
+    """
     best = F.max(F.struct("loaded_at", "repo", "rel_path", "content")).alias("b")
-    rows = files.where(F.col("file_id").isNotNull()).select("file_id", "loaded_at", "repo", "rel_path", "content")
-    return by_key(rows, "file_id").groupBy("file_id").agg(best).select("file_id", "b.repo", "b.rel_path", "b.content")
+    return files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(best).select("file_id", "b.repo", "b.rel_path", "b.content")
 
 
 def parse_files(files: DataFrame) -> DataFrame:

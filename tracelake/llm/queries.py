@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.core import table
+from tracelake.core import cut, table
 from tracelake.llm import broken, encode, leaks, pairs, secrets, spam, survivors
 
 
@@ -57,13 +57,13 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.documented_functions(table(spark, sf_dir, "source_files")).select("file_id", "qualified_name", "start_line").distinct()
+    return pairs.documented_functions(pairs.token_rows(table(spark, sf_dir, "source_files"))).select("file_id", "qualified_name", "start_line").distinct()
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function, documentation, and the comment right above it, if there is one."""
-    files = table(spark, sf_dir, "source_files")
-    return pairs.documented_functions(files).join(pairs.leading_comments(files), ["file_id", "name", "start_line"], "left")
+    tokens = cut(pairs.token_rows(table(spark, sf_dir, "source_files")))
+    return pairs.documented_functions(tokens).join(pairs.leading_comments(tokens), ["file_id", "name", "start_line"], "left")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, robust distance and spam share of every document with words."""
-    return spam.score(spam.cut(spam.feature_table(table(spark, sf_dir, "documents"))))
+    return spam.score(cut(spam.feature_table(table(spark, sf_dir, "documents"))))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_reported, p2_redacted, p3_found, p3_truth, p3_reliability, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean, p10_found, p10_scores)}
