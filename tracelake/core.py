@@ -67,7 +67,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partitions by ``keys``, enough for all cores and as many as the session's shuffles have.
 
-    Groups, windows and Python stages on these keys that follow need no further exchange.
+    Groups and windows on these keys that follow need no further exchange, up to the next Python stage.
     """
     spark = df.sparkSession
     return df.repartition(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
