@@ -126,6 +126,8 @@ class Span(NamedTuple):
     start: int
     end: int
     rule: str
+    #: Where the text of each literal stands, for a value in pieces.
+    pieces: tuple[tuple[int, int], ...] = ()
 
 
 @lru_cache(maxsize=1)
@@ -226,10 +228,10 @@ class _Scan:
         self.script = base.rsplit(".", 1)[-1].lower() == "js"
         self.spans: dict[int, Span] = {}
 
-    def keep(self, start: int, end: int, rule: str) -> None:
+    def keep(self, start: int, end: int, rule: str, pieces: tuple[tuple[int, int], ...] = ()) -> None:
         old = self.spans.get(start)
         if old is None or old.end < end:
-            self.spans[start] = Span(start, end, rule)
+            self.spans[start] = Span(start, end, rule, pieces)
 
     def line_start(self, pos: int) -> int:
         return self.text.rfind("\n", 0, pos) + 1
@@ -402,7 +404,7 @@ class _Scan:
         if m and (not m["prefix"] or m["prefix"].lower() in ("r", "b", "f", "u", "br", "rb", "fr", "rf")):
             if len(m["q"]) != 3 and m["q"] != "`" and "\n" in m["value"]:
                 return
-            pieces, end = [m["value"]], m.end()
+            pieces, end, inner = [m["value"]], m.end(), [m.span("value")]
             formatted = "f" in m["prefix"].lower()
             while True:
                 j = _JOIN.match(text, end)
@@ -414,6 +416,7 @@ class _Scan:
                 if re.match(r"\s*:", text[n.end() : n.end() + 4]):
                     break  # the next key of a mapping
                 pieces.append(n["value"])
+                inner.append(n.span("value"))
                 end = n.end()
             whole = "".join(pieces)
             if "-----BEGIN" in whole or (formatted and "{" in whole):
@@ -426,7 +429,8 @@ class _Scan:
                 shown = d["value"]
             if shown is not None and grants_access(shown.strip(), name):
                 lead = len(m["value"]) - len(m["value"].lstrip())
-                self.keep(m.start("value") + lead, end - (len(m["q"]) if len(pieces) == 1 else 0), "assignment")
+                inner[0] = (inner[0][0] + lead, inner[0][1])
+                self.keep(inner[0][0], end - (len(m["q"]) if len(pieces) == 1 else 0), "assignment", tuple(inner) if len(pieces) > 1 else ())
             return
         if self.code:
             f = _FALLBACK.match(text, at)
@@ -475,10 +479,12 @@ def redact(text: str, spans: list[Span], mark: str = "REDACTED") -> str:
             foot = re.search(r"-----END [^-]*-----$", body)
             gap = gap.group() if gap else "\n"
             out.append(head + gap + mark + (gap + foot.group() if foot else gap))
-        elif re.search(r"[\"'\n]", body):  # in pieces: the text of each literal
-            out.append(re.sub(r"[A-Za-z0-9+/=_!#$%.~-]{2,}(?=[\"'])|(?<=[\"'])[A-Za-z0-9+/=_!#$%.~-]{2,}(?=$)", mark, body) if len(body) < 4096 else mark)
         else:
-            out.append(mark)
+            begun = s.start
+            for a, b in s.pieces or ((s.start, s.end),):
+                out.append(text[begun:a] + (mark if a < b else ""))
+                begun = b
+            out.append(text[begun : s.end])
         at = s.end
     out.append(text[at:])
     return "".join(out)
