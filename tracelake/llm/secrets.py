@@ -82,8 +82,12 @@ GRAMMAR = Automaton(
     }
 )
 _ARMOR = re.compile(
-    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[ \t]*(?:\\r)?(?:\\n|\\?\r?\n)[^\r\n\"'-]*)+?[A-Za-z0-9+/=]{24,}(?:[^-]|-(?!----END))*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?"
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[ \t]*(?:\\r)?(?:\\n|\\?\r?\n)(?:[^\r\n\"'-]*|[ \t]*[A-Za-z]+-[A-Za-z-]+:[ \t][^\r\n\"'\\]*))+?[A-Za-z0-9+/=]{24,}(?:[^-]|-(?!----END))*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?"
 )
+#: A key block in pieces: what its literals hold, and what stands between them.
+_KEY_TEXT = re.compile(r"(?P<foot>-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)|(?P<head>[A-Za-z]+(?:-[A-Za-z]+)*:[ \t][^\r\n\"'`\\]*)|(?P<body>[A-Za-z0-9+/=]+)|\\+[rn]|[ \t]+|\\?\r?\n")
+_KEY_JOIN = re.compile(r"[\s+,.&]+|\\\r?\n|[A-Za-z@$]{1,2}(?=\\?[\"'`])")
+_KEY_QUOTE = re.compile(r"\\*[\"'`]")
 _IDENTIFIED = re.compile(r"identified\s+(?:with\s+\S+\s+)?by\s+(?:password\s+)?(?P<q>\\?['\"])(?P<value>[^'\"\n]*)(?P=q)", re.I)
 _CLIENT = re.compile(r"(?:mysql|mysqldump)\b[^\n|;&]*?\s-p(?P<q>['\"]?)(?P<value>[^\s'\"]+)(?P=q)", re.I)
 _SSHPASS = re.compile(r"sshpass\s+-p\s*(?P<q>['\"]?)(?P<value>[^\s'\"]+)(?P=q)", re.I)
@@ -303,8 +307,11 @@ class _Scan:
                 self.keep(start, end, rule)
         elif rule == "private-key":
             m = _ARMOR.match(text, start)
-            if m and not _MOCK.search(m["body"]):
-                self.keep(start, m.end(), rule)
+            if m:
+                if not _MOCK.search(m["body"]):
+                    self.keep(start, m.end(), rule)
+            else:
+                self.key_in_pieces(start, end)
         elif rule == "connection-string":
             at = text.index(":", start + 3) + 1
             if (following.isalnum() or following in tuple("[$%{<_-")) and grants_access(text[at : end - 1]):
@@ -330,6 +337,28 @@ class _Scan:
             if grants_access(value):
                 self.keep(at, end, rule)
 
+    def key_in_pieces(self, start: int, at: int) -> None:
+        """A key block as several literals, joined or in an array; ``at`` is the end of its opening line."""
+        text = self.text
+        end, pieces, inside = at, [], True
+        while True:
+            m = _KEY_QUOTE.match(text, at)
+            if m:
+                inside = not inside
+            else:
+                m = (_KEY_TEXT if inside else _KEY_JOIN).match(text, at)
+            if not m:
+                break
+            at = m.end()
+            if inside and m.lastgroup in ("foot", "body"):
+                end = at
+                if m.lastgroup == "foot":
+                    break
+                pieces.append(m.span())
+        body = [text[a:b] for a, b in pieces]
+        if any(len(x) >= 24 for x in body) and not _MOCK.search("".join(body)):
+            self.keep(start, end, "private-key", tuple(pieces))
+
     def scheme(self, start: int, head: str) -> None:
         r = {"identified by": _IDENTIFIED, "sshpass": _SSHPASS, "curl ": _CURL}.get(head, _CLIENT)
         m = r.match(self.text, start)
@@ -467,13 +496,14 @@ def find_spans(text: str | None, path: str) -> list[Span]:
 def redact(text: str, spans: list[Span], mark: str = "REDACTED") -> str:
     """``text`` with a placeholder in place of each span; quotes, key names and line ends around it stay.
 
-    The placeholder is a word, so it is valid in any literal; the body of a key block becomes one, between its armor.
+    The placeholder is a word, so it is valid in any literal; the body of a key block becomes one, between its armor. In
+    pieces, each has its own.
     """
     out, at = [], 0
     for s in spans:
         body = text[s.start : s.end]
         out.append(text[at : s.start])
-        if s.rule == "private-key":
+        if s.rule == "private-key" and not s.pieces:
             head = body[: body.index("-----", 5) + 5]
             gap = re.match(r"(?:\\r)?\\n|\\?\r?\n[ \t]*", body[len(head) :])
             foot = re.search(r"-----END [^-]*-----$", body)
