@@ -41,7 +41,11 @@ _MATTER = re.compile(
     r"|@\w|\d{4}-\d\d-\d\d[ T]\d|\[?\d\d:\d\d:\d\d|[-*+]?\s*v?\d+\.\d+(?:\.\d+)*\s*[:\u2013-]|[\w.-]+\s*(?:==|>=|<=|~=)\s*\d)"
 )
 _CODE = re.compile(r"[(){}\[\];=<>\\]")
-_BREAKS = re.compile(r"[|\u00bb\u00ab\u00b7\u2022;,/>]+|\s[-\u2013]\s")
+_BREAKS = re.compile(r"[|、，；・\u00bb\u00ab\u00b7\u2022;,/>]+|\s[-\u2013]\s")
+
+#: Pairs of Chinese or Japanese characters count as keywords in units with at most this share of function characters;
+#: common words recur in prose, which has more of these.
+MOST_PARTICLES = 0.05
 
 FEATURES = ("density", "repetition", "monotony", "function_gap", "tagging")
 SCHEMA = "doc_id {kind}, group string, density double, repetition double, monotony double, function_gap double, tagging double, share double"
@@ -108,7 +112,11 @@ def features(text: str) -> tuple[str, float, float, float, float, float, float]
     lang, covers = language(every)
     lang = lang if covers >= 0.05 else "none"
     known = FUNCTION_WORDS.get(lang, frozenset())
-    content = [[w if w not in _ANY and _PLAIN.fullmatch(w) and not _CJK.match(w) else None for w in ws] for ws in by_unit]
+    content = []
+    for ws in by_unit:
+        signs = [w for w in ws if _CJK.match(w)]
+        bare = sum(w in _ANY for w in signs) <= MOST_PARTICLES * len(signs)
+        content.append([w if w not in _ANY and (bare if _CJK.match(w) else _PLAIN.fullmatch(w)) else None for w in ws])
     pairs: Counter = Counter()
     gaps: dict = {}
     last: dict = {}
