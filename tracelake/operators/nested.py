@@ -39,7 +39,7 @@ def parse_json(text: str | None):
 def find_key(value, key: str):
     """The shallowest object that has ``key``, inside any objects, arrays and JSON-in-text; ``None`` without one."""
     level = [value]
-    for _ in range(64):
+    while level:
         deeper = []
         for x in level:
             if isinstance(x, str) and not isinstance(x, _Number) and x.strip(_SPACE)[:1] in ('"', "{", "["):
@@ -56,8 +56,6 @@ def find_key(value, key: str):
                 deeper.extend(x.values())
             elif isinstance(x, list):
                 deeper.extend(x)
-        if not deeper:
-            return None
         level = deeper
     return None
 
