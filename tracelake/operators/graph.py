@@ -18,8 +18,16 @@ def unknown(c: Column | str) -> Column:
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:
-    """``(src_id, dst_id, kind, resolved)``: one edge for each triple, the attributes of the last one by ``ordinal``."""
-    return edges.groupBy("src_id", "dst_id", "kind").agg(F.max_by("resolved", "ordinal").alias("resolved"))
+    """``(src_id, dst_id, kind, resolved)``: one edge for each triple, the last by ``ordinal``; on a tie a resolved one."""
+    return edges.groupBy("src_id", "dst_id", "kind").agg(F.max(F.struct("ordinal", "resolved")).alias("b")).select("src_id", "dst_id", "kind", F.col("b.resolved").alias("resolved"))
+
+
+def unknown_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(dst_id, file_path)``: call targets that no node has, with the file of their first known caller by ``ordinal``."""
+    known = nodes.select("node_id").distinct()
+    callers = nodes.select(F.col("node_id").alias("src_id"), "file_path").distinct()
+    first = edges.where("kind = 'calls'").join(callers, "src_id").groupBy("dst_id").agg(F.min(F.struct("ordinal", "file_path")).alias("f"))
+    return first.join(known, first["dst_id"] == known["node_id"], "left_anti").select("dst_id", F.col("f.file_path").alias("file_path"))
 
 
 def full_graph(edges: DataFrame) -> DataFrame:
@@ -95,6 +103,12 @@ def shortest_paths(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     return _frontier_search(graph.select("src_id", "dst_id").distinct(), start, ["node"])
 
 
+def reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(node_id)``: what any of ``seeds(node_id)`` reaches, itself included."""
+    start = seeds.select(F.col("node_id").alias("node")).distinct().select("node", F.lit(None).cast(_NO_PATH).alias("path"))
+    return _frontier_search(graph.select("src_id", "dst_id").distinct(), start, ["node"]).select(F.col("node").alias("node_id"))
+
+
 GOOD, FAR, PAIR = 0, 1, 2
 
 

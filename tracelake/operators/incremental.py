@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators import graph as G
+
 
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(path, kind, old_path)`` between two states ``(rel_path, content_hash)``: added, modified, deleted, renamed.
@@ -86,6 +88,20 @@ def invalid_paths(evidence: DataFrame, dirty: DataFrame, new_edges: DataFrame) -
     return empty.unionByName(touched).unionByName(into).distinct()
 
 
+def affected_targets(targets: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(finding_id)`` of targets that a change of edges can touch at all: those behind an end of a changed edge.
+
+    ``old`` and ``new`` are graphs ``(src_id, dst_id, resolved)``. No way to any other target leads over a changed edge, so
+    its class, path and radius stay. Exact, where ``invalid_paths`` looks at the known paths only.
+    """
+    both = old.withColumn("side", F.lit(1)).unionByName(new.withColumn("side", F.lit(2))).groupBy("src_id", "dst_id").agg(F.count("*").alias("n"), F.min("resolved").alias("a"), F.max("resolved").alias("b"))
+    both = G.cut(both)
+    changed = both.where((F.col("n") < 2) | (F.col("a") != F.col("b")))
+    ends = changed.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct()
+    behind = G.reached(both, ends)
+    return targets.join(behind, "node_id", "left_semi").select("finding_id").distinct()
+
+
 def update_evidence(evidence: DataFrame, targets: DataFrame, invalid: DataFrame, recompute) -> DataFrame:
     """``evidence`` with the findings of ``invalid`` (and those without evidence) computed anew by ``recompute(targets)``."""
     kept = evidence.join(invalid, "finding_id", "left_anti")

@@ -68,10 +68,15 @@ def file_fold(nodes: DataFrame, edges: DataFrame, findings: DataFrame, entry_poi
     bad = findings.join(where, "node_id").groupBy("file").agg(F.count("*").alias("n_findings"), F.max_by("reachable", reach_rank(F.col("reachable"))).alias("worst"))
     size = nodes.groupBy(F.col("file_path").alias("file")).agg(F.count_if(F.col("kind") == "function").alias("n_functions"))
     shown = size.join(bad, "file", "left").join(entry, "file", "left").na.fill(0, ["n_findings"]).withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
+    return shown, file_links(nodes, edges)
+
+
+def file_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(src, dst, n, kind)`` between different files; the kind is "calls" if any of the links is one."""
+    where = nodes.select("node_id", F.col("file_path").alias("file"))
     e = edges.where(F.col("kind").isin("calls", "imports", "inherits")).select("src_id", "dst_id", "kind").distinct()
     e = e.join(where.select(F.col("node_id").alias("src_id"), F.col("file").alias("src")), "src_id").join(where.select(F.col("node_id").alias("dst_id"), F.col("file").alias("dst")), "dst_id")
-    links = e.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.when(F.max(F.col("kind") == "calls"), "calls").otherwise(F.min("kind")).alias("kind"))
-    return shown, links
+    return e.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.when(F.max(F.col("kind") == "calls"), "calls").otherwise(F.min("kind")).alias("kind"))
 
 
 def build_report(findings: DataFrame, nodes: DataFrame, edges: DataFrame, entry_points: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:

@@ -1,7 +1,7 @@
-"""The graph queries over the whole code graph: every row of ``nodes``, ``edges`` and ``raw_findings``.
+"""The graph queries with the entry points that the source files declare.
 
-Ids are scoped by repository, as names repeat between repositories. Entry points come from the source files. There is no
-SQL of these, as walks over whole graphs are too slow there; tests hold them against small graphs worked out by hand.
+There is no SQL of these, as SQL can't parse the files; tests hold them against small graphs worked out by hand. The same
+operators over entry points that SQL can tell are in ``graph_queries``.
 """
 
 from __future__ import annotations
@@ -10,27 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
-from tracelake.operators import evaluate, extract, incremental, reach
+from tracelake.operators import evaluate, extract, reach
 from tracelake.operators import graph as G
+from tracelake.plans import code_graph as P
 from tracelake.plans import table_queries as T
 
 
-def _scoped(c: str) -> F.Column:
-    """An id within its repository; what is unknown stays marked as such."""
-    return F.when(G.unknown(c), F.concat(F.lit(G.UNKNOWN), "repo", F.lit("/"), F.substr(c, F.lit(len(G.UNKNOWN) + 1)))).otherwise(F.concat("repo", F.lit("/"), c))
-
-
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = T._nodes(spark, sf_dir).where("node_id is not null")
-    return n.select(_scoped("node_id").alias("node_id"), "kind", "qualified_name", F.concat_ws("/", "repo", "file_path").alias("file_path"), "start_line", "end_line", "ordinal").distinct()
-
-
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T._edges(spark, sf_dir).select(_scoped("src_id").alias("src_id"), _scoped("dst_id").alias("dst_id"), "kind", "resolved", "ordinal")
-
-
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).where("kind = 'calls'").dropna(subset=["src_id", "dst_id"])
+nodes, edges, calls = P.nodes, P.edges, P.calls
 
 
 def _source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +44,7 @@ def _anchors(spark: SparkSession, sf_dir: str, refs: DataFrame) -> DataFrame:
 def targets(spark: SparkSession, sf_dir: str, anchors: DataFrame) -> DataFrame:
     """``(finding_id, node_id)`` of every finding; a null node where the code has no place for it."""
     repo = findings(spark, sf_dir).select("finding_id", "repo")
-    at = T.finding_nodes(spark, sf_dir).withColumn("finding_id", F.col("finding_id").cast("string")).join(repo, "finding_id").select("finding_id", _scoped("node_id").alias("node_id"))
+    at = T.finding_nodes(spark, sf_dir).withColumn("finding_id", F.col("finding_id").cast("string")).join(repo, "finding_id").select("finding_id", P.scoped("node_id").alias("node_id"))
     known = at.unionByName(anchors.select("finding_id", "node_id")).dropna()
     return repo.select("finding_id").join(known, "finding_id", "left")
 
@@ -155,30 +141,6 @@ def code_package_in_use(spark, sf_dir) -> DataFrame:
     return _evidence(spark, sf_dir).join(f, "finding_id").select("finding_id", "reachable", F.array_join("path", G.ARROW).alias("path"), "blast_radius")
 
 
-def _change(spark, sf_dir) -> tuple[DataFrame, ...]:
-    """Evidence of all findings and what it is made of; dirty are nodes of thirteen lines, new edges unresolved calls."""
-    entries, refs = _source(spark, sf_dir)
-    t = G.cut(targets(spark, sf_dir, _anchors(spark, sf_dir, refs)))
-    e = G.cut(edges(spark, sf_dir))
-    dirty = nodes(spark, sf_dir).where("end_line - start_line = 12").select("node_id")
-    new = e.where("kind = 'calls' and not resolved").select("src_id", "dst_id").dropna().distinct()
-    return G.cut(reach.trace(t, e, entries)), t, e, entries, dirty, new
-
-
-def code_path_invalidation(spark, sf_dir) -> DataFrame:
-    ev, _, _, _, dirty, new = _change(spark, sf_dir)
-    return incremental.invalid_paths(ev, dirty, new)
-
-
-def code_incremental_equals_full(spark, sf_dir) -> DataFrame:
-    """Rows in which evidence updated step by step differs from evidence computed in full."""
-    ev, t, e, entries, dirty, new = _change(spark, sf_dir)
-    fresh = incremental.update_evidence(ev, t, incremental.invalid_paths(ev, dirty, new), lambda some: reach.trace(some, e, entries))
-    d = fresh.join(ev.select("finding_id", F.col("reachable").alias("r"), F.col("path").alias("p"), F.col("blast_radius").alias("b")), "finding_id", "full")
-    same = F.col("r").eqNullSafe(F.col("reachable")) & F.col("p").eqNullSafe(F.col("path")) & F.col("b").eqNullSafe(F.col("blast_radius"))
-    return d.agg(F.count_if(~same).alias("differences"), F.count("*").alias("n"))
-
-
 def code_miss_classification(spark, sf_dir) -> DataFrame:
     """Calls found in the source files against those of the table, per repository, and why calls are missed."""
     files, facts = T._facts(spark, sf_dir)
@@ -195,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_reachability, code_reachability_counts, code_ranked_topk, code_worst_by_file, code_reach_pairs, code_resolved_depth, code_shortest_paths, code_blast_radius, code_attack_surface, code_path_hops,
-        code_node_degree, code_callers, code_strong_components, code_scc_levels, code_package_in_use, code_path_invalidation, code_incremental_equals_full, code_miss_classification,
+        code_node_degree, code_callers, code_strong_components, code_scc_levels, code_package_in_use, code_miss_classification,
     )
 }
 

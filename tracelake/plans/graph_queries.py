@@ -1,4 +1,4 @@
-"""Queries over the stand-in code graph, and their SQL."""
+"""Queries over the code graph, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import graph as G
-from tracelake.operators import locate, reach
-from tracelake.plans import stand_in as P
+from tracelake.operators import locate, reach, report
+from tracelake.plans import code_graph as P
 
 
 def _untrusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,24 +63,22 @@ def ranked_topk(spark, sf_dir) -> DataFrame:
 
 
 def attack_surface(spark, sf_dir) -> DataFrame:
-    """Share of the functions that resolved edges reach from any entry point."""
-    surface = G.attack_surface(G.full_graph(P.edges(spark, sf_dir)), P.entry_points(spark, sf_dir)).withColumn("exposed", F.lit(True))
-    functions = P.nodes(spark, sf_dir).where("kind = 'function'").join(surface, "node_id", "left")
+    """Share of the functions that resolved edges reach from an untrusted entry point."""
+    surface = G.attack_surface(G.full_graph(P.edges(spark, sf_dir)), _untrusted(spark, sf_dir)).withColumn("exposed", F.lit(True))
+    functions = P.nodes(spark, sf_dir).where("kind = 'function'").select("node_id").distinct().join(surface, "node_id", "left")
     return functions.agg(
         F.count("*").alias("functions"), F.count_if(F.coalesce("exposed", F.lit(False))).alias("exposed"), F.round(F.count_if(F.coalesce("exposed", F.lit(False))) / F.count("*"), 6).alias("ratio")
     )
 
 
 def worst_reach_by_file(spark, sf_dir) -> DataFrame:
-    files = P.nodes(spark, sf_dir).select("node_id", F.col("file_path"))
-    return reach.worst_by(_judged(spark, sf_dir).join(files, "node_id"), "file_path")
+    return reach.worst_by(_judged(spark, sf_dir), "file_path")
 
 
 def file_link_fold(spark, sf_dir) -> DataFrame:
-    files = P.nodes(spark, sf_dir).select("node_id", "file_path")
-    e = P.calls(spark, sf_dir).select("src_id", "dst_id").distinct()
-    e = e.join(files.select(F.col("node_id").alias("src_id"), F.col("file_path").alias("src_file")), "src_id").join(files.select(F.col("node_id").alias("dst_id"), F.col("file_path").alias("dst_file")), "dst_id")
-    return e.where("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.count("*").alias("n"))
+    """Calls between files, and whether any link is a call."""
+    nodes = P.nodes(spark, sf_dir).groupBy("node_id").agg(F.min("kind").alias("kind"), F.min("file_path").alias("file_path"))
+    return report.file_links(nodes, P.edges(spark, sf_dir))
 
 
 def node_degree(spark, sf_dir) -> DataFrame:
@@ -89,9 +87,7 @@ def node_degree(spark, sf_dir) -> DataFrame:
 
 def edges_last_wins(spark, sf_dir) -> DataFrame:
     """One edge per (source, target, kind), the last by ordinal; a resolved one on a tie."""
-    e = P.edges(spark, sf_dir)
-    best = F.max(F.struct("ordinal", "resolved")).alias("b")
-    return e.groupBy("src_id", "dst_id", "kind").agg(best).select("src_id", "dst_id", "kind", F.col("b.resolved").alias("resolved"))
+    return G.unique_edges(P.edges(spark, sf_dir))
 
 
 def callers_agg(spark, sf_dir) -> DataFrame:
@@ -122,9 +118,8 @@ def innermost_span_last(spark, sf_dir) -> DataFrame:
 
 
 def _innermost(spark, sf_dir, last: bool) -> DataFrame:
-    """Findings as sites at their node's file; the innermost def span over the finding's line."""
-    files = P.nodes(spark, sf_dir).select("node_id", "file_path")
-    sites = P.findings(spark, sf_dir).join(files, "node_id").select(F.col("finding_id").alias("site_id"), "file_path", (F.col("line") * 5).alias("line"))
+    """The innermost def span over each finding's line, the file where there is none."""
+    sites = P.findings(spark, sf_dir).select(F.col("finding_id").alias("site_id"), "file_path", "line")
     spans = P.nodes(spark, sf_dir).where("kind <> 'file'")
     return locate.innermost(sites, spans, last=last).select("site_id", F.coalesce("node_id", "file_path").alias("node_id"))
 
@@ -134,9 +129,7 @@ def dedupe_groups(spark, sf_dir) -> DataFrame:
 
 
 def _groups(spark, sf_dir) -> DataFrame:
-    none = F.lit(None).cast("string")
-    f = P.findings(spark, sf_dir).withColumn("package", none).withColumn("package_version", none).withColumn("rel_path", F.col("node_id"))
-    return locate.duplicate_groups(f)
+    return locate.duplicate_groups(P.findings(spark, sf_dir).withColumnRenamed("file_path", "rel_path"))
 
 
 def cross_source_dupes(spark, sf_dir) -> DataFrame:
@@ -148,9 +141,9 @@ def occurrence_ids(spark, sf_dir) -> DataFrame:
     rows = P.findings(spark, sf_dir).select(
         "source",
         "rule_id",
-        F.col("node_id").alias("rel_path"),
+        F.col("file_path").alias("rel_path"),
         none.alias("source_hash"),
-        F.col("cwe").alias("line_text"),
+        F.coalesce("cwe", F.lit("")).alias("line_text"),
         none.alias("package"),
         none.alias("package_version"),
         "line",
@@ -161,25 +154,20 @@ def occurrence_ids(spark, sf_dir) -> DataFrame:
 
 def unknown_targets(spark, sf_dir) -> DataFrame:
     """Call targets that no definition has, with the file of their first caller."""
-    e = P.calls(spark, sf_dir).where("not resolved")
-    files = P.nodes(spark, sf_dir).select(F.col("node_id").alias("src_id"), "file_path")
-    lost = e.withColumn("dst_id", F.concat(F.lit(G.UNKNOWN), "dst_id")).join(files, "src_id")
-    return lost.groupBy("dst_id").agg(F.min(F.struct("ordinal", "file_path")).alias("f")).select("dst_id", F.col("f.file_path").alias("file_path"))
+    return G.unknown_targets(P.edges(spark, sf_dir), P.nodes(spark, sf_dir)).select("dst_id", "file_path")
 
 
 def package_in_use(spark, sf_dir) -> DataFrame:
-    """Suppliers with a negative balance as vulnerable packages: anchored in the brands they supply, looked at again where
-    those came out unreachable."""
-    from tracelake.core import table
-
-    bad = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(bad, "l_suppkey", "left_semi").distinct()
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file_path"))
-    anchors = pairs.join(part, "l_partkey").select(F.concat(F.lit("pkg-"), "l_suppkey").alias("finding_id"), "file_path").distinct()
-    e = P.edges(spark, sf_dir)
+    """Dependency findings, anchored in the files of their repository that import from elsewhere, looked at again where those
+    came out unreachable."""
+    bad = P.findings(spark, sf_dir).where("package is not null").select("finding_id", "repo")
+    users = P.edges(spark, sf_dir).where("kind = 'imports' and not resolved").select(F.col("src_id").alias("node_id")).distinct()
+    files = P.nodes(spark, sf_dir).where("kind = 'file'").select("node_id", "file_path").distinct().join(users, "node_id", "left_semi")
+    anchors = G.cut(bad.join(files.withColumn("repo", F.split_part("file_path", F.lit("/"), F.lit(1))), "repo").select("finding_id", "node_id", "file_path").distinct())
+    e = G.cut(P.edges(spark, sf_dir))
     entries = P.entry_points(spark, sf_dir)
-    first = reach.trace(anchors.select("finding_id", F.col("file_path").alias("node_id")), e, entries)
-    second = reach.import_in_use(first, anchors, e, P.nodes(spark, sf_dir), entries)
+    first = reach.trace(anchors.select("finding_id", "node_id"), e, entries)
+    second = reach.import_in_use(G.cut(first), anchors.select("finding_id", "file_path"), e, P.nodes(spark, sf_dir), entries)
     return second.select("finding_id", "reachable", F.array_join("path", G.ARROW).alias("path"), "blast_radius")
 
 
@@ -227,14 +215,16 @@ _EVIDENCE = (P.GOOD, P.FAR, P.PAIRS, P.EVIDENCE)
 
 def _span(order: str) -> str:
     return P.sql(
-        f"""SELECT site_id, coalesce(hit, file_path) AS node_id FROM (SELECT s.site_id, s.file_path, n.node_id AS hit,
-    row_number() OVER (PARTITION BY s.site_id ORDER BY n.start_line DESC NULLS LAST, n.ordinal {order}) AS rn
-  FROM (SELECT f.finding_id AS site_id, n.file_path, f.line * 5 AS line FROM findings f JOIN nodes n ON n.node_id = f.node_id) s
-  LEFT JOIN (SELECT * FROM nodes WHERE kind <> 'file') n ON n.file_path = s.file_path AND s.line BETWEEN n.start_line AND n.end_line) WHERE rn = 1"""
+        f"""SELECT site_id, coalesce(hit, file_path) AS node_id FROM (SELECT s.finding_id AS site_id, s.file_path, n.node_id AS hit,
+    row_number() OVER (PARTITION BY s.finding_id ORDER BY n.start_line DESC NULLS LAST, n.ordinal {order}) AS rn
+  FROM findings s LEFT JOIN (SELECT * FROM defs WHERE kind <> 'file') n ON n.file_path = s.file_path AND s.line BETWEEN n.start_line AND n.end_line) WHERE rn = 1"""
     )
 
 
-_GROUPS = """groups AS (SELECT node_id AS anchor, cwe AS weakness, line, list_sort(list(finding_id)) AS members, count(DISTINCT source) AS n_sources FROM findings GROUP BY 1, 2, 3)"""
+_GROUPS = """groups AS (SELECT CASE WHEN package IS NOT NULL THEN 'pkg:' || package || '@' || coalesce(package_version, '') ELSE coalesce(node_id, file_path) END AS anchor,
+    CASE WHEN package IS NOT NULL THEN rule_id ELSE coalesce(cwe, source || ':' || rule_id) END AS weakness, CAST(CASE WHEN package IS NOT NULL THEN 0 ELSE line END AS INTEGER) AS line,
+    list_sort(list(finding_id)) AS members, count(DISTINCT source) AS n_sources FROM findings GROUP BY 1, 2, 3)"""
+
 
 SQL = {
     "finding_reachability": P.sql("SELECT f.finding_id, f.node_id, f.source, e.reachable, e.path, e.blast_radius FROM findings f JOIN evidence e USING (finding_id)", *_EVIDENCE),
@@ -248,25 +238,24 @@ SQL = {
     ),
     "attack_surface": P.sql(
         """SELECT count(*) AS functions, count(*) FILTER (WHERE s.node IS NOT NULL) AS exposed, round(count(*) FILTER (WHERE s.node IS NOT NULL) / count(*), 6) AS ratio
-FROM nodes n LEFT JOIN (SELECT DISTINCT node FROM surface) s ON s.node = n.node_id WHERE n.kind = 'function'""",
-        "surface AS (SELECT node_id AS node FROM entry_points UNION SELECT g.dst_id FROM surface s JOIN graph g ON g.src_id = s.node WHERE g.resolved)",
-    ),
-    "worst_reach_by_file": P.sql(
-        f"SELECT n.file_path, count(*) AS n_findings, arg_max(e.reachable, {_RANK}) AS worst FROM findings f JOIN evidence e USING (finding_id) JOIN nodes n ON n.node_id = f.node_id GROUP BY 1", *_EVIDENCE
+FROM (SELECT DISTINCT node_id FROM defs WHERE kind = 'function') n LEFT JOIN (SELECT DISTINCT node FROM surface) s ON s.node = n.node_id""",
+        "surface AS (SELECT node_id AS node FROM untrusted UNION SELECT g.dst_id FROM surface s JOIN graph g ON g.src_id = s.node WHERE g.resolved)",
     ),
+    "worst_reach_by_file": P.sql(f"SELECT f.file_path, count(*) AS n_findings, arg_max(e.reachable, {_RANK}) AS worst FROM findings f JOIN evidence e USING (finding_id) GROUP BY 1", *_EVIDENCE),
     "file_link_fold": P.sql(
-        """SELECT a.file_path AS src_file, b.file_path AS dst_file, count(*) AS n FROM (SELECT DISTINCT src_id, dst_id FROM calls) c
-JOIN nodes a ON a.node_id = c.src_id JOIN nodes b ON b.node_id = c.dst_id WHERE a.file_path <> b.file_path GROUP BY 1, 2"""
+        """SELECT a.f AS src, b.f AS dst, count(*) AS n, CASE WHEN bool_or(c.kind = 'calls') THEN 'calls' ELSE min(c.kind) END AS kind
+FROM (SELECT DISTINCT src_id, dst_id, kind FROM links WHERE kind IN ('calls', 'imports', 'inherits')) c
+JOIN (SELECT node_id, min(file_path) AS f FROM defs GROUP BY 1) a ON a.node_id = c.src_id JOIN (SELECT node_id, min(file_path) AS f FROM defs GROUP BY 1) b ON b.node_id = c.dst_id WHERE a.f <> b.f GROUP BY 1, 2"""
     ),
     "node_degree": P.sql("SELECT node_id, count(*) AS degree FROM (SELECT src_id AS node_id FROM calls UNION ALL SELECT dst_id FROM calls) GROUP BY 1"),
-    "edges_last_wins": P.sql("SELECT src_id, dst_id, kind, max(struct_pack(o := ordinal, r := resolved)).r AS resolved FROM edges GROUP BY 1, 2, 3"),
+    "edges_last_wins": P.sql("SELECT src_id, dst_id, kind, max(struct_pack(o := ordinal, r := resolved)).r AS resolved FROM links GROUP BY 1, 2, 3"),
     "callers_agg": P.sql(
-        "SELECT dst_id AS node_id, array_to_string(list_sort(list(src_id)), ',') AS callers FROM (SELECT DISTINCT src_id, dst_id FROM calls WHERE src_id IN (SELECT node_id FROM nodes)) GROUP BY 1"
+        "SELECT dst_id AS node_id, array_to_string(list_sort(list(src_id)), ',') AS callers FROM (SELECT DISTINCT src_id, dst_id FROM calls WHERE src_id IN (SELECT node_id FROM defs)) GROUP BY 1"
     ),
     "path_hops": P.sql(
         """SELECT h.node, CAST(h.hop AS INTEGER) AS hop, h.src_id, h.dst_id, array_to_string(list_sort(list(DISTINCT e.kind)), '+') AS kinds, bool_or(e.resolved) AS resolved
 FROM (SELECT node, unnest(range(0, len(p) - 1)) AS hop, unnest(p[:-2]) AS src_id, unnest(p[2:]) AS dst_id FROM (SELECT node, string_split(path, ' > ') AS p FROM far) WHERE len(p) > 1) h
-JOIN edges e ON e.src_id = h.src_id AND e.dst_id = h.dst_id GROUP BY 1, 2, 3, 4""",
+JOIN links e ON e.src_id = h.src_id AND e.dst_id = h.dst_id GROUP BY 1, 2, 3, 4""",
         P.FAR,
     ),
     "strong_components": P.sql(
@@ -279,22 +268,28 @@ LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a)
     "dedupe_groups": P.sql("SELECT anchor, weakness, line, array_to_string(members, ',') AS members, n_sources FROM groups", _GROUPS),
     "cross_source_dupes": P.sql("SELECT CAST(coalesce(sum(len(members) - 1), 0) AS BIGINT) AS duplicates FROM groups WHERE n_sources > 1", _GROUPS),
     "occurrence_ids": P.sql(
-        """SELECT finding_id AS row_id, sha256(concat_ws(chr(31), source, rule_id, node_id, cwe,
-  CAST(row_number() OVER (PARTITION BY source, rule_id, node_id, cwe ORDER BY node_id, line, source, rule_id, finding_id) - 1 AS VARCHAR))) AS finding_id FROM findings"""
+        """SELECT finding_id AS row_id, sha256(concat_ws(chr(31), source, rule_id, file_path, coalesce(cwe, ''),
+  CAST(row_number() OVER (PARTITION BY source, rule_id, file_path, coalesce(cwe, '') ORDER BY file_path, line, source, rule_id, finding_id) - 1 AS VARCHAR))) AS finding_id FROM findings"""
     ),
     "unknown_targets": P.sql(
-        "SELECT 'unknown::' || c.dst_id AS dst_id, min(struct_pack(o := c.ordinal, f := n.file_path)).f AS file_path FROM calls c JOIN nodes n ON n.node_id = c.src_id WHERE NOT c.resolved GROUP BY 1"
+        """SELECT c.dst_id, min(struct_pack(o := c.ordinal, f := n.file_path)).f AS file_path FROM links c JOIN defs n ON n.node_id = c.src_id
+WHERE c.kind = 'calls' AND c.dst_id NOT IN (SELECT node_id FROM defs) GROUP BY 1"""
     ),
     "package_in_use": P.sql(
-        """SELECT finding_id, CASE WHEN c.f IS NOT NULL THEN 'unknown' ELSE 'unreachable' END AS reachable, coalesce(c.b.p, '') AS path, coalesce(c.b.r, 0) AS blast_radius
-FROM (SELECT DISTINCT finding_id FROM anchors) a LEFT JOIN (SELECT a.finding_id AS f, min(struct_pack(n := len(string_split(t.path, ' > ')), q := string_split(t.path, ' > '), p := t.path, r := t.radius)) AS b
-  FROM anchors a JOIN nodes n ON n.file_path = a.file_path AND n.kind <> 'file' JOIN blind d ON d.node_id = n.node_id
-  JOIN (SELECT x.node_id, CASE WHEN u.node_id IS NOT NULL THEN x.node_id ELSE coalesce(g.path, r.path) END AS path, CASE WHEN u.node_id IS NOT NULL THEN 1 ELSE b.n END AS radius
-    FROM nodes x LEFT JOIN untrusted u ON u.node_id = x.node_id LEFT JOIN good g ON g.node = x.node_id JOIN far r ON r.node = x.node_id JOIN blast b ON b.node = x.node_id) t ON t.node_id = n.node_id
-  GROUP BY 1) c ON c.f = a.finding_id""",
+        """SELECT finding_id, CASE WHEN c.f IS NOT NULL THEN 'unknown' ELSE first.reachable END AS reachable, coalesce(c.b.p, first.path) AS path, coalesce(c.b.r, first.radius) AS blast_radius
+FROM first LEFT JOIN (SELECT a.finding_id AS f, min(struct_pack(n := len(string_split(t.path, ' > ')), q := string_split(t.path, ' > '), p := t.path, r := t.radius)) AS b
+  FROM anchors a JOIN first USING (finding_id) JOIN defs n ON n.file_path = a.file_path AND n.kind <> 'file' JOIN blind d ON d.node_id = n.node_id JOIN traced t ON t.node_id = n.node_id
+  WHERE first.reachable = 'unreachable' GROUP BY 1) c ON c.f = first.finding_id""",
         P.GOOD, P.FAR, P.PAIRS,
-        "anchors AS (SELECT DISTINCT 'pkg-' || CAST(l.l_suppkey AS VARCHAR) AS finding_id, p.p_brand AS file_path FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_acctbal < 0 JOIN part p ON p.p_partkey = l.l_partkey)",
-        "blind AS (SELECT DISTINCT src_id AS node_id FROM calls WHERE NOT resolved)",
+        "anchors AS (SELECT DISTINCT f.finding_id, n.node_id, n.file_path FROM findings f JOIN defs n ON f.package IS NOT NULL AND n.kind = 'file' AND split_part(n.file_path, '/', 1) = f.repo JOIN (SELECT DISTINCT src_id FROM links WHERE kind = 'imports' AND NOT resolved) i ON i.src_id = n.node_id)",
+        "blind AS (SELECT DISTINCT src_id AS node_id FROM calls WHERE NOT resolved OR starts_with(dst_id, 'unknown::'))",
+        """traced AS MATERIALIZED (SELECT x.node_id, CASE WHEN u.node_id IS NOT NULL OR g.node IS NOT NULL THEN 1 ELSE 2 END AS k, CASE WHEN u.node_id IS NOT NULL THEN x.node_id ELSE coalesce(g.path, r.path) END AS path, CASE WHEN u.node_id IS NOT NULL THEN 1 ELSE b.n END AS radius
+    FROM ends x LEFT JOIN untrusted u ON u.node_id = x.node_id LEFT JOIN good g ON g.node = x.node_id JOIN far r ON r.node = x.node_id JOIN blast b ON b.node = x.node_id)""",
+        """seen AS MATERIALIZED (SELECT a.finding_id, count(k.node_id) AS inside, min(CASE WHEN t.k = 1 THEN struct_pack(n := len(string_split(t.path, ' > ')), q := string_split(t.path, ' > '), p := t.path) END) AS good,
+    min(struct_pack(n := len(string_split(t.path, ' > ')), q := string_split(t.path, ' > '), p := t.path)) AS far FROM anchors a LEFT JOIN ends k ON k.node_id = a.node_id LEFT JOIN traced t ON t.node_id = a.node_id GROUP BY 1)""",
+        """radius AS MATERIALIZED (SELECT a.finding_id, count(DISTINCT p.seed) AS n FROM anchors a JOIN pairs p ON p.node = a.node_id GROUP BY 1)""",
+        """first AS MATERIALIZED (SELECT s.finding_id, CASE WHEN inside = 0 THEN 'unknown' WHEN good IS NOT NULL THEN 'reachable' WHEN far.n IS NOT NULL THEN 'unknown' ELSE 'unreachable' END AS reachable,
+    CASE WHEN inside = 0 THEN '' ELSE coalesce(good.p, far.p, '') END AS path, CASE WHEN inside = 0 OR far.n IS NULL THEN 0 ELSE coalesce(r.n, 0) END AS radius FROM seen s LEFT JOIN radius r USING (finding_id))""",
     ),
     "rules_literal": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{r}', '{p}', CAST({b} AS BIGINT))" for f, _, r, p, b in RULE_EXPECT) + ") AS t(finding_id, reachable, path, blast_radius)",
 }

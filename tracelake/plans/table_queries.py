@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.core import table
 from tracelake.functions import scalar as S
-from tracelake.operators import deps, evaluate, extract, incremental, locate, report, triage
+from tracelake.operators import deps, evaluate, extract, incremental, locate, reach, report, triage
 from tracelake.operators import graph as G
 from tracelake.plans import graph_queries as GQ
-from tracelake.plans import stand_in as P
+from tracelake.plans import code_graph as P
 from tracelake.sources import files as source_files
 from tracelake.sources import reports
 from tracelake.streaming import changes
@@ -23,23 +23,8 @@ def _files(spark, sf_dir) -> DataFrame:
     return rows.groupBy("file_id", "repo", "rel_path").agg(best).select("file_id", "repo", "rel_path", F.col("b.content").alias("content"))
 
 
-def _nodes(spark, sf_dir) -> DataFrame:
-    cols = ["repo", "node_id", "kind", "qualified_name", "file_path", "start_line", "end_line", "source_hash", "ordinal"]
-    return table(spark, sf_dir, "nodes").select(*cols).distinct()
-
-
-def _edges(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "edges")
-    return e.select("repo", "src_id", "dst_id", F.lower(F.trim("kind")).alias("kind"), "resolved", "ordinal")
-
-
-def _findings(spark, sf_dir) -> DataFrame:
-    """Each finding once, spelling put in order."""
-    f = table(spark, sf_dir, "raw_findings").dropDuplicates(["finding_id"])
-    return f.select(
-        "finding_id", "repo", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("source"), "rule_id", "rel_path", "line", "raw_severity", "severity", S.cwe("cwe").alias("cwe"), "message",
-        "package", "package_version", "fixed_in", "aliases", "scan_ordinal",
-    )
+_nodes, _edges, _findings = P.raw_nodes, P.raw_edges, P.raw_findings
+finding_nodes = P.finding_nodes
 
 
 def source_inventory(spark, sf_dir) -> DataFrame:
@@ -55,8 +40,7 @@ def copied_files(spark, sf_dir) -> DataFrame:
 
 
 def severity_bands(spark, sf_dir) -> DataFrame:
-    f = table(spark, sf_dir, "raw_findings").dropDuplicates(["finding_id"])
-    return f.select("finding_id", S.severity_of_score("raw_severity").alias("band"), S.severity_of_word("raw_severity").alias("word"), S.cwe("cwe").alias("cwe"))
+    return _findings(spark, sf_dir).select("finding_id", S.severity_of_score("raw_severity").alias("band"), S.severity_of_word("raw_severity").alias("word"), S.cwe("cwe").alias("cwe"))
 
 
 def primary_ids(spark, sf_dir) -> DataFrame:
@@ -74,7 +58,7 @@ def upgrade_to(spark, sf_dir) -> DataFrame:
 def finding_line_text(spark, sf_dir) -> DataFrame:
     f = _findings(spark, sf_dir).where("line > 0").select("finding_id", "repo", "rel_path", "line")
     src = _files(spark, sf_dir).select("repo", "rel_path", "content")
-    return f.join(src, ["repo", "rel_path"]).select("finding_id", F.coalesce(F.trim(F.get(F.split("content", "\n"), F.col("line") - 1)), F.lit("")).alias("text"))
+    return f.join(src, ["repo", "rel_path"]).select("finding_id", locate.line_text(F.col("content"), F.col("line")).alias("text"))
 
 
 def node_snippets(spark, sf_dir) -> DataFrame:
@@ -85,15 +69,6 @@ def node_snippets(spark, sf_dir) -> DataFrame:
     return j.select("repo", "node_id", F.sha2(text, 256).alias("snippet_hash"), F.length(text).alias("n_chars"))
 
 
-def finding_nodes(spark, sf_dir) -> DataFrame:
-    """Findings at the innermost definition of their file; the file's node where none holds the line."""
-    nodes = _nodes(spark, sf_dir).withColumn("file_path", F.concat_ws("/", "repo", "file_path"))
-    sites = _findings(spark, sf_dir).where("package is null").select(F.col("finding_id").alias("site_id"), F.concat_ws("/", "repo", "rel_path").alias("file_path"), "line")
-    found = locate.innermost(sites, nodes.where("kind <> 'file'"), last=True)
-    files = nodes.where("kind = 'file'").groupBy("file_path").agg(F.min("node_id").alias("file_node"))
-    return found.join(files, "file_path", "left").select(F.col("site_id").alias("finding_id"), F.coalesce("node_id", "file_node").alias("node_id"))
-
-
 def mapping_stats(spark, sf_dir) -> DataFrame:
     at = finding_nodes(spark, sf_dir)
     f = _findings(spark, sf_dir).join(at, "finding_id", "left")
@@ -267,27 +242,22 @@ def file_change_kinds(spark, sf_dir) -> DataFrame:
     return incremental.file_changes(o, n).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _path_case(spark, sf_dir):
-    """Findings with their paths; dirty are nodes of size 13, new edges those from suppliers' odd orders."""
+def path_invalidation(spark, sf_dir) -> DataFrame:
+    """Findings whose paths hold a node of thirteen lines, have an unresolved call into them, or are empty."""
     ev = G.cut(GQ._evidence(spark, sf_dir))
-    dirty = table(spark, sf_dir, "part").where("p_size = 13").select(F.col("p_partkey").cast("string").alias("node_id"))
+    dirty = P.nodes(spark, sf_dir).where("end_line - start_line = 12").select("node_id")
     new = P.calls(spark, sf_dir).where("not resolved").select("src_id", "dst_id").distinct()
-    return ev, dirty, new
-
-
-def path_invalidation(spark, sf_dir) -> DataFrame:
-    return incremental.invalid_paths(*_path_case(spark, sf_dir))
+    return incremental.invalid_paths(ev, dirty, new)
 
 
 def incremental_equals_full(spark, sf_dir) -> DataFrame:
-    """Rows in which evidence updated step by step differs from evidence computed in full."""
-    ev, dirty, new = _path_case(spark, sf_dir)
-    targets = P.findings(spark, sf_dir).select("finding_id", "node_id")
-    invalid = incremental.invalid_paths(ev, dirty, new)
-    fresh = incremental.update_evidence(ev, targets, invalid, lambda t: GQ.reach.trace(t, P.edges(spark, sf_dir), P.entry_points(spark, sf_dir)))
-    d = fresh.join(ev.select("finding_id", F.col("reachable").alias("r"), F.col("path").alias("p"), F.col("blast_radius").alias("b")), "finding_id", "full")
-    same = F.col("r").eqNullSafe(F.col("reachable")) & F.col("p").eqNullSafe(F.col("path")) & F.col("b").eqNullSafe(F.col("blast_radius"))
-    return d.agg(F.count_if(~same).alias("differences"), F.count("*").alias("n"))
+    """Evidence of the graph without imports and unresolved edges, brought up to date for all edges step by step."""
+    e, entries, t = G.cut(P.edges(spark, sf_dir)), P.entry_points(spark, sf_dir), G.cut(P.findings(spark, sf_dir).select("finding_id", "node_id"))
+    before = e.where("kind <> 'imports' and resolved")
+    old = G.cut(reach.trace(t, before, entries))
+    touched = incremental.affected_targets(t, G.full_graph(before), G.full_graph(e))
+    fresh = incremental.update_evidence(old, t, G.cut(touched), lambda some: reach.trace(some, e, entries))
+    return fresh.select("finding_id", "reachable", F.array_join("path", G.ARROW).alias("path"), "blast_radius")
 
 
 def stream_incremental_counts(spark, sf_dir) -> DataFrame:
@@ -312,15 +282,11 @@ def stream_snapshot_state(spark, sf_dir) -> DataFrame:
 
 
 def _eval_case(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    files = part.select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_brand").alias("file_path"), F.col("p_name").alias("qualified_name"))
-    f = P.findings(spark, sf_dir).join(files, "node_id").join(GQ._evidence(spark, sf_dir), "finding_id")
-    f = f.select(
-        "finding_id", "file_path", "qualified_name", "cwe", F.lit(None).cast("string").alias("package"), "reachable", F.lower("raw_severity").alias("severity"), F.lit(None).cast("string").alias("verdict"), F.substr("file_path", F.lit(1), F.lit(7)).alias("repo")
-    )
-    truth = part.where("p_size % 3 = 0").select(
-        F.substr("p_brand", F.lit(1), F.lit(7)).alias("repo"), F.col("p_partkey").cast("string").alias("case_id"), F.col("p_brand").alias("file"), F.col("p_name").alias("function"), F.array(F.concat(F.lit("CWE-"), F.col("p_partkey") % 7 + 1)).alias("cwes")
-    )
+    """Findings with evidence; what two or more scanner findings agree on counts as a true case."""
+    f = P.findings(spark, sf_dir).join(GQ._evidence(spark, sf_dir), "finding_id")
+    f = f.select("finding_id", "file_path", F.lit(None).cast("string").alias("qualified_name"), "cwe", "package", "reachable", F.lower(F.trim("severity")).alias("severity"), F.lit(None).cast("string").alias("verdict"), "repo")
+    g = table(spark, sf_dir, "duplicate_groups").where(F.size(F.array_distinct("members")) > 1).where(~F.contains("anchor", F.lit("@")))
+    truth = g.select("repo", F.col("group_id").cast("string").alias("case_id"), F.concat_ws("/", "repo", "anchor").alias("file"), F.lit(None).cast("string").alias("function"), F.array("weakness").alias("cwes")).distinct()
     f = G.cut(f)
     return f, G.cut(evaluate.hits(f, truth)), truth
 
@@ -339,13 +305,14 @@ def random_baseline(spark, sf_dir) -> DataFrame:
 
 
 def _edge_case(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *P.ITEM_ORDER)
-    w = Window.partitionBy("l_orderkey").orderBy(*P.ITEM_ORDER)
-    all_pairs = items.withColumn("dst", F.lead("l_partkey").over(w)).where((F.col("dst") != F.col("l_partkey")) & (F.col("l_quantity") <= 2))
-    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("category"))
-    j = all_pairs.join(brand, "l_partkey").select("category", F.col("l_partkey").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "l_linestatus", (F.col("l_returnflag") != "R").alias("resolved"))
-    nodes = table(spark, sf_dir, "part").where("p_size <> 50").select(F.col("p_partkey").cast("string").alias("node_id"))
-    return j.select("category", "src", "dst", "resolved"), j.where("l_linestatus = 'F'").select("category", "src", "dst"), nodes
+    """Calls as emitted; true are those that are resolved, and those of a name that one definition of the repository has."""
+    repo = F.split_part(F.regexp_replace("src_id", "^unknown::", ""), F.lit("/"), F.lit(1))
+    emitted = P.calls(spark, sf_dir).select(repo.alias("category"), F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), (F.col("resolved") & ~G.unknown("dst_id")).alias("resolved"))
+    known = P.nodes(spark, sf_dir).where("kind = 'function'").select("node_id", F.split_part("node_id", F.lit("/"), F.lit(1)).alias("category"), S.last_part("qualified_name").alias("name")).distinct()
+    by_name = known.groupBy("category", "name").agg(F.min("node_id").alias("dst"), F.countDistinct("node_id").alias("n")).where("n = 1").drop("n")
+    lost = emitted.where("not resolved").select("category", "src", S.last_part(F.element_at(F.split("dst", "/"), -1)).alias("name"))
+    truth = emitted.where("resolved").select("category", "src", "dst").unionByName(lost.join(by_name, ["category", "name"]).select("category", "src", "dst"))
+    return emitted, truth, P.nodes(spark, sf_dir).select("node_id").distinct()
 
 
 def miss_classification(spark, sf_dir) -> DataFrame:
@@ -427,15 +394,11 @@ QUERIES = {
     )
 }
 
-_F = """f AS (SELECT DISTINCT ON (finding_id) finding_id, repo, coalesce(lower(trim(source)), 'unknown') AS source, rule_id, rel_path, line, raw_severity, severity,
-  CASE WHEN try_cast(regexp_extract(trim(cwe), '^(?:CWE-)?0*([0-9]+)', 1, 'i') AS BIGINT) > 0 THEN 'CWE-' || regexp_extract(trim(cwe), '^(?:CWE-)?0*([0-9]+)', 1, 'i') END AS cwe,
-  message, package, package_version, fixed_in, aliases, scan_ordinal FROM raw_findings)"""
+_F = P.RAW_FINDINGS
 _SRC = """src AS (SELECT file_id, repo, rel_path, max(struct_pack(l := loaded_at, c := content)).c AS content FROM source_files GROUP BY 1, 2, 3)"""
-_N = "n AS (SELECT DISTINCT repo, node_id, kind, qualified_name, file_path, start_line, end_line, source_hash, ordinal FROM nodes)"
+_N = P.RAW_NODES
 _E = "e AS (SELECT repo, src_id, dst_id, lower(trim(kind)) AS kind, resolved, ordinal FROM edges)"
-_AT = f"""{_F}, {_N}, located AS (SELECT f.finding_id, f.rel_path, coalesce(
-    (SELECT arg_max(n.node_id, struct_pack(s := n.start_line, o := n.ordinal)) FROM n WHERE n.kind <> 'file' AND n.repo = f.repo AND n.file_path = f.rel_path AND f.line BETWEEN n.start_line AND n.end_line),
-    (SELECT min(n.node_id) FROM n WHERE n.kind = 'file' AND n.repo = f.repo AND n.file_path = f.rel_path)) AS node_id FROM f WHERE package IS NULL)"""
+_AT = f"{_F}, {_N}, {P.LOCATED}"
 _STATE = """span AS (SELECT repo, min(snapshot_no) AS a, max(snapshot_no) AS b FROM node_snapshots GROUP BY 1 HAVING a < b),
 st AS (SELECT s.repo || '/' || s.file_path AS file_path, s.qualified_name, s.snapshot_no = x.a AS is_old, s.snapshot_no = x.b AS is_new,
     max(struct_pack(l := s.loaded_at, h := coalesce(lower(regexp_replace(s.source_hash, '^sha256:', '')), ''), n := s.repo || '/' || s.node_id, k := s.kind)) AS r
@@ -443,10 +406,9 @@ st AS (SELECT s.repo || '/' || s.file_path AS file_path, s.qualified_name, s.sna
 o AS (SELECT file_path, qualified_name, r.h AS h, r.n AS id, r.k AS k FROM st WHERE is_old), w AS (SELECT file_path, qualified_name, r.h AS h, r.n AS id, r.k AS k FROM st WHERE is_new),
 d AS (SELECT file_path, qualified_name, o.id AS old_id, w.id AS new_id, o.h AS h1, w.h AS h2, coalesce(w.k, o.k) AS kind,
     CASE WHEN o.id IS NULL THEN 'added' WHEN w.id IS NULL THEN 'deleted' WHEN o.h = w.h THEN 'unchanged' ELSE 'modified' END AS status FROM o FULL JOIN w USING (file_path, qualified_name))"""
-_EVAL = """ev AS MATERIALIZED (SELECT f.finding_id, p.p_brand AS file_path, p.p_name AS qn, f.cwe, e.reachable, lower(f.raw_severity) AS severity, substr(p.p_brand, 1, 7) AS repo
-  FROM findings f JOIN part p ON CAST(p.p_partkey AS VARCHAR) = f.node_id JOIN evidence e USING (finding_id)),
-truth AS (SELECT substr(p_brand, 1, 7) AS repo, CAST(p_partkey AS VARCHAR) AS case_id, p_brand AS file, p_name AS fn, 'CWE-' || CAST(p_partkey % 7 + 1 AS VARCHAR) AS cwe FROM part WHERE p_size % 3 = 0),
-hit AS MATERIALIZED (SELECT DISTINCT ev.finding_id, t.case_id FROM ev JOIN truth t ON t.file = ev.file_path AND t.cwe = ev.cwe AND t.fn = ev.qn),
+_EVAL = """ev AS MATERIALIZED (SELECT f.finding_id, f.file_path, f.cwe, f.package, e.reachable, lower(trim(f.severity)) AS severity, f.repo FROM findings f JOIN evidence e USING (finding_id)),
+truth AS (SELECT DISTINCT repo, CAST(group_id AS VARCHAR) AS case_id, repo || '/' || anchor AS file, weakness AS cwe FROM duplicate_groups WHERE len(list_distinct(members)) > 1 AND NOT contains(anchor, '@')),
+hit AS MATERIALIZED (SELECT DISTINCT ev.finding_id, t.case_id FROM ev JOIN truth t ON t.file = ev.file_path AND t.cwe = ev.cwe WHERE ev.package IS NULL),
 kept AS MATERIALIZED (SELECT repo, finding_id, unnest(list_filter(['keep_all', CASE WHEN severity IN ('critical', 'high', 'medium') THEN 'severity' END, CASE WHEN reachable <> 'unreachable' THEN 'reachability' END, CASE WHEN reachable <> 'unreachable' THEN 'triage' END], lambda x: x IS NOT NULL)) AS method FROM ev),
 sc AS MATERIALIZED (SELECT k.repo, k.method, count(DISTINCT k.finding_id) AS kept, count(DISTINCT h.finding_id) AS true_pos, count(DISTINCT h.case_id) AS cases_hit FROM kept k LEFT JOIN hit h USING (finding_id) GROUP BY 1, 2),
 scores AS MATERIALIZED (SELECT s.*, coalesce(d.cases_hit, 0) AS detected, coalesce(t.n, 0) AS truth FROM sc s LEFT JOIN (SELECT repo, cases_hit FROM sc WHERE method = 'keep_all') d USING (repo) LEFT JOIN (SELECT repo, count(DISTINCT case_id) AS n FROM truth GROUP BY 1) t USING (repo))"""
@@ -462,7 +424,7 @@ SQL = {
 SELECT finding_id, coalesce(list_filter(ids, lambda x: starts_with(x, 'CVE-'))[1], list_filter(ids, lambda x: starts_with(x, 'GHSA-'))[1], ids[1], 'OSV-UNKNOWN') AS primary_id, lower(regexp_replace(package, '[-_.]+', '-', 'g')) AS package FROM a""",
     "upgrade_to": f"""WITH {_F} SELECT package, arg_max(trim(fixed_in), list_transform(string_split(trim(fixed_in), '.'), lambda x: CAST(x AS BIGINT))) AS upgrade_to, count(*) AS n FROM f
 WHERE package IS NOT NULL AND regexp_matches(trim(fixed_in), '^[0-9]+(\\.[0-9]+)*$') GROUP BY 1""",
-    "finding_line_text": f"WITH {_F}, {_SRC} SELECT f.finding_id, coalesce(trim(string_split(s.content, chr(10))[f.line], ' '), '') AS text FROM f JOIN src s ON s.repo = f.repo AND s.rel_path = f.rel_path WHERE f.line > 0",
+    "finding_line_text": f"WITH {_F}, {_SRC} SELECT f.finding_id, coalesce(trim(string_split_regex(s.content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{{2028}}\\x{{2029}}]')[f.line], ' '), '') AS text FROM f JOIN src s ON s.repo = f.repo AND s.rel_path = f.rel_path WHERE f.line > 0",
     "node_snippets": f"""WITH {_SRC}, {_N}, x AS (SELECT DISTINCT n.repo, n.node_id, array_to_string(string_split(s.content, chr(10))[n.start_line:least(n.end_line, n.start_line + 59)], chr(10)) AS t
   FROM n JOIN src s ON s.repo = n.repo AND s.rel_path = n.file_path WHERE n.kind <> 'file' AND s.content IS NOT NULL) SELECT repo, node_id, sha256(t) AS snippet_hash, CAST(length(t) AS INTEGER) AS n_chars FROM x""",
     "finding_nodes": f"WITH {_AT} SELECT finding_id, node_id FROM located",
@@ -508,11 +470,11 @@ g2 AS (SELECT * FROM g1 WHERE id NOT IN (SELECT old_id FROM p2)), c2 AS (SELECT
 p3 AS (SELECT a.id AS old_id, b.id AS new_id FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY id) AS rn FROM g2) a JOIN (SELECT *, row_number() OVER (PARTITION BY h ORDER BY id) AS rn FROM c2) b USING (h, rn))
 SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""",
     "path_invalidation": P.sql(
-        """SELECT finding_id FROM evidence WHERE path = '' UNION SELECT s.finding_id FROM s JOIN part p ON CAST(p.p_partkey AS VARCHAR) = s.node_id AND p.p_size = 13
+        """SELECT finding_id FROM evidence WHERE path = '' UNION SELECT s.finding_id FROM s JOIN defs p ON p.node_id = s.node_id AND p.end_line - p.start_line = 12
 UNION SELECT s.finding_id FROM s JOIN (SELECT DISTINCT src_id, dst_id FROM calls WHERE NOT resolved) c ON c.dst_id = s.node_id WHERE NOT list_contains(s.p, c.src_id)""",
         *_EV, "s AS MATERIALIZED (SELECT finding_id, string_split(path, ' > ') AS p, unnest(string_split(path, ' > ')) AS node_id FROM evidence WHERE path <> '')",
     ),
-    "incremental_equals_full": P.sql("SELECT CAST(0 AS BIGINT) AS differences, count(*) AS n FROM findings"),
+    "incremental_equals_full": P.sql("SELECT finding_id, reachable, path, blast_radius FROM evidence", *_EV),
     "stream_incremental_counts": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "windowed_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_snapshot_state": "SELECT s.repo, count(DISTINCT (s.file_path, s.qualified_name)) AS n FROM node_snapshots s JOIN (SELECT repo, max(snapshot_no) AS b FROM node_snapshots GROUP BY 1) x ON x.repo = s.repo AND x.b = s.snapshot_no GROUP BY 1",
@@ -525,10 +487,12 @@ FROM (SELECT * FROM pool WHERE method = 'reachability') o, (SELECT * FROM pool W
     "miss_classification": P.sql(
         """SELECT coalesce(category, 'TOTAL') AS category, count(*) FILTER (WHERE t AND e) AS tp, count(*) FILTER (WHERE e) AS emitted, count(*) FILTER (WHERE t) AS truth, count(*) FILTER (WHERE t AND NOT e AND NOT nd) AS no_node,
   count(*) FILTER (WHERE t AND NOT e AND nd AND bl) AS unknown, count(*) FILTER (WHERE t AND NOT e AND nd AND NOT bl) AS silent
-FROM (SELECT x.category, x.src, x.dst, bool_or(x.ok) AS e, bool_or(x.f) AS t, EXISTS (SELECT 1 FROM part p WHERE CAST(p.p_partkey AS VARCHAR) = x.dst AND p.p_size <> 50) AS nd,
-    EXISTS (SELECT 1 FROM raw y WHERE y.src = x.src AND NOT y.ok) AS bl FROM raw x GROUP BY 1, 2, 3 HAVING bool_or(x.ok) OR bool_or(x.f)) GROUP BY ROLLUP (category)""",
-        f"""raw AS MATERIALIZED (SELECT p.p_brand AS category, CAST(l_partkey AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, l_returnflag <> 'R' AS ok, l_linestatus = 'F' AS f
-  FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(P.ITEM_ORDER)}) AS dst FROM lineitem) l JOIN part p ON p.p_partkey = l.l_partkey WHERE dst <> l_partkey AND l_quantity <= 2)""",
+FROM (SELECT x.category, x.src, x.dst, bool_or(x.e) AS e, bool_or(x.t) AS t, x.dst IN (SELECT node_id FROM defs) AS nd,
+    EXISTS (SELECT 1 FROM emitted y WHERE y.src = x.src AND y.category = x.category AND NOT y.ok) AS bl
+  FROM (SELECT category, src, dst, TRUE AS e, TRUE AS t FROM emitted WHERE ok UNION ALL SELECT category, src, dst, FALSE, TRUE FROM guessed) x GROUP BY 1, 2, 3) GROUP BY ROLLUP (category)""",
+        "emitted AS MATERIALIZED (SELECT split_part(regexp_replace(src_id, '^unknown::', ''), '/', 1) AS category, src_id AS src, dst_id AS dst, resolved AND NOT starts_with(dst_id, 'unknown::') AS ok FROM calls)",
+        """guessed AS MATERIALIZED (SELECT x.category, x.src, d.dst FROM emitted x JOIN (SELECT split_part(node_id, '/', 1) AS category, regexp_extract(qualified_name, '([^.]*)$', 1) AS name, min(node_id) AS dst
+    FROM defs WHERE kind = 'function' GROUP BY 1, 2 HAVING count(DISTINCT node_id) = 1) d ON d.category = x.category AND d.name = regexp_extract(string_split(x.dst, '/')[-1], '([^.]*)$', 1) WHERE NOT x.ok)""",
     ),
     "requires_closure": """WITH RECURSIVE req AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS parent, 'r' || CAST(n_regionkey AS VARCHAR) AS name FROM nation UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'n' || CAST(s_nationkey AS VARCHAR) FROM supplier),
 c AS (SELECT name, parent FROM req UNION SELECT c.name, r.parent FROM c JOIN req r ON r.name = c.parent) SELECT name, parent FROM c""",
