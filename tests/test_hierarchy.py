@@ -43,7 +43,8 @@ def brute(links):
 
 def run(spark, links):
     df = spark.createDataFrame([(*x, "clash") for x in links], "repo string, src_id string, dst_id string, scope string")
-    rows = H.hierarchy(df).collect()
+    rows = H.hierarchy(df, paths=True).collect()
+    assert {(r.scope, r.node, r.root, r.depth, r.n_descendants) for r in H.hierarchy(df).collect()} == {(r.scope, r.node, r.root, r.depth, r.n_descendants) for r in rows}
     got = [(r.scope, r.node, r.root, r.depth, r.n_descendants) for r in rows]
     assert len(got) == len(set(got))
     for r in rows:
@@ -60,6 +61,7 @@ CASES = {
     "nested loops": [("r", "p", "a"), ("r", "a", "b"), ("r", "b", "a"), ("r", "b", "c"), ("r", "c", "d"), ("r", "d", "c")],
     "loops in a row": [("r", "a", "b"), ("r", "b", "a"), ("r", "a", "c"), ("r", "c", "d"), ("r", "d", "c"), ("r", "d", "e")],
     "nulls": [("r", None, "b"), ("r", "a", None), (None, "a", "b"), ("r", "x", "y")],
+    "two diamonds": [("r", "a", "b"), ("r", "a", "c"), ("r", "b", "d"), ("r", "c", "d"), ("r", "d", "e"), ("r", "e", "f"), ("r", "e", "g"), ("r", "f", "h"), ("r", "g", "h"), ("r", "h", "d")],
     "diamond": [("r", "a", "b"), ("r", "a", "c"), ("r", "b", "d"), ("r", "c", "d"), ("r", "d", "e")],
 }
 
@@ -104,6 +106,15 @@ def test_random_forests_with_back_edges(spark, monkeypatch):
 
 
 def test_descendants_match_counts(spark):
-    nodes = H.hierarchy(spark.createDataFrame(CASES["tree"], "repo string, src_id string, dst_id string"))
+    nodes = H.hierarchy(spark.createDataFrame(CASES["tree"], "repo string, src_id string, dst_id string"), paths=True)
     pairs = {(r.scope, r.node, r.descendant, r.distance) for r in H.descendants(nodes).collect()}
     assert pairs == {("r", "a", "b", 1), ("r", "a", "c", 2), ("r", "b", "c", 1), ("r", "a", "d", 1), ("q", "a", "b", 1)}
+
+
+def test_a_chain_and_a_star_of_many_nodes(spark):
+    """Linear in the links: a chain as deep as it is long, and a root with every node under it."""
+    n = 200_000
+    chain = spark.range(n).selectExpr("'chain' as repo", "lpad(cast((id * 7919) % 200003 as string), 9, '0') as src_id", "lpad(cast(((id + 1) * 7919) % 200003 as string), 9, '0') as dst_id")
+    star = spark.range(n).selectExpr("'star' as repo", "'root' as src_id", "cast(id as string) as dst_id")
+    got = H.hierarchy(chain.unionByName(star)).groupBy("scope").agg({"depth": "max", "n_descendants": "max", "*": "count"}).collect()
+    assert {r["scope"]: (r["max(depth)"], r["max(n_descendants)"], r["count(1)"]) for r in got} == {"chain": (n, n, n + 1), "star": (1, n, n + 1)}

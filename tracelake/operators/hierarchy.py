@@ -1,9 +1,13 @@
 """Parent-child links to full hierarchies, loops included.
 
 Links are turned into a forest first: every node with one parent keeps its link, the links into nodes with several
-parents and one link of each loop are set aside as *cuts*. Partition-local disjoint sets with offsets compress the
-forest to links between partitions, pointer doubling merges those, and paths are put together from the local pieces.
-The cuts are then played back over whole trees, which is exact for any directed graph.
+parents and one link of each loop are set aside as *cuts*. Weighted disjoint sets over range partitions give each node its
+top within its partition and the distance to it. Tops alone are merged between partitions: pointers (root, offset) double
+round by round, and the sums of what hangs below each top double with them. A second pass over the partitions adds what
+came back. Nothing is joined on a root, and no path is built unless paths are asked for.
+
+Cuts always lead to roots of the forest, so they form a small graph over trees. Its components tell which nodes lie on
+loops and how much is behind them; both are added up through the same sums.
 """
 
 from __future__ import annotations
@@ -12,14 +16,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.core import cores, cut
+from tracelake.core import cores, cut, ship
+from tracelake.operators.graph import components
 
 #: Rows of one partition-local disjoint set.
 LOCAL_ROWS = 200_000
-_LOCAL = "scope string, child string, top string, path array<string>, cut boolean"
+_LOCAL = "part int, scope string, child string, parent string, top string, off bigint, cut boolean"
+#: Rows of the second pass: links (kind 0), what partitions learn of their tops (1), amounts at single nodes (2).
+_SECOND = "part int, kind int, scope string, node string, parent string, root string, off bigint, total bigint, extra bigint, loops bigint, reach bigint, tainted boolean, path array<string>"
+_FOUND = "scope string, node string, root string, depth int, n_descendants int"
+LINK, TOP, AMOUNT = 0, 1, 2
 
 
 class WeightedForest:
@@ -48,31 +58,21 @@ class WeightedForest:
         return True
 
 
-def _local_paths(links: dict) -> Iterator[tuple[str, str, list[str], bool]]:
-    """(child, top, path from the top to the parent, cut) of one scope's single-parent links in a partition."""
-    forest = WeightedForest()
-    kept: dict = {}
-    for child in sorted(links):
-        if forest.link(child, links[child]):
-            kept[child] = links[child]
-        else:
-            yield child, child, [links[child]], True
-    paths: dict[str, list[str]] = {}
-    for child in sorted(kept, key=lambda c: forest.find(c)[1]):  # parents before children
-        parent = kept[child]
-        paths[child] = [*paths.get(parent, ()), parent]
-        yield child, paths[child][0], paths[child], False
-
-
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    by_scope: dict[str, dict[str, str]] = {}
+    """Tops and offsets of a partition's links; a link that closes a loop in it is marked as cut."""
+    here = TaskContext.get().partitionId()
+    found: dict[tuple, dict[str, str]] = {}
     for b in batches:
-        for scope, child, parent in zip(b["scope"], b["child"], b["parent"], strict=True):
-            by_scope.setdefault(scope, {})[child] = parent
-    columns, out = ["scope", "child", "top", "path", "cut"], []
-    for scope, links in by_scope.items():
-        for row in _local_paths(links):
-            out.append((scope, *row))
+        part = b["part"] if "part" in b else [here] * len(b)
+        for p, scope, child, parent in zip(part, b["scope"], b["child"], b["parent"], strict=True):
+            found.setdefault((p, scope), {})[child] = parent
+    columns, out = ["part", "scope", "child", "parent", "top", "off", "cut"], []
+    for (p, scope), links in found.items():
+        forest = WeightedForest()
+        kept = {c: forest.link(c, links[c]) for c in sorted(links)}
+        for c, parent in links.items():
+            top, off = forest.find(c) if kept[c] else (c, 0)
+            out.append((p, scope, c, parent, top, off, not kept[c]))
             if len(out) >= 20_000:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
@@ -80,173 +80,375 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @dataclass
-class Hierarchy:
-    """``nodes``: scope, node, path (its forest ancestors from the root down), root. ``cuts``: scope, child, parent."""
+class Forest:
+    """``local``: part, scope, child, parent, top, off. ``tops``: scope, node, part, top, off (null unless the node has a
+    parent), root, to_root, total (nodes that hang below it in other pieces than its own). ``cuts``: scope, child, parent."""
 
-    nodes: DataFrame
+    local: DataFrame
+    tops: DataFrame
     cuts: DataFrame
     has_cuts: bool
+    parts: int
 
 
-def clean_links(links: DataFrame, scope: str, parent: str, child: str) -> DataFrame:
-    """Distinct links without null ends (or null scope)."""
-    named = links.select(F.col(scope).alias("scope"), F.col(child).alias("child"), F.col(parent).alias("parent"))
-    return named.dropna().distinct()
-
-
-def build_forest(links: DataFrame) -> Hierarchy:
-    """``links(scope, child, parent)`` distinct and without nulls."""
+def build_forest(links: DataFrame) -> Forest:
+    """``links(scope, child, parent)`` without nulls; repeated ones count once."""
     spark = links.sparkSession
-    links = cut(links)
-    per_child = links.groupBy("scope", "child").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
+    ship(spark)
+    per_child = cut(links.groupBy("scope", "child").agg(F.min("parent").alias("parent"), F.max("parent").alias("other")))
     single = per_child.where(F.col("parent") == F.col("other")).drop("other")
     several = per_child.where(F.col("parent") != F.col("other")).select("scope", "child")
-    cuts = links.join(several, ["scope", "child"], "left_semi")
+    cuts = links.join(several, ["scope", "child"], "left_semi").select("scope", "child", "parent").distinct()
+    cuts = cut(cuts)
 
-    parts = max(cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), links.count() // LOCAL_ROWS + 1)
+    parts = max(cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), per_child.count() // LOCAL_ROWS + 1)
+    # Ranges are even whatever the scope or file, and keep a file's nodes together.
+    local = cut(single.repartitionByRange(parts, "scope", "child").mapInPandas(_local, _LOCAL))
     while True:
-        # Ranges are even whatever the scope or file, and keep a file's nodes together.
-        local = cut(single.repartitionByRange(parts, "scope", "child").mapInPandas(_local, _LOCAL))
-        closing = local.where("cut").select("scope", "child", F.col("path")[0].alias("parent"))
-        pieces = local.where(~F.col("cut")).drop("cut")
-        # Tops that hang under a node of another partition. Their pointers double until they end at a root of the forest.
-        tops = pieces.select("scope", F.col("top").alias("child")).distinct()
-        merged, loops = _double(pieces.join(tops, ["scope", "child"], "left_semi"))
+        kept = local.where("not cut").drop("cut")
+        closing = cut(local.where("cut").select("scope", "child", "parent"))
+        all_cuts = cuts.unionByName(closing)
+        ends = all_cuts.select("scope", F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("total", F.lit(0).cast("bigint"))
+        tops = kept.groupBy("scope", F.col("top").alias("node")).agg(F.count("*").alias("total")).unionByName(ends).groupBy("scope", "node").agg(F.sum("total").alias("total"))
+        tops = tops.join(kept.select("scope", F.col("child").alias("node"), "part", "top", "off"), ["scope", "node"], "left")
+        tops = cut(tops)
+        merged, loops = add_up(tops, ["total"])
         if loops is None:
-            cuts = cuts.unionByName(closing)
-            break
-        # One link of each loop across partitions becomes a cut; the rest, without it, is merged anew.
-        last = single.join(loops, ["scope", "child"], "left_semi").select("scope", "child", "parent")
-        closing = cut(closing.unionByName(last))
-        cuts = cuts.unionByName(closing)
-        single = cut(single.join(closing, ["scope", "child"], "left_anti"))
-
-    if merged is None:
-        nodes = pieces.select("scope", F.col("child").alias("node"), "path")
-    else:
-        above = merged.select("scope", F.col("child").alias("top"), F.col("path").alias("above"))
-        whole = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path"))
-        nodes = pieces.join(above, ["scope", "top"], "left").select("scope", F.col("child").alias("node"), whole.alias("path"))
-    ends = links.select("scope", F.explode(F.array("child", "parent")).alias("node")).distinct()
-    nodes = ends.join(nodes, ["scope", "node"], "left").select(
-        "scope",
-        "node",
-        F.coalesce("path", F.array().cast("array<string>")).alias("path"),
-        F.coalesce(F.get("path", F.lit(0)), F.col("node")).alias("root"),
+            return Forest(kept, merged, all_cuts, not all_cuts.isEmpty(), parts)
+        # One link of each loop across partitions becomes a cut; partitions that held one look again.
+        again = local.join(loops.select("part").distinct(), "part", "left_semi")
+        rest = local.join(loops.select("part").distinct(), "part", "left_anti")
+        broken = again.join(loops.select("scope", F.col("node").alias("child")), ["scope", "child"], "left_semi").where("not cut")
+        open_ = again.join(loops.select("scope", F.col("node").alias("child")), ["scope", "child"], "left_anti").where("not cut")
+        cuts = cut(cuts.unionByName(broken.select("scope", "child", "parent")).unionByName(again.where("cut").select("scope", "child", "parent")))
+        anew = open_.select("part", "scope", "child", "parent").repartitionById(parts, F.col("part")).mapInPandas(_local, _LOCAL)
+        local = cut(rest.unionByName(anew))
+
+
+def add_up(tops: DataFrame, amounts: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``tops(scope, node, top, off, *amounts, ...)`` with ``root``, ``to_root`` and the amounts summed over all that hang below,
+    or the least node of each loop among them.
+
+    In round k a pointer leads 2^k links up, and a node has the sums of the 2^k levels from itself on; what points to it
+    brings the next 2^k. A node whose pointer ends knows its root. Rounds end when all do, or when a round finishes none:
+    depths have no gaps, so what is left then never ends. Sums are partial aggregates, pointers a join of many to one.
+    """
+    rest = [c for c in tops.columns if c not in ("scope", "node", "top", "off", *amounts)]
+    state = tops.select(
+        "scope", "node", "top", "off", *rest, *amounts, F.col("top").alias("jump"), F.col("off").cast("bigint").alias("far"),
+        F.when(F.col("top").isNull(), F.col("node")).alias("root"), F.when(F.col("top").isNull(), F.lit(0).cast("bigint")).alias("to_root"), F.col("node").alias("least"),
+    )
+    left, seen, rounds = state.where("jump is not null").count(), -1, 0
+    while left and left != seen:
+        state = cut(_doubled(state, amounts))
+        seen, left, rounds = left, state.where("jump is not null").count(), rounds + 1
+    if not left:
+        return state.drop("jump", "far", "least"), None
+    ring = state.where("jump is not null")
+    while 2**rounds < left:  # until every pointer has gone round its loop
+        ring, rounds = cut(_doubled(ring, [])), rounds + 1
+    return state, cut(ring.where(F.col("node") == F.col("least")))
+
+
+def _doubled(state: DataFrame, amounts: list[str]) -> DataFrame:
+    at = F.coalesce("jump", "node")
+    step = state.select("scope", F.col("node").alias("_at"), F.col("jump").alias("_jump"), F.col("far").alias("_far"), F.col("root").alias("_root"), F.col("to_root").alias("_to"), F.col("least").alias("_least"))
+    s = state.withColumn("_at", at)
+    if amounts:
+        more = state.where("jump is not null").groupBy("scope", F.col("jump").alias("node")).agg(*(F.sum(a).alias(f"_{a}") for a in amounts))
+        s = s.join(more, ["scope", "node"], "left")
+    s = s.join(step, ["scope", "_at"], "left")
+    open_ = F.col("jump").isNotNull()
+    rest = [c for c in state.columns if c not in (*amounts, "jump", "far", "root", "to_root", "least")]
+    return s.select(
+        *rest,
+        *((F.col(a) + F.coalesce(f"_{a}", F.lit(0))).alias(a) for a in amounts),
+        F.when(open_, F.col("_jump")).alias("jump"),
+        F.when(open_, F.col("far") + F.col("_far")).alias("far"),
+        F.coalesce("root", "_root").alias("root"),
+        F.coalesce("to_root", F.col("far") + F.col("_to")).alias("to_root"),
+        F.least("least", F.coalesce("_least", "least")).alias("least"),
     )
-    return Hierarchy(cut(nodes), cuts, not cuts.isEmpty())
 
 
-def _double(open_: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Pointers ``(scope, child, top, path)`` to their roots, or the least node of each loop among them.
+# Loops
 
-    A round replaces each pointer by the pointer of its end. Rounds end when all pointers do, or when a round finishes
-    none: chain lengths have no gaps, so what is left then never ends.
-    """
-    state = cut(open_.withColumn("least", F.col("top")))
-    left = state.count()
-    if not left:
-        return None, None
-    rounds, seen = 0, -1
-    while left:
-        step = state.select("scope", F.col("child").alias("top"), F.col("top").alias("to"), F.col("path").alias("above"), F.col("least").alias("least2"))
-        joined = state.join(step, ["scope", "top"], "left")
-        state = cut(
-            joined.select(
-                "scope",
-                "child",
-                F.coalesce("to", "top").alias("top"),
-                F.when(F.col("to").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"),
-                F.least("least", F.coalesce("least2", "least")).alias("least"),
-            )
-        )
-        rounds += 1
-        ends = state.select("scope", F.col("child").alias("top"))
-        left = state.join(ends, ["scope", "top"], "left_semi").count()
-        if left and left == seen:
-            total = state.count()
-            while 2**rounds < total:  # until every pointer has gone round its loop
-                step = state.select("scope", F.col("child").alias("top"), F.col("top").alias("to"), F.col("least").alias("least2"))
-                state = cut(
-                    state.drop("path")
-                    .join(step, ["scope", "top"], "left")
-                    .select("scope", "child", F.coalesce("to", "top").alias("top"), F.least("least", F.coalesce("least2", "least")).alias("least"))
-                )
-                rounds += 1
-            never = state.join(ends, ["scope", "top"], "left_semi")
-            return state, never.where(F.col("child") == F.col("least")).select("scope", "child")
-        seen = left
-    return state.drop("least"), None
+
+@dataclass
+class Behind:
+    """What cuts add. ``amounts``: scope, node, extra, loops at parent ends of cuts. ``trees``: scope, root, reach, for trees
+    on a loop. ``tainted``: scope, root of the trees that a cut leads to."""
+
+    amounts: DataFrame
+    trees: DataFrame
+    tainted: DataFrame
+
+
+_KEY = "\x1f"
+
+
+def _behind(f: Forest) -> Behind:
+    def key(c: str):
+        return F.concat_ws(_KEY, "scope", c)
+
+    ends = f.cuts.select("scope", F.col("parent").alias("node")).distinct()
+    ends = ends.join(f.local.select("scope", F.col("child").alias("node"), "top"), ["scope", "node"], "left").withColumn("top", F.coalesce("top", "node"))
+    ends = ends.join(f.tops.select("scope", F.col("node").alias("top"), "root"), ["scope", "top"]).select("scope", F.col("node").alias("parent"), "root")
+    links = cut(f.cuts.join(ends, ["scope", "parent"]).select("scope", "parent", "root", "child", key("root").alias("a"), key("child").alias("b")))
+    size = f.tops.where("top is null").select(key("node").alias("node"), "scope", F.col("node").alias("root"), (F.col("total") + 1).alias("n"))
+    member = components(links.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id")))
+    names = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    member = cut(names.join(member, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(size, "node"))
+    links = links.join(member.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    links = cut(links.withColumn("inside", F.col("ca") == F.col("cb")))
+    over = links.where("not inside").groupBy(F.col("cb").alias("node")).agg(F.min("ca").alias("top"), F.count("*").alias("ways"))
+    parts = member.groupBy(F.col("component").alias("node")).agg(F.sum("n").alias("total"))
+    over = cut(parts.join(over, "node", "left").select(F.lit("").alias("scope"), "node", "total", "top", F.lit(1).alias("off"), "ways"))
+    if over.where("ways > 1").isEmpty():
+        reach = add_up(over, ["total"])[0].select(F.col("node").alias("component"), F.col("total").alias("reach"))
+    else:  # nodes with several parents that close no loop: what they reach overlaps
+        pairs = _closure(links.where("not inside").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        own = parts.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        reach = own.unionByName(pairs).join(parts.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("component")).agg(F.sum("total").alias("reach"))
+    links = links.join(reach.withColumnRenamed("component", "cb"), "cb")
+    amounts = links.groupBy("scope", F.col("parent").alias("node")).agg(
+        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("reach"))).alias("extra"), F.count_if("inside").alias("loops")
+    )
+    trees = member.join(reach, "component").select("scope", "root", "reach")
+    return Behind(cut(amounts), cut(trees), f.cuts.select("scope", F.col("child").alias("root")).distinct())
 
 
 def _closure(edges: DataFrame) -> DataFrame:
-    """Pairs ``(scope, a, b)`` with a way from a to b over ``edges(scope, a, b)``; semi-naive."""
+    """Pairs ``(a, b)`` with a way from a to b over ``edges(a, b)``; semi-naive."""
     edges = cut(edges.distinct())
     pairs = delta = edges
     while True:
-        step = edges.select("scope", F.col("a").alias("b"), F.col("b").alias("c"))
-        found = delta.join(step, ["scope", "b"]).select("scope", "a", F.col("c").alias("b")).distinct()
-        delta = cut(found.join(pairs, ["scope", "a", "b"], "left_anti"))
+        step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        delta = cut(delta.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if delta.isEmpty():
             return pairs
         pairs = cut(pairs.unionByName(delta))
 
 
-def hierarchy(links: DataFrame, scope: str = "repo", parent: str = "src_id", child: str = "dst_id") -> DataFrame:
-    """``(scope, node, root, depth, path, n_descendants)`` of every id at an end of a link.
+def _overlapping(f: Forest, b: Behind) -> DataFrame | None:
+    """``(scope, node, extra)`` of nodes off loops above links into nodes with several parents that close no loop.
+
+    There the same nodes are reached in several ways, so they are counted apart: from each node above such a link to the
+    trees behind it. Null where no node has two such parents, which is what a hierarchy with nothing but loops wrong has.
+    """
+    way = f.cuts.groupBy("scope", "child").agg(F.count("*").alias("n"))
+    looped = b.amounts.where("loops > 0").select("scope", F.col("node").alias("parent"))
+    free = f.cuts.join(looped, ["scope", "parent"], "left_anti").groupBy("scope", "child").agg(F.count("*").alias("n")).where("n > 1")
+    if free.join(way.select("scope", "child"), ["scope", "child"], "left_semi").isEmpty():
+        return None
+    parents = f.cuts.select("scope", F.col("parent").alias("node")).distinct()
+    above = _paths(f, parents).select("scope", "node", F.explode(F.concat("path", F.array("node"))).alias("x"), F.coalesce(F.get("path", F.lit(0)), F.col("node")).alias("root"))
+    trees = _closure(
+        f.cuts.join(above.select("scope", F.col("node").alias("parent"), "root").distinct(), ["scope", "parent"]).select(F.struct("scope", F.col("root").alias("node")).alias("a"), F.struct("scope", F.col("child").alias("node")).alias("b"))
+    )
+    direct = above.join(f.cuts.select("scope", F.col("parent").alias("node"), "child"), ["scope", "node"]).select("scope", "x", F.struct("scope", F.col("child").alias("node")).alias("b"))
+    onward = direct.withColumnRenamed("b", "a").join(trees, "a").select("scope", "x", "b")
+    size = f.tops.where("top is null").select(F.struct("scope", "node").alias("b"), (F.col("total") + 1).alias("n"))
+    return direct.unionByName(onward).distinct().join(size, "b").groupBy("scope", F.col("x").alias("node")).agg(F.sum("n").alias("extra"))
+
+
+# The second pass
+
+
+def _second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Root, depth and descendants of a partition's children, from what its tops and single nodes brought back."""
+    links: dict[tuple, dict[str, str]] = {}
+    tops: dict[tuple, tuple] = {}
+    amounts: dict[tuple, list[int]] = {}
+    for b in batches:
+        for part, kind, scope, node, parent, root, off, total, extra, loops, reach, tainted in zip(
+            *(b[c] for c in ("part", "kind", "scope", "node", "parent", "root", "off", "total", "extra", "loops", "reach", "tainted")), strict=True
+        ):
+            if kind == LINK:
+                links.setdefault((part, scope), {})[node] = parent
+            elif kind == TOP:
+                tops[part, scope, node] = root, int(off), None if pd.isna(reach) else int(reach), bool(tainted)
+            else:
+                a = amounts.setdefault((part, scope, node), [0, 0, 0])
+                for i, x in enumerate((total, extra, loops)):
+                    a[i] += int(x)
+    out, columns = [], ["scope", "node", "root", "depth", "n_descendants"]
+    for (part, scope), of in links.items():
+        forest = WeightedForest()
+        for c in sorted(of):
+            forest.link(c, of[c])
+        place = {c: forest.find(c) for c in of}
+        sums = {c: list(amounts.get((part, scope, c), (0, 0, 0))) for c in of}
+        for c in sorted(of, key=lambda c: place[c][1], reverse=True):  # children before parents
+            up = sums.get(of[c])
+            if up is not None:
+                mine = sums[c]
+                up[0] += mine[0] + 1
+                up[1] += mine[1]
+                up[2] += mine[2]
+        for c, (top, off) in place.items():
+            root, to_root, reach, tainted = tops[part, scope, top]
+            below, extra, loops = sums[c]
+            n = reach - 1 if loops else below + extra
+            out.append((scope, c, "" if tainted else root, -1 if tainted else off + to_root, n))
+            if len(out) >= 20_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+    yield pd.DataFrame(out, columns=columns)
+
+
+def _rows(df: DataFrame, kind: int, **given) -> DataFrame:
+    """``df`` in the shape of the second pass."""
+    columns = []
+    for c in _SECOND.split(", "):
+        name, type_ = c.split(" ", 1)
+        value = F.lit(kind) if name == "kind" else given.get(name, F.lit(None))
+        columns.append(value.cast(type_).alias(name))
+    return df.select(*columns)
+
+
+def _link_rows(f: Forest) -> DataFrame:
+    return _rows(f.local, LINK, part=F.col("part"), scope=F.col("scope"), node=F.col("child"), parent=F.col("parent"))
+
+
+def hierarchy(links: DataFrame, scope: str = "repo", parent: str = "src_id", child: str = "dst_id", paths: bool = False) -> DataFrame:
+    """``(scope, node, root, depth, n_descendants)`` of every id at an end of a link; with ``paths``, ``path`` too.
 
     A node without parent has depth 0 and an empty path. A node on a loop, or under one, has root '', depth -1 and a
     null path; a link from a node to itself is a loop. ``n_descendants`` counts the different other nodes that can be
     reached, loops included. Repeated links count once, links with a null end or scope do not count, an empty input
-    gives an empty result. A node with several parents none of which closes a loop has no single path; it and all
-    under it get root '' and depth -1 too.
+    gives an empty result, and other columns do not matter. A node with several parents none of which closes a loop has
+    no single path; it and all under it get root '' and depth -1 too.
 
-    Cost: the rows of all paths together, that is the size of the paths that the operator returns.
+    Cost: the links move three times, whatever the depth; rounds are logarithmic in the number of partitions that a
+    chain crosses. Only ``paths`` costs the sum of all path lengths, which is the size of what it returns.
     """
-    h = build_forest(clean_links(links, scope, parent, child))
-    below = h.nodes.select("scope", F.explode("path").alias("node")).groupBy("scope", "node").agg(F.count("*").alias("below"))
-    flat = h.nodes.join(below, ["scope", "node"], "left").withColumn("below", F.coalesce("below", F.lit(0)))
-    if not h.has_cuts:
-        return flat.select("scope", "node", "root", F.size("path").alias("depth"), "path", F.col("below").cast("int").alias("n_descendants"))
-
-    cuts = h.cuts.select("scope", F.col("parent").alias("node"), F.col("child").alias("b"))
-    from_tree = cut(cuts.join(h.nodes, ["scope", "node"]))
-    reach = _closure(from_tree.select("scope", F.col("root").alias("a"), "b"))
-    looped = reach.where("a = b").select("scope", "a")
-    heads = h.cuts.select("scope", F.col("child").alias("root")).distinct()
-    tainted = (
-        looped.unionByName(reach.join(looped, ["scope", "a"], "left_semi").select("scope", F.col("b").alias("a")))
-        .unionByName(heads.withColumnRenamed("root", "a"))
-        .unionByName(reach.join(heads.withColumnRenamed("root", "a"), ["scope", "a"], "left_semi").select("scope", F.col("b").alias("a")))
-        .distinct()
-        .withColumnRenamed("a", "root")
-        .withColumn("tainted", F.lit(True))
-    )
-    # Trees reached from each forest ancestor (or self) of the parent end of a cut.
-    direct = from_tree.select("scope", F.explode(F.concat("path", F.array("node"))).alias("node"), "root", "b")
-    onward = direct.join(reach.select("scope", F.col("a").alias("b"), F.col("b").alias("c")), ["scope", "b"])
-    trees = direct.unionByName(onward.select("scope", "node", "root", F.col("c").alias("b"))).distinct()
-    size = flat.where(F.size("path") == 0).select("scope", F.col("node").alias("b"), (F.col("below") + 1).alias("n"))
-    beyond = (
-        trees.join(size, ["scope", "b"])
-        .groupBy("scope", "node")
-        .agg(F.sum("n").alias("beyond"), F.max(F.col("b") == F.col("root")).alias("on_loop"))
-    )
-    full = flat.join(beyond, ["scope", "node"], "left").join(tainted, ["scope", "root"], "left")
-    bad = F.coalesce("tainted", F.lit(False))
-    own = F.when(F.coalesce("on_loop", F.lit(False)), F.col("beyond") - 1).otherwise(F.col("below") + F.coalesce("beyond", F.lit(0)))
-    return full.select(
-        "scope",
-        "node",
-        F.when(bad, "").otherwise(F.col("root")).alias("root"),
-        F.when(bad, -1).otherwise(F.size("path")).alias("depth"),
-        F.when(~bad, F.col("path")).alias("path"),
-        own.cast("int").alias("n_descendants"),
+    named = links.select(F.col(scope).alias("scope"), F.col(child).alias("child"), F.col(parent).alias("parent")).dropna()
+    f = build_forest(named)
+    zero = F.lit(0).cast("bigint")
+    tops = f.tops.withColumn("extra", zero).withColumn("loops", zero).withColumn("reach", F.lit(None).cast("bigint")).withColumn("tainted", F.lit(False))
+    rows = _link_rows(f)
+    apart = None
+    if f.has_cuts:
+        b = _behind(f)
+        apart = _overlapping(f, b)
+        at = b.amounts.join(f.local.select("scope", F.col("child").alias("node"), "part", "top"), ["scope", "node"], "left")
+        at = cut(at)
+        rows = rows.unionByName(_rows(at.where("part is not null"), AMOUNT, part=F.col("part"), scope=F.col("scope"), node=F.col("node"), total=zero, extra=F.col("extra"), loops=F.col("loops")))
+        hung = at.groupBy("scope", F.coalesce("top", "node").alias("node")).agg(F.sum("extra").alias("extra"), F.sum("loops").alias("loops"))
+        more = f.tops.select("scope", "node", "top", "off").join(hung, ["scope", "node"], "left").na.fill(0, ["extra", "loops"])
+        more = add_up(cut(more), ["extra", "loops"])[0].select("scope", "node", "extra", "loops")
+        tops = f.tops.join(more, ["scope", "node"]).join(b.trees, ["scope", "root"], "left").join(b.tainted.withColumn("tainted", F.lit(True)), ["scope", "root"], "left")
+        tops = cut(tops.withColumn("tainted", F.coalesce("tainted", F.lit(False))))
+    used = f.local.select("part", "scope", F.col("top").alias("node")).distinct()
+    told = used.join(tops.select("scope", "node", "root", "to_root", "reach", "tainted"), ["scope", "node"])
+    rows = rows.unionByName(_rows(told, TOP, **{c: F.col(c) for c in ("part", "scope", "node", "root", "reach", "tainted")}, off=F.col("to_root")))
+    back = tops.where("top is not null")
+    rows = rows.unionByName(_rows(back, AMOUNT, **{c: F.col(c) for c in ("part", "scope", "node", "total", "extra", "loops")}))
+    below = rows.repartitionById(f.parts, F.col("part")).mapInPandas(_second, _FOUND)
+    n = F.when(F.col("loops") > 0, F.col("reach") - 1).otherwise(F.col("total") + F.col("extra"))
+    roots = tops.where("top is null").select(
+        "scope", "node", F.when(F.col("tainted"), "").otherwise(F.col("node")).alias("root"), F.when(F.col("tainted"), -1).otherwise(0).alias("depth"), n.cast("int").alias("n_descendants")
     )
+    out = below.unionByName(roots)
+    if apart is not None:
+        out = _count_apart(out, f, apart, b)
+    if not paths:
+        return out
+    out = cut(out)
+    way = _paths(f, out.where("depth > 0").select("scope", "node"))
+    path = F.when(F.col("depth") == 0, F.array().cast("array<string>")).otherwise(F.col("path"))
+    return out.join(way, ["scope", "node"], "left").select("scope", "node", "root", "depth", path.alias("path"), "n_descendants")
+
+
+def _count_apart(out: DataFrame, f: Forest, apart: DataFrame, b: Behind) -> DataFrame:
+    """``out`` with the descendants of nodes above overlapping links counted as different ones."""
+    cutless = hierarchy_of_forest(f)
+    own = cutless.join(apart, ["scope", "node"]).join(_on_loops(f, b), ["scope", "node"], "left_anti").select("scope", "node", (F.col("below") + F.col("extra")).cast("int").alias("exact"))
+    return out.join(own, ["scope", "node"], "left").select("scope", "node", "root", "depth", F.coalesce("exact", "n_descendants").alias("n_descendants"))
+
+
+def hierarchy_of_forest(f: Forest) -> DataFrame:
+    """``(scope, node, below)``: descendants of every node over links that are no cuts."""
+    zero = F.lit(0).cast("bigint")
+    used = f.local.select("part", "scope", F.col("top").alias("node")).distinct().join(f.tops.select("scope", "node", "root", "to_root"), ["scope", "node"])
+    rows = _link_rows(f).unionByName(_rows(used, TOP, **{c: F.col(c) for c in ("part", "scope", "node", "root")}, off=F.col("to_root"), tainted=F.lit(False)))
+    rows = rows.unionByName(_rows(f.tops.where("top is not null"), AMOUNT, **{c: F.col(c) for c in ("part", "scope", "node", "total")}, extra=zero, loops=zero))
+    below = rows.repartitionById(f.parts, F.col("part")).mapInPandas(_second, _FOUND).select("scope", "node", F.col("n_descendants").cast("bigint").alias("below"))
+    return below.unionByName(f.tops.where("top is null").select("scope", "node", F.col("total").alias("below")))
+
+
+def _on_loops(f: Forest, b: Behind) -> DataFrame:
+    heads = b.amounts.where("loops > 0").select("scope", "node")
+    return _paths(f, heads).select("scope", F.explode(F.concat("path", F.array("node"))).alias("node")).distinct()
+
+
+# Paths
+
+
+def _local_ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ancestors of asked nodes (kind 2) from their tops down, behind the ancestors of the tops where these are known."""
+    links: dict[tuple, dict[str, str]] = {}
+    tops: dict[tuple, list[str]] = {}
+    asked: dict[tuple, set[str]] = {}
+    for b in batches:
+        for part, kind, scope, node, parent, path in zip(*(b[c] for c in ("part", "kind", "scope", "node", "parent", "path")), strict=True):
+            if kind == LINK:
+                links.setdefault((part, scope), {})[node] = parent
+            elif kind == TOP:
+                tops[part, scope, node] = list(path)
+            else:
+                asked.setdefault((part, scope), set()).add(node)
+    out, columns, size = [], ["scope", "node", "path"], 0
+    for (part, scope), nodes in asked.items():
+        of = links.get((part, scope), {})
+        for c in nodes:
+            way = []
+            x = c
+            while x in of:
+                x = of[x]
+                way.append(x)
+            way.reverse()
+            if way:
+                out.append((scope, c, [*tops.get((part, scope, way[0]), ()), *way]))
+                size += len(out[-1][2])
+            if size >= 200_000:
+                yield pd.DataFrame(out, columns=columns)
+                out, size = [], 0
+    yield pd.DataFrame(out, columns=columns)
+
+
+_WAYS = "scope string, node string, path array<string>"
+
+
+def _paths(f: Forest, asked: DataFrame) -> DataFrame:
+    """``(scope, node, path)``: forest ancestors of ``asked(scope, node)`` from the root down, by walks up indexed parents.
+
+    The tops' own ways within their partitions are put together first, doubling like their pointers, then handed to the
+    partitions of the asked nodes.
+    """
+    place = {c: F.col(c) for c in ("part", "scope", "node")}
+
+    def walk(rows: DataFrame) -> DataFrame:
+        return _link_rows(f).unionByName(rows).repartitionById(f.parts, F.col("part")).mapInPandas(_local_ways, _WAYS)
+
+    inner = f.tops.where("top is not null")
+    state = cut(inner.select("scope", "node", "top").join(walk(_rows(inner, AMOUNT, **place)), ["scope", "node"]))
+    while not state.where("top is not null").isEmpty():
+        step = state.select("scope", F.col("node").alias("_at"), F.col("top").alias("_top"), F.col("path").alias("above"))
+        s = state.withColumn("_at", F.coalesce("top", F.lit(""))).join(step, ["scope", "_at"], "left")
+        open_ = F.col("top").isNotNull() & F.col("above").isNotNull()
+        state = cut(s.select("scope", "node", F.when(open_, F.col("_top")).alias("top"), F.when(open_, F.concat("above", "path")).otherwise(F.col("path")).alias("path")))
+    used = f.local.select("part", "scope", F.col("top").alias("node")).distinct().join(state.select("scope", "node", "path"), ["scope", "node"])
+    told = _rows(used, TOP, **place, path=F.col("path"))
+    wanted = asked.distinct().join(f.local.select("scope", F.col("child").alias("node"), "part"), ["scope", "node"], "left")
+    wanted = cut(wanted)
+    found = walk(told.unionByName(_rows(wanted.where("part is not null"), AMOUNT, **place)))
+    return found.unionByName(wanted.where("part is null").select("scope", "node", F.array().cast("array<string>").alias("path")))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
-    """``(scope, node, descendant, distance)`` of a ``hierarchy()`` result; nodes on or under a loop are left out."""
+    """``(scope, node, descendant, distance)`` of a ``hierarchy(..., paths=True)``; nodes on or under a loop are left out."""
     good = nodes.where(F.col("path").isNotNull())
     pairs = good.select("scope", F.col("node").alias("descendant"), F.size("path").alias("_d"), F.posexplode("path").alias("_p", "node"))
     return pairs.select("scope", "node", "descendant", (F.col("_d") - F.col("_p")).alias("distance"))
@@ -257,7 +459,7 @@ def define_links(edges: DataFrame) -> DataFrame:
     return edges.where(F.lower(F.trim("kind")) == "defines")
 
 
-def longest_paths(nodes: DataFrame, k: int = 10) -> DataFrame:
+def deepest(nodes: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` deepest nodes of each scope, ties by id."""
     w = Window.partitionBy("scope").orderBy(F.desc("depth"), "node")
     return nodes.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)

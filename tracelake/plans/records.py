@@ -26,8 +26,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, sf_dir, "node_snapshots")).select("repo", "snapshot_no", "file_path", "qualified_name", "change_kind")
 
 
-def _defines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hier.hierarchy(hier.define_links(table(spark, sf_dir, "edges")))
+def _defines(spark: SparkSession, sf_dir: str, paths: bool = False) -> DataFrame:
+    return hier.hierarchy(hier.define_links(table(spark, sf_dir, "edges")), paths=paths)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +38,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full paths of all ids that lie neither on a loop nor under one."""
-    nodes = _defines(spark, sf_dir).where(F.col("path").isNotNull())
+    nodes = _defines(spark, sf_dir, paths=True).where(F.col("path").isNotNull())
     path = F.array_join(F.concat("path", F.array("node")), " > ")
     return nodes.select(F.col("scope").alias("repo"), F.col("node").alias("node_id"), path.alias("path"))
 
 
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hier.descendants(_defines(spark, sf_dir)).select(
+    return hier.descendants(_defines(spark, sf_dir, paths=True)).select(
         F.col("scope").alias("repo"), F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance"
     )
 
