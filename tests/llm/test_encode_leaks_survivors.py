@@ -197,18 +197,27 @@ def test_fields_are_chosen_one_by_one(spark):
     assert got == {1: ("low", "high", "CWE-79", "1.2"), 2: ("high", "low", "CWE-79", "2.0"), 4: ("high", "", "", ""), 6: ("high", "", "", "")}
 
 
-def test_one_pass_equals_pinned_votes(spark):
+def test_declared_trust_equals_brute_force(spark):
     rng = random.Random(4)
-    rows = [(i, rng.choice(["osv", "bandit", None]), rng.choice(["low", "high", "-"]), rng.choice(["low", ""]), rng.choice(["1", "CWE-2", "0"]), rng.choice(["1.0", "", "2"]), rng.choice([None, 1, 2])) for i in range(40)]
-    groups = [(g, [rng.randrange(45) for _ in range(6)]) for g in range(15)]
-    got = survive(spark, groups, rows)
-    import datetime as dt
-
-    f = spark.createDataFrame([(*r[:6], dt.datetime(2031, 1, r[6]) if r[6] else None, 5) for r in rows], F)
-    members = survivors.group_members(spark.createDataFrame(groups, "group_id bigint, members array<bigint>"), f, spark.createDataFrame([("osv", 40), ("bandit", 10)], T))
-    for r in survivors.pinned_truth(survivors.claims(members)).collect():
-        if r.group_id in got:
-            assert got[r.group_id][survivors.FIELDS.index(r.field)] == r.value
+    rows = [(i, rng.choice(["osv", "bandit", "other", None]), rng.choice(["low", "high", "-"]), rng.choice(["low", ""]), rng.choice(["1", "CWE-2", "0"]), rng.choice(["1.0", "", "2"]), rng.choice([None, 1, 2])) for i in range(60)]
+    groups = [(g, [rng.randrange(65) for _ in range(6)]) for g in range(25)] + [(99, list(range(60)))]
+    keep = ({"low", "high"}, {"low"}, {"1", "CWE-2"}, {"1.0", "2"})
+    want = {}
+    for g, ids in groups:
+        best = sorted((rows[i] for i in set(ids) if i < 60), key=lambda r: ({"osv": 40, "bandit": 10}.get(r[1], 0), r[6] or 0, r[0]), reverse=True)
+        if len(best) > 1:
+            values = [next((r[2 + k] for r in best if r[2 + k] in keep[k]), "") for k in range(4)]
+            want[g] = (*values[:2], values[2] and "CWE-" + values[2].removeprefix("CWE-"), values[3])
+    assert survive(spark, groups, rows) == want
+
+
+def test_estimates_stay_within_declared_ranks(spark):
+    rows = [(g, "cwe", v, s, t, None, 1) for g in range(20) for v, s, t in ((f"a{g}", "x", 2), (f"b{g}", "y", 1), (f"b{g}", "z", 1))]
+    said = spark.createDataFrame(rows, "group_id int, field string, value string, source string, trust int, reported_at string, finding_id int")
+    truth = survivors.discover_truth(said, declared=True)
+    assert truth.converged and truth.rounds == 2
+    assert {r.voter: r.reliability for r in truth.weights.collect()} == {"2": 2.5, "1": 1.0}
+    assert all(r.value.startswith("a") for r in truth.values.collect())
 
 
 def test_truth_discovery_finds_the_liar(spark):
@@ -218,9 +227,10 @@ def test_truth_discovery_finds_the_liar(spark):
         rows.append((g, "cwe", f"bad{g}", "liar", 0, None, 2))
     rows += [(99, "cwe", "x", "a", 0, None, 1), (99, "cwe", "y", "liar", 0, None, 2)]
     said = spark.createDataFrame(rows, "group_id int, field string, value string, source string, trust int, reported_at string, finding_id int")
-    values, weight = survivors.discover_truth(said)
-    assert {r.group_id: r.value for r in values.collect()} == {g: f"v{g}" for g in range(30)} | {99: "x"}
-    w = {r.source: r.reliability for r in weight.collect()}
+    truth = survivors.discover_truth(said)
+    assert truth.converged and not survivors.discover_truth(said, rounds=1).converged
+    assert {r.group_id: r.value for r in truth.values.collect()} == {g: f"v{g}" for g in range(30)} | {99: "x"}
+    w = {r.voter: r.reliability for r in truth.weights.collect()}
     assert w["liar"] < 0.2 < 0.6 < w["a"]
     empty = survivors.discover_truth(said.limit(0))
-    assert empty[0].collect() == [] and empty[1].collect() == []
+    assert empty.values.collect() == [] and empty.weights.collect() == []
