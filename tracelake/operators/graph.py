@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.core import cut
+from tracelake.core import cut, ship
 
 UNKNOWN = "unknown::"
 #: Links in a frontier path that is kept as text.
@@ -153,16 +155,70 @@ def degrees(edges: DataFrame, kinds: tuple[str, ...] = ("calls", "inherits")) ->
 
 # Condensation
 
+#: Edges of a graph that one task may hold.
+ONE_TASK = 200_000
+
+
+def _walked_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of two nodes or more by one depth-first walk, with a stack of its own instead of calls."""
+    down: dict = {}
+    for b in batches:
+        for a, c in zip(b["src_id"], b["dst_id"], strict=True):
+            down.setdefault(a, []).append(c)
+    number: dict = {}
+    low: dict = {}
+    open_: list = []
+    inside: set = set()
+    out = []
+    for first in sorted(down):
+        if first in number:
+            continue
+        number[first] = low[first] = len(number)
+        open_.append(first)
+        inside.add(first)
+        work = [(first, iter(down[first]))]
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    open_.append(w)
+                    inside.add(w)
+                    work.append((w, iter(down.get(w, ()))))
+                    break
+                if w in inside:
+                    low[v] = min(low[v], number[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == number[v]:
+                    at = len(open_) - 1
+                    while open_[at] != v:
+                        at -= 1
+                    members = open_[at:]
+                    del open_[at:]
+                    inside.difference_update(members)
+                    if len(members) > 1:
+                        name = min(members)
+                        out.extend((m, name) for m in members)
+    yield pd.DataFrame(out, columns=["node", "component"])
+
 
 def components(graph: DataFrame) -> DataFrame:
     """``(node, component)``: strongly connected components, each named by its least node.
 
-    Rounds of trimming and colouring: nodes without an edge in or out among those left are components of their own; then
+    A graph of up to ``ONE_TASK`` different edges is walked depth first in one task. A larger one takes rounds of trimming and colouring: nodes without an edge in or out among those left are components of their own; then
     the least label that reaches a node colours it, and from each label's own node a backward search within its colour
     gives that label's component. Every round settles at least one component of each colour, all in parallel.
     """
     edges = cut(graph.select("src_id", "dst_id").where("src_id <> dst_id").distinct())
     nodes = graph.select(F.explode(F.array("src_id", "dst_id")).alias("node")).distinct()
+    if edges.count() <= ONE_TASK:
+        ship(graph.sparkSession)
+        kind = graph.schema["src_id"].dataType.simpleString()
+        member = edges.coalesce(1).mapInPandas(_walked_components, f"node {kind}, component {kind}")
+        return nodes.join(member, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     done = nodes.limit(0).select("node", F.col("node").alias("component"))
     left = cut(nodes)
     while True:

@@ -50,11 +50,11 @@ class WeightedForest:
             self.up[y], self.offset[y] = x, total
         return x, total
 
-    def link(self, child, parent) -> bool:
-        """Hangs the root ``child`` under ``parent``; false if that would close a loop."""
+    def link(self, child, parent, steps: int = 1) -> bool:
+        """Hangs the root ``child`` under ``parent``, ``steps`` below it; false if that would close a loop."""
         if self.find(parent)[0] == child:
             return False
-        self.up[child], self.offset[child] = parent, 1
+        self.up[child], self.offset[child] = parent, steps
         return True
 
 
@@ -116,8 +116,9 @@ def build_forest(links: DataFrame) -> Forest:
         if loops is None:
             return Forest(kept, merged, all_cuts, not all_cuts.isEmpty(), parts)
         # One link of each loop across partitions becomes a cut; partitions that held one look again.
-        again = local.join(loops.select("part").distinct(), "part", "left_semi")
-        rest = local.join(loops.select("part").distinct(), "part", "left_anti")
+        hit = cut(loops.join(tops.select("scope", "node", "part"), ["scope", "node"]).select("part").distinct())
+        again = local.join(hit, "part", "left_semi")
+        rest = local.join(hit, "part", "left_anti")
         broken = again.join(loops.select("scope", F.col("node").alias("child")), ["scope", "child"], "left_semi").where("not cut")
         open_ = again.join(loops.select("scope", F.col("node").alias("child")), ["scope", "child"], "left_anti").where("not cut")
         cuts = cut(cuts.unionByName(broken.select("scope", "child", "parent")).unionByName(again.where("cut").select("scope", "child", "parent")))
@@ -127,27 +128,80 @@ def build_forest(links: DataFrame) -> Forest:
 
 def add_up(tops: DataFrame, amounts: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """``tops(scope, node, top, off, *amounts, ...)`` with ``root``, ``to_root`` and the amounts summed over all that hang below,
-    or the least node of each loop among them.
+    or one node of each loop among them.
 
-    In round k a pointer leads 2^k links up, and a node has the sums of the 2^k levels from itself on; what points to it
-    brings the next 2^k. A node whose pointer ends knows its root. Rounds end when all do, or when a round finishes none:
-    depths have no gaps, so what is left then never ends. Sums are partial aggregates, pointers a join of many to one.
+    Only tops that have a parent elsewhere take part; roots get their sums from those in the end. Up to ``LOCAL_ROWS`` of
+    them go through one more disjoint set. More are doubled: in round k a pointer leads 2^k links up, and a node has the
+    sums of the 2^k levels from itself on; what points to it brings the next 2^k. A node whose pointer ends knows its root.
+    Rounds end when all do, or when a round finishes none: depths have no gaps, so what is left then never ends. Sums are
+    partial aggregates, pointers a join of many to one.
     """
-    rest = [c for c in tops.columns if c not in ("scope", "node", "top", "off", *amounts)]
-    state = tops.select(
-        "scope", "node", "top", "off", *rest, *amounts, F.col("top").alias("jump"), F.col("off").cast("bigint").alias("far"),
-        F.when(F.col("top").isNull(), F.col("node")).alias("root"), F.when(F.col("top").isNull(), F.lit(0).cast("bigint")).alias("to_root"), F.col("node").alias("least"),
+    inner = cut(tops.where("top is not null").select("scope", "node", "top", F.col("off").cast("bigint").alias("off"), *amounts))
+    left = inner.count()
+    if left <= LOCAL_ROWS:
+        names = ", ".join(f"{a} bigint" for a in amounts)
+        merged = cut(inner.coalesce(1).mapInPandas(_merge_local(amounts), f"scope string, node string, root string, to_root bigint, {names}"))
+        loops = merged.where("root is null")
+        if not loops.isEmpty():
+            return tops, loops.select("scope", "node")
+        return _with_roots(tops, merged, inner, amounts), None
+    roots = tops.where("top is null").select("scope", "node")
+    ends = inner.select("scope", F.col("top").alias("node")).distinct().join(roots, ["scope", "node"], "left_semi")
+    state = inner.select(
+        "scope", "node", *amounts, F.col("top").alias("jump"), F.col("off").alias("far"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("bigint").alias("to_root"), F.col("node").alias("least")
+    ).unionByName(
+        ends.select(
+            "scope", "node", *(F.lit(0).cast("bigint").alias(a) for a in amounts), F.lit(None).cast("string").alias("jump"), F.lit(None).cast("bigint").alias("far"),
+            F.col("node").alias("root"), F.lit(0).cast("bigint").alias("to_root"), F.col("node").alias("least"),
+        )
     )
-    left, seen, rounds = state.where("jump is not null").count(), -1, 0
+    seen, rounds = -1, 0
     while left and left != seen:
         state = cut(_doubled(state, amounts))
         seen, left, rounds = left, state.where("jump is not null").count(), rounds + 1
     if not left:
-        return state.drop("jump", "far", "least"), None
+        return _with_roots(tops, state, inner, amounts), None
     ring = state.where("jump is not null")
     while 2**rounds < left:  # until every pointer has gone round its loop
         ring, rounds = cut(_doubled(ring, [])), rounds + 1
-    return state, cut(ring.where(F.col("node") == F.col("least")))
+    return tops, cut(ring.where(F.col("node") == F.col("least")).select("scope", "node"))
+
+
+def _with_roots(tops: DataFrame, merged: DataFrame, inner: DataFrame, amounts: list[str]) -> DataFrame:
+    """``tops`` with what was found for those with a parent, and with the sums of all that hang below the others."""
+    found = merged.select("scope", "node", F.col("root").alias("_root"), F.col("to_root").alias("_to"), *(F.col(a).alias(f"_{a}") for a in amounts)).where("_to > 0")
+    below = inner.select("scope", "node", *amounts).join(found.select("scope", "node", "_root"), ["scope", "node"]).groupBy("scope", F.col("_root").alias("node")).agg(*(F.sum(a).alias(f"_{a}") for a in amounts))
+    more = found.unionByName(below.select("scope", "node", F.col("node").alias("_root"), F.lit(0).cast("bigint").alias("_to"), *(f"_{a}" for a in amounts)))
+    rest = [c for c in tops.columns if c not in amounts]
+    inside = F.col("top").isNotNull()
+    sums = (F.when(inside, F.col(f"_{a}")).otherwise(F.col(a) + F.coalesce(f"_{a}", F.lit(0))).alias(a) for a in amounts)
+    return tops.join(more, ["scope", "node"], "left").select(*rest, *sums, F.coalesce("_root", "node").alias("root"), F.coalesce("_to", F.lit(0)).alias("to_root"))
+
+
+def _merge_local(amounts: list[str]):
+    """One more disjoint set over the tops of all partitions; a row without a root closes a loop."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest, sums, up = WeightedForest(), {}, {}
+        for b in batches:
+            for scope, node, top, off, *of in zip(*(b[c] for c in ("scope", "node", "top", "off", *amounts)), strict=True):
+                sums[scope, node] = [int(x) for x in of]
+                up[scope, node] = (scope, top), int(off)
+        out = []
+        for c in sorted(up):
+            if not forest.link(c, up[c][0], up[c][1]):
+                out.append((*c, None, None, *sums[c]))
+        place = {c: forest.find(c) for c in up}
+        for c in sorted(up, key=lambda c: place[c][1], reverse=True):
+            above = sums.get(up[c][0])
+            if above is not None and not out:
+                for i, x in enumerate(sums[c]):
+                    above[i] += x
+        if not out:
+            out = [(*c, place[c][0][1], place[c][1], *sums[c]) for c in up]
+        yield pd.DataFrame(out, columns=["scope", "node", "root", "to_root", *amounts]).astype({"to_root": "Int64"})
+
+    return run
 
 
 def _doubled(state: DataFrame, amounts: list[str]) -> DataFrame:
