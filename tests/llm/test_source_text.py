@@ -270,8 +270,8 @@ HAM = [
 
 
 def test_spam_share():
-    assert all(spam.features(t)[-1] > 0.5 for t in SPAM)
-    assert all(spam.features(t)[-1] < 0.5 for t in HAM)
+    assert all(spam.spam_share(t) > 0.5 for t in SPAM)
+    assert all(spam.spam_share(t) < 0.5 for t in HAM)
 
 
 def test_spam_documents(spark):

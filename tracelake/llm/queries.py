@@ -93,8 +93,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features, robust distance and spam share of every document with words."""
-    return spam.score(cut(spam.feature_table(table(spark, sf_dir, "documents"))))
+    """Features and robust distance of every document that is not blank, and the spam share of candidates."""
+    return spam.score(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_reported, p2_redacted, p3_found, p3_truth, p3_reliability, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p8_ids, p8_round_trip, p9_found, p9_matches, p9_clean, p10_found, p10_scores)}

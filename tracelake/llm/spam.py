@@ -1,4 +1,9 @@
-"""Keyword-stuffed pages, link lists and product tags: robust outliers in text features, in the direction of spam."""
+"""Keyword-stuffed pages, link lists and product tags: robust outliers in text features, in the direction of spam.
+
+Five features of every text give a robust model of each language; texts far from their language's centre, in the direction
+in which the features rise with spam, are candidates. They alone are read unit by unit to confirm that more than half of
+the text is spam.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.core import cut, spread
+from tracelake.core import cut, ship, spread
 
 #: Common function words of each language.
 FUNCTION_WORDS = {
@@ -48,27 +54,65 @@ _BREAKS = re.compile(r"[|、，；・\u00bb\u00ab\u00b7\u2022;,/>]+|\s[-\u2013]\
 MOST_PARTICLES = 0.05
 
 FEATURES = ("density", "repetition", "monotony", "function_gap", "tagging")
-SCHEMA = "doc_id {kind}, group string, density double, repetition double, monotony double, function_gap double, tagging double, share double"
+_TABLE = "doc_id {kind}, group string, density double, repetition double, monotony double, function_gap double, tagging double"
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_HASHTAG = re.compile(r"(?<![\w&/#])#\w{2,}")
+_OFFER = re.compile(r"[$€£¥]\s?\d|\d\s?[$€£¥]|\b(?:sku|ean|asin|eur|usd|gbp|chf)\b|\b(?:in|out of|low) stock\b|\bsold out\b|\badd to (?:cart|basket)\b|\bfree shipping\b|\bbuy now\b|\btags?\s*:", re.I)
+#: Characters that one sign of an offer stands for.
+_OFFER_CHARS = 16
 
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def language(words: list[str]) -> tuple[str, float]:
-    """The language whose function words cover most of ``words``, and how much; declared languages are often wrong."""
-    if not words:
-        return "none", 0.0
-    counts = Counter(words)
-    best, most = "none", 0
-    for name, known in FUNCTION_WORDS.items():
-        n = sum(c for w, c in counts.items() if w in known)
-        if n > most:
-            best, most = name, n
-    return best, most / len(words)
+_ANY = frozenset().union(*(v for k, v in FUNCTION_WORDS.items()))
+_NAMES = tuple(FUNCTION_WORDS)
+#: The languages, by their numbers, that a function word belongs to.
+_OF_WORD = {w: tuple(i for i, n in enumerate(_NAMES) if w in FUNCTION_WORDS[n]) for w in _ANY}
+#: Share of function words from which a text counts as one of a language.
+LEAST_COVER = 0.05
 
 
-_ANY = frozenset().union(*(v for k, v in FUNCTION_WORDS.items()))
+def features(text: str) -> tuple[str, float, float, float, float, float] | None:
+    """(language, density, repetition, monotony, function gap, tagging) of a text; null for a blank one.
+
+    density: share of characters in links; repetition: share of words in content word pairs that recur; monotony: 1 minus
+    the entropy of words against its maximum; function gap: 1 minus the share of function words, of three in ten at most;
+    tagging: share of characters in hashtags and signs of offers. The language is the one whose function words cover most,
+    as declared ones are often wrong. All lie between 0 and 1, to three decimals.
+    """
+    total = _weight(text)
+    if not total:
+        return None
+    density = tagging = 0.0
+    body = text
+    if "](" in text or "://" in text or "www." in text or "<a" in text or "<A" in text:
+        body = _LINK.sub(" ", text)
+        density = (len(text) - len(body)) / len(text)
+    if "<" in body:
+        body = _TAG.sub(" ", body)
+    if "#" in body:
+        tagging = sum(map(len, _HASHTAG.findall(body)))
+    tagging = min((tagging + _OFFER_CHARS * len(_OFFER.findall(body))) / total, 1.0)
+    low = body.lower()
+    words = _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
+    n = len(words)
+    counts = Counter(words)
+    known = [0] * len(_NAMES)
+    spread_ = 0.0
+    for w, c in counts.items():
+        if c > 1:
+            spread_ += c * math.log2(c)
+        for i in _OF_WORD.get(w, ()):
+            known[i] += c
+    most = max(known)
+    lang = _NAMES[known.index(most)] if n and most / n >= LEAST_COVER else "none"
+    gap = 1 - min(most / n / 0.3, 1.0) if n else 1.0
+    monotony = spread_ / (n * math.log2(n)) if n > 1 else 0.0
+    pairs = Counter(zip(words, words[1:], strict=False))
+    recur = sum(c for (a, b), c in pairs.items() if c > 2 and a not in _ANY and b not in _ANY)
+    return lang, round(density, 3), round(recur / n if n else 0.0, 3), round(monotony, 3), round(gap, 3), round(tagging, 3)
 
 
 def _units(text: str) -> list[str]:
@@ -95,25 +139,18 @@ def _weight(text: str) -> int:
     return len(text) - sum(map(text.count, " \t\n\r"))
 
 
-def features(text: str) -> tuple[str, float, float, float, float, float, float] | None:
-    """(language, density, repetition, monotony, function gap, tagging, share of spam) of a text; null without words.
-
-    density: share of characters in bare links; repetition: share of words in content word pairs that recur; monotony: 1
-    minus the entropy of words against its maximum; function gap: share of characters in units with next to no function
-    words; tagging: share in product tags. The last figure is the exact measure: the share of characters in units that
-    are links without description, product tags, keyword runs, or hollow sentences around recurring keywords.
-    """
+def spam_share(text: str) -> float:
+    """Share of characters in units that are links without description, product tags, keyword runs, or hollow sentences
+    around recurring keywords."""
     units = _units(text)
     by_unit = [words_of(_TAG.sub(" ", _LINK.sub(" ", u)) if "<" in u or "](" in u or "://" in u or "www." in u else u) for u in units]
-    every = [w for ws in by_unit for w in ws]
     total = sum(map(_weight, units))
     if not total:
-        return None
-    lang, covers = language(every)
-    lang = lang if covers >= 0.05 else "none"
-    known = FUNCTION_WORDS.get(lang, frozenset())
+        return 0.0
     content = []
+    counts: Counter = Counter()
     for ws in by_unit:
+        counts.update(ws)
         signs = [w for w in ws if _CJK.match(w)]
         bare = sum(w in _ANY for w in signs) <= MOST_PARTICLES * len(signs)
         content.append([w if w not in _ANY and (bare if _CJK.match(w) else _PLAIN.fullmatch(w)) else None for w in ws])
@@ -132,13 +169,21 @@ def features(text: str) -> tuple[str, float, float, float, float, float, float]
         at += len(ws)
     dense = {p for p, g in gaps.items() if pairs[p] >= 5 and sorted(g)[len(g) // 2] <= 9}
 
-    linked = tagged = stuffed = gap = 0
-    links = 0
-    repeated = 0
+    linked = tagged = stuffed = links = 0
     for u, ws, cs in zip(units, by_unit, content, strict=True):
-        size = _weight(u)
-        n = len(ws)
-        functional = sum(w in known for w in ws)
+        size, n = _weight(u), len(ws)
+        functional = sum(w in _ANY for w in ws)
+        found = _LINK.findall(u)
+        if found and n <= 4 + len(found) and not _SELL[1].search(u):
+            linked += size
+            links += len(found)
+            continue
+        hashtags = _HASHTAG.findall(u)
+        if sum(bool(r.search(u)) for r in _SELL) >= 2 or (len(hashtags) >= 3 and 2 * len(hashtags) >= n):
+            tagged += size
+            continue
+        if not n or _MATTER.match(u) or len(_CODE.findall(u)) > 0.01 * len(u):
+            continue
         cover = [False] * n
         tight = [False] * n
         for i in range(n - 1):
@@ -148,51 +193,35 @@ def features(text: str) -> tuple[str, float, float, float, float, float, float]
                     cover[i] = cover[i + 1] = True
                     if p in dense:
                         tight[i] = tight[i + 1] = True
-        covered = sum(cover)
-        repeated += covered
-        matter = bool(_MATTER.match(u))
-        if n and functional / n < 0.1 and not matter:
-            gap += size
-        found = _LINK.findall(u)
-        if found and n <= 4 + len(found) and not _SELL[1].search(u):
-            linked += size
-            links += len(found)
-        elif sum(bool(r.search(u)) for r in _SELL) >= 2:
-            tagged += size
-        elif n and not matter and len(_CODE.findall(u)) <= 0.01 * len(u):
-            plain = sum(c is not None for c in cs) / n
-            segments = [s for s in _BREAKS.split(u) if s.strip()]
-            short_segments = len(segments) >= 6 and n <= 5 * len(segments)
-            if (
-                (n >= 6 and functional / n <= 0.12 and plain >= 0.6 and covered / n >= 0.5)
-                or (short_segments and covered / n >= 0.4 and plain >= 0.5)
-                or sum(tight) / n >= 0.3
-            ):
-                stuffed += size
-    if links < 3:
+        covered = sum(cover) / n
+        again = sum(c is not None and not _CJK.match(c) and counts[c] >= 3 for c in cs) / n
+        plain = sum(c is not None for c in cs) / n
+        segments = [s for s in _BREAKS.split(u) if s.strip()]
+        short = n <= 5 * len(segments)
+        if (
+            (n >= 6 and functional / n <= 0.12 and plain >= 0.6 and (covered >= 0.5 or (n >= 12 and again >= 0.5)))
+            or (len(segments) >= 6 and short and covered >= 0.4 and plain >= 0.5)
+            or (len(segments) >= 20 and n <= 3 * len(segments) and functional / n <= 0.05 and plain >= 0.8)
+            or sum(tight) / n >= 0.3
+        ):
+            stuffed += size
+    if links < 2:
         linked = 0
-    counts = Counter(every)
-    entropy = -sum(c / len(every) * math.log2(c / len(every)) for c in counts.values()) if every else 0.0
-    monotony = 1 - entropy / math.log2(len(every)) if len(every) > 1 else 0.0
-    share = (linked + tagged + stuffed) / total
-    return lang, linked / total, repeated / max(len(every), 1), monotony, gap / total, tagged / total, share
+    return (linked + tagged + stuffed) / total
 
 
 def feature_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of features for each text that has words."""
+    """One row of features for each text that is not blank."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                f = features(t) if t else None
-                if f:
-                    out.append((i, *f))
-            yield pd.DataFrame(out, columns=["doc_id", "group", *FEATURES, "share"])
+            out = [(i, *f) for i, t in zip(b["doc_id"], b["text"], strict=True) if t and (f := features(t))]
+            yield pd.DataFrame(out, columns=["doc_id", "group", *FEATURES])
 
+    ship(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return spread(source, "doc_id").mapInPandas(run, SCHEMA.format(kind=kind))
+    return spread(source, "doc_id").mapInPandas(run, _TABLE.format(kind=kind))
 
 
 #: Least variance of a feature: most texts have no links or tags at all, and a spread of 0 has no distances.
@@ -215,68 +244,107 @@ def _solve(rows: list[list[float]]) -> list[list[float]]:
     return [r[n:] for r in a]
 
 
-#: Languages with fewer texts than this, and texts without function words, are measured against all texts.
-LEAST_TEXTS = 200
+#: A language's centre and spread count as much as those of all texts once it has this many texts; the weight grows evenly.
+HALF_WEIGHT = 200
 _POOL = "*"
 
 
-def robust_models(table: DataFrame) -> dict[str, tuple[list[float], list[list[float]]]]:
-    """Centre and precision matrix by group: median centre and inverse covariance of the inner half of each language and of all.
+@dataclass(frozen=True)
+class Models:
+    """Centre and precision matrix of each language; ``pool`` has those of all texts, for texts of no language."""
+
+    of: dict[str, tuple[list[float], list[list[float]]]]
+    pool: tuple[list[float], list[list[float]]]
+
+    def measure(self, group: str, f) -> tuple[float, float]:
+        """(squared robust distance, how far along the spam direction) of the features ``f``.
+
+        All features grow with spam, so the direction is the one in which they all rise, in units of the language's spread.
+        """
+        centre, precision = self.of.get(group, self.pool)
+        z = [x - c for x, c in zip(f, centre, strict=True)]
+        distance = sum(z[i] * z[j] * precision[i][j] for i in range(len(z)) for j in range(len(z)))
+        return distance, sum(x * math.sqrt(precision[i][i]) for i, x in enumerate(z))
+
+
+def robust_models(table: DataFrame) -> Models | None:
+    """Models from the inner half of each language and of all texts; null for an empty table.
 
     The inner half are the rows whose distance from the medians, in units of the median absolute deviations, is at most
-    the median distance; all rows take part, as mergeable sums and sketches. There is a row for each language (six at
-    most) and one for all texts, so they are inverted on the driver.
+    the median distance. Languages lean on all texts by a weight that falls evenly with their number, so no number of texts
+    switches anything. All rows take part, by sums and exact medians: features have a thousand values at most and distances
+    are counted on a scale of fixed steps, so a median is a bounded table of counts. There is a row for each language (six
+    at most) and one for all texts; they are inverted on the driver, from figures rounded so that the order of sums is
+    not seen.
     """
     counted = table.select("group", *FEATURES).where(F.col("group") != "none").unionByName(table.select(F.lit(_POOL).alias("group"), *FEATURES))
-    med = counted.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in FEATURES))
-    off = counted.join(F.broadcast(med), "group").where((F.col("n") >= LEAST_TEXTS) | (F.col("group") == _POOL))
-    mad = off.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in FEATURES))
+    med = counted.groupBy("group").agg(*(F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in FEATURES))
+    off = counted.join(F.broadcast(med), "group")
+    mad = off.groupBy("group").agg(*(F.percentile(F.round(F.abs(F.col(c) - F.col(f"m_{c}")), 4), F.lit(0.5)).alias(f"d_{c}") for c in FEATURES))
     far = sum(((F.col(c) - F.col(f"m_{c}")) ** 2) / (F.col(f"d_{c}") ** 2 * 2.198 + FLOOR) for c in FEATURES)
-    off = off.join(F.broadcast(mad), "group").withColumn("far", far)
-    half = off.groupBy("group").agg(F.percentile_approx("far", 0.5, 10_000).alias("half"))
+    off = off.join(F.broadcast(mad), "group").withColumn("far", F.round(F.log2(far + 1), 3))
+    half = off.groupBy("group").agg(F.percentile("far", F.lit(0.5)).alias("half"))
     inner = off.join(F.broadcast(half), "group").where(F.col("far") <= F.col("half"))
-    moments = [F.avg(c).alias(f"a_{c}") for c in FEATURES] + [
-        F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if j >= i
+    moments = [F.round(F.avg(c), 9).alias(f"a_{c}") for c in FEATURES] + [
+        F.round(F.covar_pop(a, b), 9).alias(f"c_{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if j >= i
     ]
-    out = {}
-    for r in inner.groupBy("group").agg(*moments).collect():
+    rows = {r["group"]: r for r in inner.groupBy("group").agg(F.count("*").alias("n"), *moments).collect()}
+    if not rows:
+        return None
+    n = range(len(FEATURES))
+
+    def figures(r) -> tuple[list[float], list[list[float]]]:
+        return [r[f"a_{c}"] for c in FEATURES], [[r[f"c_{min(i, j)}_{max(i, j)}"] or 0.0 for j in n] for i in n]
+
+    def finished(centre, cov) -> tuple[list[float], list[list[float]]]:
         # 2.5 makes up for the spread that the inner half leaves out.
-        cov = [[2.5 * (r[f"c_{min(i, j)}_{max(i, j)}"] or 0.0) + FLOOR * (i == j) for j in range(len(FEATURES))] for i in range(len(FEATURES))]
-        out[r["group"]] = [r[f"a_{c}"] for c in FEATURES], _solve(cov)
-    return out
+        return centre, _solve([[2.5 * cov[i][j] + FLOOR * (i == j) for j in n] for i in n])
+
+    all_centre, all_cov = figures(rows[_POOL])
+    of = {}
+    for g, r in rows.items():
+        if g != _POOL:
+            w = r["n"] / (r["n"] + HALF_WEIGHT)
+            centre, cov = figures(r)
+            of[g] = finished([w * a + (1 - w) * b for a, b in zip(centre, all_centre, strict=True)], [[w * cov[i][j] + (1 - w) * all_cov[i][j] for j in n] for i in n])
+    return Models(of, finished(all_centre, all_cov))
 
 
-def score(table: DataFrame) -> DataFrame:
-    """``table`` with ``distance`` (squared robust Mahalanobis) and ``spamward`` (how far along the spam direction).
+_SCORES = "doc_id {kind}, group string, " + ", ".join(f"{c} double" for c in FEATURES) + ", distance double, spamward double, share double"
 
-    All features grow with spam, so the direction is the one in which they all rise, in units of the language's spread.
+
+def score(docs: DataFrame, candidates_only: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Features, ``distance``, ``spamward`` and ``share`` of each text that is not blank.
+
+    ``share`` is worked out for candidates only: robust outliers (squared distance over ``CUTOFF``) that lie in a spam
+    direction; others have null. Texts are read twice, for the models and to be measured, and never move.
     """
-    models = robust_models(table)
-    if not models:  # no texts
-        return table.withColumn("distance", F.lit(0.0)).withColumn("spamward", F.lit(0.0))
-
-    def of_group(pick) -> Column:
-        own = None
-        for g, m in models.items():
-            if g != _POOL:
-                own = (F if own is None else own).when(F.col("group") == g, F.lit(pick(m)))
-        rest = F.lit(pick(models[_POOL]))
-        return rest if own is None else own.otherwise(rest)
-
-    n = len(FEATURES)
-    z = [F.col(c) - of_group(lambda m, i=i: m[0][i]) for i, c in enumerate(FEATURES)]
-    precision = [[of_group(lambda m, i=i, j=j: m[1][i][j]) for j in range(n)] for i in range(n)]
-    distance = sum(z[i] * z[j] * precision[i][j] for i in range(n) for j in range(n))
-    spamward = sum(z[i] * F.sqrt(precision[i][i]) for i in range(n))
-    return table.withColumn("distance", distance).withColumn("spamward", spamward)
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    models = robust_models(cut(feature_table(docs, key, text)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, t in zip(b["doc_id"], b["text"], strict=True):
+                f = features(t) if t else None
+                if f:
+                    distance, spamward = models.measure(f[0], f[1:])
+                    candidate = distance > CUTOFF and spamward > 0
+                    if candidate or not candidates_only:
+                        out.append((i, *f, round(distance, 6), round(spamward, 6), round(spam_share(t), 6) if candidate else None))
+            yield pd.DataFrame(out, columns=["doc_id", "group", *FEATURES, "distance", "spamward", "share"]).astype({"share": float})
+
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    scored = spread(source, "doc_id").mapInPandas(run, _SCORES.format(kind=kind))
+    return scored.withColumn("share", F.when(~F.isnan("share"), F.col("share")))
 
 
 def find_spam(docs: DataFrame) -> DataFrame:
     """``(doc_id, distance, spamward, share)`` of the documents that are spam.
 
-    Candidates are robust outliers of their language (squared distance over ``CUTOFF``) that lie in a spam direction;
-    the exact check that follows asks for more than half of the text in links, tags or keywords. Texts are read whole.
-    Null, empty and blank texts are never spam; repeated rows stay repeated; an empty table gives an empty result.
+    Candidates are robust outliers of their language that lie in a spam direction; the exact check that follows asks for
+    more than half of the text in links, tags or keywords. Texts are read whole. Null, empty and blank texts are never spam;
+    repeated rows stay repeated; an empty table gives an empty result.
     """
-    table = cut(feature_table(docs))
-    return score(table).where((F.col("distance") > CUTOFF) & (F.col("spamward") > 0) & (F.col("share") > 0.5)).select("doc_id", "distance", "spamward", "share")
+    return score(docs, candidates_only=True).where("share > 0.5").select("doc_id", "distance", "spamward", "share")
