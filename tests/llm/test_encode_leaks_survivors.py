@@ -234,3 +234,30 @@ def test_truth_discovery_finds_the_liar(spark):
     assert w["liar"] < 0.2 < 0.6 < w["a"]
     empty = survivors.discover_truth(said.limit(0))
     assert empty.values.collect() == [] and empty.weights.collect() == []
+
+
+def test_suffix_array_equals_sorting():
+    import numpy as np
+
+    rng = random.Random(5)
+    for n in (0, 1, 7, 60, 400):
+        texts = [[rng.randrange(1, 4) for _ in range(rng.randrange(1, 30))] for _ in range(n // 10 + 1)] * 2
+        flat = np.array([x for t in texts for x in (*t, 0)], np.uint64)
+        ends = [i for i, x in enumerate(flat) if x == 0]
+        suffix = [tuple(int(x) for x in flat[i : next(e for e in ends if e >= i) + 1]) for i in range(len(flat))]
+        order = leaks.suffix_array(flat)
+        assert sorted(order.tolist()) == list(range(len(flat)))
+        assert [suffix[i] for i in order] == sorted(suffix)
+
+
+def test_places_and_stored_arrays(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two " + ITEM), (2, ITEM), (3, "none of it")], "doc_id bigint, text string")
+    found_ = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(docs, items(spark)).collect()}
+    assert found_[1, 1].doc_word - found_[1, 1].item_word == 2 + found_[2, 1].doc_word - found_[2, 1].item_word
+    whole = sorted(tuple(r) for r in found_.values())
+    assert sorted(tuple(r) for r in leaks.search_arrays(leaks.training_arrays(docs), items(spark)).collect()) == whole
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(leaks, "PAIRS", 3)
+    assert sorted(tuple(r) for r in leaks.find_leaks(docs, items(spark)).collect()) == whole
+    two = items(spark).unionByName(spark.createDataFrame([(1, "s", "another text of the item that is short")], "item_id bigint, suite string, text string"))
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, two).collect()} == set(found_)
