@@ -62,3 +62,49 @@ def test_key_block_in_pieces_without_end():
 def test_armor_alone_is_no_key():
     for text in (f'if "{HEAD}" in text: pass\n', f'MARKS = ["{HEAD}", "{FOOT}"]\n', f'x = "{HEAD}" + body + "{FOOT}"\n', f'x = ["{HEAD}", load("{LINES[0]}")]\n'):
         assert not [s for s in secrets.find_spans(text, "a.py") if s.rule == "private-key"], text
+
+
+def test_key_block_without_end_stops_at_its_last_line():
+    key = "\n".join("QWxhZGRpbjpvcGVuIHNlc2FtZQ" + c * 30 for c in "abc")
+    code = '\n"""\n\ndef main():\n    return 1\n\n\nOTHER = "-----END RSA PRIVATE KEY-----"\n'
+    for tail in ("", "\nQWxhZA=="):
+        text = f'KEY = """{HEAD}\n{key}{tail}{code}'
+        out = hidden(text)
+        assert out == f'KEY = """{HEAD}\nREDACTED{code}'
+        ast.parse(out)
+    yaml = f"a:\n  key: |\n    {HEAD}\n    " + key.replace("\n", "\n    ") + "\nother: 1\n"
+    assert hidden(yaml, "a.yaml") == f"a:\n  key: |\n    {HEAD}\n    REDACTED\nother: 1\n"
+    commented = "# " + f"{HEAD}\n{key}\n{FOOT}".replace("\n", "\n# ") + "\nx = 1\n"
+    assert hidden(commented) == f"# {HEAD}\n# REDACTED\n# {FOOT}\nx = 1\n"
+
+
+def test_line_ends_words_and_short_passwords():
+    assert hidden("x = 1\r\n# old pwd of the ci account of the second test stage: Gilded69$Chann\r\n") == "x = 1\r\n# old pwd of the ci account of the second test stage: REDACTED\r\n"
+    assert hidden('password = "swordfish"; user = "letmein"\n') == 'password = "REDACTED"; user = "letmein"\n'
+    assert hidden('pwd = "a9!x"\ntoken = "name"\npassword = "required"\n') == 'pwd = "REDACTED"\ntoken = "name"\npassword = "required"\n'
+    assert hidden("machine h\n  login " + "u" * 300 + "\n  password Qu4rtz-Lamp9\n", "netrc").endswith("password REDACTED\n")
+    long = "deploy_" * 40 + "api_key"
+    assert hidden(f'{long} = "f3a9c1d27be84a06"\n') == f'{long} = "REDACTED"\n'
+
+
+def test_one_long_line_takes_one_pass():
+    import time
+
+    text = "x=1;" * 100_000 + 'password="k3y-Val9!x";' * 20_000
+    began = time.process_time()
+    assert len(secrets.find_spans(text, "a.js")) == 20_000
+    assert time.process_time() - began < 10
+
+
+def test_redacted_files_still_parse(spark, sf_dir):
+    from tracelake.llm import broken
+
+    rows = spark.read.parquet(f"{sf_dir}/source_files.parquet").where("content <> ''").select("rel_path", "content").distinct().collect()
+    n = 0
+    for path, text in rows:
+        language = broken.LANGUAGES.get(path.rsplit(".", 1)[-1])
+        spans = secrets.find_spans(text, path)
+        if spans and language and not broken.find_problems(text, language):
+            n += 1
+            assert not broken.find_problems(secrets.redact(text, spans), language), path
+    assert n >= 3

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -64,12 +65,16 @@ TOKEN_FORMATS = {
 }
 ARMOR = "-----begin "
 LINK = "://"
-SCHEMES = ("bearer ", "basic ", "identified by", "mysql ", "sshpass", "curl ", "mysqldump ")
+SCHEMES = ("bearer", "basic", "identified", "mysql ", "mysqldump ", "sshpass", "curl ", "machine", "default")
 NAMES = ("passw", "passphrase", "pwd", "pass", "secret", "token", "key", "credential")
 
 #: Names of URL parameters that hold credentials.
 PARAMETERS = ("access_token", "api_key", "api-key", "apikey", "token", "key", "sig", "signature", "secret", "client_secret", "password", "passwd", "pwd", "auth", "x-amz-signature", "code")
 _HIDDEN = seq("<", rep(none_of("<>", SPACES), 1), ">")
+_GAP = rep(any_of(SPACES), 1)
+_WORD = rep(none_of(SPACES, "\"'"), 1)
+_QUOTED = alt(_WORD, seq("'", _WORD, "'"), seq('"', _WORD, '"'))
+_COMMAND = rep(none_of("\n|;&"))
 #: Everything with a form of its own, as one automaton.
 GRAMMAR = Automaton(
     {
@@ -79,21 +84,34 @@ GRAMMAR = Automaton(
         "url-parameter": seq(any_of("?&"), alt(*map(any_case, PARAMETERS)), "=", alt(rep(none_of(SPACES, "&\"'<>#\\"), 1), _HIDDEN)),
         "bearer": seq(any_case("bearer"), rep(any_of(SPACES), 1), rep(any_of(_B64, ".~+/="), 12)),
         "basic": seq(any_case("basic"), rep(any_of(SPACES), 1), rep(any_of(_ALNUM, "+/"), 8), rep("=", 0, 2)),
+        "identified-by": seq(
+            any_case("identified"), _GAP, rep(seq(any_case("with"), _GAP, rep(none_of(SPACES), 1), _GAP), 0, 1), any_case("by"), _GAP, rep(seq(any_case("password"), _GAP), 0, 1),
+            alt(seq("'", rep(none_of("'\"\n\\"), 1), "'"), seq('"', rep(none_of("'\"\n\\"), 1), '"'), seq("\\'", rep(none_of("'\"\n\\"), 1), "\\'"), seq('\\"', rep(none_of("'\"\n\\"), 1), '\\"')),
+        ),
+        "mysql": seq(any_case("mysql"), rep(any_case("dump"), 0, 1), any_of(" \t"), _COMMAND, any_of(" \t"), "-p", _QUOTED),
+        "sshpass": seq(any_case("sshpass"), rep(any_of(" \t"), 1), "-p", rep(any_of(" \t")), _QUOTED),
+        "curl": seq(any_case("curl"), any_of(" \t"), _COMMAND, any_of(" \t"), alt("-u", "--user"), rep(any_of(" ="), 0, 1), rep(any_of("'\""), 0, 1), rep(none_of(SPACES, ":'\""), 1), ":", _WORD),
+        "netrc": seq(alt(seq(any_case("machine"), _GAP, rep(none_of(SPACES), 1)), any_case("default")), _GAP, any_case("login"), _GAP, rep(none_of(SPACES), 1), _GAP, any_case("password"), _GAP, _WORD),
     }
 )
-_ARMOR = re.compile(
-    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[ \t]*(?:\\r)?(?:\\n|\\?\r?\n)(?:[^\r\n\"'-]*|[ \t]*[A-Za-z]+-[A-Za-z-]+:[ \t][^\r\n\"'\\]*))+?[A-Za-z0-9+/=]{24,}(?:[^-]|-(?!----END))*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?"
+#: Where the value stands at the end of what these rules match.
+_TAIL = {
+    "identified-by": re.compile(r"(?P<value>[^'\"\\]+)\\?['\"]$"),
+    "mysql": re.compile(r"(?P<value>[^\s'\"]+)['\"]?$"),
+    "sshpass": re.compile(r"(?P<value>[^\s'\"]+)['\"]?$"),
+    "curl": re.compile(r"(?P<value>[^\s:'\"]+)$"),
+    "netrc": re.compile(r"(?P<value>\S+)$"),
+}
+#: What a key block holds inside a literal or a text, and what stands between the literals of one in pieces.
+_KEY_TEXT = re.compile(
+    r"(?P<foot>-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)|(?P<head>[A-Za-z]+(?:-[A-Za-z]+)*:[ \t][^\r\n\"'`\\]*)"
+    r"|(?P<body>[A-Za-z0-9+/]+={0,2})(?=[ \t]*(?:\\+[rn]|\\?\r?\n|\\*[\"'`]|-----END|$))|\\+[rn]|\\?\r?\n[ \t]*(?:#+|//+|\*|;)?[ \t]*|[ \t]+"
 )
-#: A key block in pieces: what its literals hold, and what stands between them.
-_KEY_TEXT = re.compile(r"(?P<foot>-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)|(?P<head>[A-Za-z]+(?:-[A-Za-z]+)*:[ \t][^\r\n\"'`\\]*)|(?P<body>[A-Za-z0-9+/=]+)|\\+[rn]|[ \t]+|\\?\r?\n")
 _KEY_JOIN = re.compile(r"[\s+,.&]+|\\\r?\n|[A-Za-z@$]{1,2}(?=\\?[\"'`])")
 _KEY_QUOTE = re.compile(r"\\*[\"'`]")
-_IDENTIFIED = re.compile(r"identified\s+(?:with\s+\S+\s+)?by\s+(?:password\s+)?(?P<q>\\?['\"])(?P<value>[^'\"\n]*)(?P=q)", re.I)
-_CLIENT = re.compile(r"(?:mysql|mysqldump)\b[^\n|;&]*?\s-p(?P<q>['\"]?)(?P<value>[^\s'\"]+)(?P=q)", re.I)
-_SSHPASS = re.compile(r"sshpass\s+-p\s*(?P<q>['\"]?)(?P<value>[^\s'\"]+)(?P=q)", re.I)
-_CURL = re.compile(r"curl\b[^\n|;&]*?\s(?:-u|--user)[ =]?(?P<q>['\"]?)[^\s:'\"]+:(?P<value>[^\s'\"]+)(?P=q)", re.I)
-_NETRC = re.compile(r"(?:machine\s+\S+|default)\s+login\s+\S+\s+password\s+$", re.I)
-_SPOKEN = re.compile(r"(?:[ \t]+[\w()'-]+){0,8}[ \t]*(?:[:=]|\bis\b)[ \t]+(?P<q>[\"'`]?)(?P<value>[^\s\"'`]+)(?P=q)[ \t.]*$", re.M)
+_SPEECH = re.compile(r"(?:[ \t]+[\w()'-]+)*")
+_SAID = re.compile(r"[ \t]*(?:[:=]|\bis\b)[ \t]+(?P<q>[\"'`]?)(?P<value>[^\s\"'`]+)(?P=q)[ \t.]*\r?$", re.M)
+_MARKS = re.compile(r"\\.|[\"'`(#;]|//|/\*|<!--", re.S)
 
 _IDENT = re.compile(r"[A-Za-z0-9_.-]*")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -103,18 +121,20 @@ _CLOSE = re.compile(r"(?P<quote>\\?[\"'])?(?P<bracket>\])?[ \t]*")
 _ANNOTATION = re.compile(r":[ \t]*[A-Za-z_][\w.\[\], |]*?[ \t]*(?==[^=])")
 _SEPARATOR = re.compile(r"(?::=|=>|->|(?<![=!<>])=(?!=)|:(?!:))[ \t]*")
 _LITERAL = re.compile(
-    r"(?P<prefix>[A-Za-z]{0,2})(?P<q>\"\"\"|'''|`|\\\"|\"|')(?P<value>(?:(?!(?P=q))(?:\\.|[^\\]))*?)(?P=q)", re.S
+    r"(?P<prefix>[A-Za-z]{0,2})(?:(?P<long>\"\"\"|\'\'\'|`)(?P<text>(?:(?!(?P=long))(?:\\.|[^\\]))*?)(?P=long)|(?P<short>\\\"|\"|\')(?P<line>(?:(?!(?P=short))(?:\\[^\n]|[^\\\n]))*?)(?P=short))", re.S
 )
 _DECODERS = re.compile(r"(?:[\w.]+\.)?(?P<how>b64decode|urlsafe_b64decode|standard_b64decode|atob|fromhex|unhexlify|b32decode|SecretStr|quote|encode|Buffer\.from|bytes|str)\(\s*", re.I)
 _DEFAULT = re.compile(r"\s*,\s*(?:default\s*=\s*)?(?=[A-Za-z]{0,2}[\"'])|[^()\n]*?\bdefault\s*=\s*(?=[A-Za-z]{0,2}[\"'])")
-_FALLBACK = re.compile(r"[^\n'\"]{0,120}?(?:\|\||\?\?|\bor\b)\s*(?=[\"'])")
+_FALLBACK = re.compile(r"[^\n'\";{}]*?(?:\|\||\?\?|\bor\b)\s*(?=[\"'])")
 _JOIN = re.compile(r"\s*(?:\+|\.|\\\r?\n)?\s*(?=[A-Za-z]{0,2}[\"'])")
 _SHELL_DEFAULT = re.compile(r"\$\{[A-Za-z_]\w*:?[-=](?P<value>[^}]*)\}")
 _BARE = re.compile(r"[^\s\"'`,;]\S*")
 _BLOCK = re.compile(r"[|>][-+0-9]*[ \t]*(?:#[^\n]*)?\r?\n(?P<lead>\s+)(?P<value>\S+)")
 
+#: Names whose values are passwords, which may be short or a plain word.
+_PASSWORDS = frozenset("password passwd passwort pwd pass passphrase passcode pgpassword userpass dbpass".split())
 _PLACEHOLDERS = frozenset(
-    "changeme changeit change replaceme replace todo tbd fixme none null nil undefined true false yes no on off empty default test testing secret password passwd pwd pass token key apikey value string str int text example sample placeholder redacted masked hidden removed dummy fake foo bar foobar foobarbaz setme insert fillme fillin user username admin root guest anonymous optional required unknown notset unset missing xxx abc abcdef".split()
+    "changeme changeit change replaceme replace todo tbd fixme none null nil undefined true false yes no on off empty default test testing secret password passwd pwd pass token key apikey value string str int text example sample placeholder redacted masked hidden removed dummy fake foo bar foobar foobarbaz setme insert fillme fillin user username admin root guest anonymous optional required unknown notset unset missing xxx abc abcdef enter confirm confirmation invalid incorrect wrong mandatory forgotten forgot input field label visible plain plaintext encrypted hashed hash prompt stdin keyring vault environment variable literal object number boolean function return returns reset update create delete login signin signup submit username email word phrase qwerty letters placeholder credential credentials".split()
 )
 _REFERENCE = re.compile(
     r"\$\{|\$\(|^\$[A-Za-z_]\w*$|\{\{|^\{[^{}]*\}$|^%\(?\w*\)?[sd]?$|^<.*>$|^\[.*\]$|^%[A-Za-z_]\w*%$|^@\w+|^(?:env|vault|secret|secrets|ssm|arn|op|gcp|aws|azure|keyring|file|ref|kms|awssm|sops|https?)(?::|://)|^(?:process\.env|os\.environ|settings|config|env|secrets|vars)\.|^ENC\[|^!|^projects/\S+/secrets/",
@@ -183,10 +203,15 @@ def is_sensitive(name: str) -> bool:
     return words[-1] == "key" and len(words) > 1 and words[-2] in _KEYED
 
 
-def grants_access(value: str, name: str = "") -> bool:
-    """Whether a value is a credential and no placeholder, reference, digest, path or plain word."""
+def grants_access(value: str, name: str = "", literal: bool = False) -> bool:
+    """Whether a value is a credential and no placeholder, reference, digest, path or plain word.
+
+    The literal of a password may be one plain word, and a password four characters long.
+    """
     v = value.strip()
-    if len(v) < 6 or len(set(v)) <= 2 or any(c in v for c in "\n\r\0"):
+    password = bool(name) and not _PASSWORDS.isdisjoint(words_of_name(name)[-1:])
+    short = password and len(v) >= 4 and not v.isalpha() and not v.replace(".", "").isdigit()
+    if (len(v) < 6 and not short) or len(set(v)) <= 2 or any(c in v for c in "\n\r\0"):
         return False
     if _REFERENCE.search(v) or _MOCK.search(v) or _DIGEST.search(v) or _PATH.match(v):
         return False
@@ -198,7 +223,8 @@ def grants_access(value: str, name: str = "") -> bool:
     if " " in v:
         return False
     if re.fullmatch(r"[a-z]+(?:[_-][a-z]+)*|[A-Z]+(?:[_-][A-Z]+)*|[A-Z][a-z]+(?:-[A-Z][a-z]+)*", v):
-        return False  # plain words
+        if not (literal and password and v.isalpha() and v.islower()):
+            return False  # plain words
     said = words_of_name(v)
     if name and said and set(said) <= set(words_of_name(name)):
         return False
@@ -221,6 +247,19 @@ def _decoded(value: str, how: str) -> str | None:
         return value
 
 
+_KEY_NEXT = re.compile(r"\s*:")
+_BLANK = re.compile(r"[ \t\r\f\v]*")
+
+
+def _literal(text: str, at: int) -> dict | None:
+    """The string literal at ``at``: prefix, quote, value, span of the value, end."""
+    m = _LITERAL.match(text, at)
+    if not m or m["prefix"].lower() not in ("", "r", "b", "f", "u", "br", "rb", "fr", "rf"):
+        return None
+    part = "text" if m["long"] else "line"
+    return {"prefix": m["prefix"], "q": m["long"] or m["short"], "value": m[part], "span": m.span(part), "end": m.end()}
+
+
 # Grammars
 
 
@@ -231,6 +270,10 @@ class _Scan:
         self.code = base.rsplit(".", 1)[-1].lower() in _CODE_FILES if "." in base else False
         self.script = base.rsplit(".", 1)[-1].lower() == "js"
         self.spans: dict[int, Span] = {}
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.line = self.at = -1
+        self.named_to = 0
+        self.quote, self.said, self.paren = "", False, False
 
     def keep(self, start: int, end: int, rule: str, pieces: tuple[tuple[int, int], ...] = ()) -> None:
         old = self.spans.get(start)
@@ -238,55 +281,46 @@ class _Scan:
             self.spans[start] = Span(start, end, rule, pieces)
 
     def line_start(self, pos: int) -> int:
-        return self.text.rfind("\n", 0, pos) + 1
-
-    def comment(self, pos: int) -> bool:
-        """Whether ``pos`` lies in a comment of its line."""
-        lead = self.text[self.line_start(pos) : pos]
-        quote = ""
-        i = 0
-        while i < len(lead):
-            c = lead[i]
-            if quote:
-                if c == "\\":
-                    i += 1
-                elif c == quote:
-                    quote = ""
-            elif c in "\"'`":
-                quote = c
-            elif (c == "#" and not self.script) or lead.startswith("//", i) and (i == 0 or lead[i - 1] != ":") or lead.startswith("/*", i) or lead.startswith("<!--", i) or (c == ";" and not self.code and not lead[:i].strip()):
-                return True
-            i += 1
-        return lead.lstrip().startswith(("*", "--"))
-
-    def quoted(self, pos: int) -> str:
-        """The quote that is open at ``pos`` on its line, or ''."""
-        lead = self.text[self.line_start(pos) : pos]
-        quote = ""
-        i = 0
-        while i < len(lead):
-            c = lead[i]
-            if c == "\\":
-                i += 1
-            elif quote:
-                if c == quote:
-                    quote = ""
+        n = bisect_left(self.breaks, pos)
+        return self.breaks[n - 1] + 1 if n else 0
+
+    def look(self, pos: int) -> None:
+        """Brings ``quote`` (the quote open at ``pos`` on its line, or ''), ``said`` (whether ``pos`` lies in a comment) and
+        ``paren`` (whether a parenthesis opened before it) up to ``pos``. Places mostly come in order, so that a line is read once."""
+        start = self.line_start(pos)
+        if start != self.line or pos < self.at:
+            self.line = self.at = start
+            self.quote, self.paren = "", False
+            self.first = _BLANK.match(self.text, start).end()
+            self.said = self.text.startswith(("*", "--"), self.first)
+        text, at = self.text, self.at
+        while not self.said:
+            m = _MARKS.search(text, at, pos)
+            if not m:
+                break
+            at, c, i = m.end(), m.group(), m.start()
+            if c[0] == "\\":
+                continue
+            if self.quote:
+                self.quote = "" if c == self.quote else self.quote
+                at = i + 1
             elif c in "\"'`":
-                quote = c
-            i += 1
-        return quote
+                self.quote = c
+            elif c == "(":
+                self.paren = True
+            elif (c == "#" and not self.script) or (c == "//" and text[i - 1 : i] != ":") or c in ("/*", "<!--") or (c == ";" and not self.code and i == self.first):
+                self.said = True
+        held = pos - at - len(text[at:pos].rstrip("\\")) if pos > at else 0
+        self.at = max(at, pos - held % 2)
 
     def run(self) -> list[Span]:
-        done: set[tuple[int, int]] = set()
-        for start, kind, head in hits(self.text):
-            if kind in ("token", "armor", "link") or head in ("bearer ", "basic "):
+        for start, kind, _ in hits(self.text):
+            if kind == "name":
+                self.named(start)
+            else:
                 found = GRAMMAR.match(self.text, start)
                 if found:
                     self.formal(start, *found)
-            elif kind == "scheme":
-                self.scheme(start, head)
-            else:
-                self.named(start, head, done)
         out: list[Span] = []
         for s in sorted(self.spans.values(), key=lambda s: (s.start, -s.end)):
             if out and s.start < out[-1].end:
@@ -306,12 +340,7 @@ class _Scan:
             if not _MOCK.search(body) and len(set(body[4:])) > 4:
                 self.keep(start, end, rule)
         elif rule == "private-key":
-            m = _ARMOR.match(text, start)
-            if m:
-                if not _MOCK.search(m["body"]):
-                    self.keep(start, m.end(), rule)
-            else:
-                self.key_in_pieces(start, end)
+            self.key_block(start, end)
         elif rule == "connection-string":
             at = text.index(":", start + 3) + 1
             if (following.isalnum() or following in tuple("[$%{<_-")) and grants_access(text[at : end - 1]):
@@ -320,6 +349,12 @@ class _Scan:
             at = text.index("=", start) + 1
             if grants_access(text[at:end]):
                 self.keep(at, end, rule)
+        elif rule in _TAIL:
+            m = _TAIL[rule].search(body[max(0, body.rfind(":" if rule == "curl" else " ")) :]) if rule in ("mysql", "sshpass", "curl") else _TAIL[rule].search(body)
+            value = m["value"].removeprefix("-p") if rule in ("mysql", "sshpass") and m["value"].startswith("-p") else m["value"]
+            at = end - (m.end() - m.start("value")) + len(m["value"]) - len(value)
+            if grants_access(value, "password"):
+                self.keep(at, at + len(value), rule)
         else:
             value = body.split(None, 1)[1]
             at = end - len(value)
@@ -337,66 +372,71 @@ class _Scan:
             if grants_access(value):
                 self.keep(at, end, rule)
 
-    def key_in_pieces(self, start: int, at: int) -> None:
-        """A key block as several literals, joined or in an array; ``at`` is the end of its opening line."""
+    def key_block(self, start: int, at: int) -> None:
+        """A key block as text, in a literal, or as several literals, joined or in an array; ``at`` is the end of its opening line.
+
+        Its lines are what its pieces cover. Without a closing line it ends with its last long line and what pads that.
+        """
         text = self.text
-        end, pieces, inside = at, [], True
+        pieces: list[list[int]] = []
+        inside, merge, whole, long_ = True, False, False, 0
         while True:
             m = _KEY_QUOTE.match(text, at)
             if m:
-                inside = not inside
+                inside, merge = not inside, False
             else:
                 m = (_KEY_TEXT if inside else _KEY_JOIN).match(text, at)
-            if not m:
+            if not m or m.end() == at:
                 break
             at = m.end()
-            if inside and m.lastgroup in ("foot", "body"):
-                end = at
-                if m.lastgroup == "foot":
-                    break
-                pieces.append(m.span())
-        body = [text[a:b] for a, b in pieces]
-        if any(len(x) >= 24 for x in body) and not _MOCK.search("".join(body)):
-            self.keep(start, end, "private-key", tuple(pieces))
-
-    def scheme(self, start: int, head: str) -> None:
-        r = {"identified by": _IDENTIFIED, "sshpass": _SSHPASS, "curl ": _CURL}.get(head, _CLIENT)
-        m = r.match(self.text, start)
-        if m and grants_access(m["value"]):
-            self.keep(*m.span("value"), head.strip().replace(" ", "-"))
-
-    def named(self, start: int, head: str, done: set[tuple[int, int]]) -> None:
+            if m.lastgroup == "foot":
+                whole = True
+                break
+            if m.lastgroup == "head":
+                merge = False
+            elif m.lastgroup == "body":
+                if merge:
+                    pieces[-1][1] = at
+                else:
+                    pieces.append(list(m.span()))
+                merge = True
+                if at - m.start() >= 24 or (text[at - 1] == "=" and long_):
+                    long_, kept = at, [list(p) for p in pieces]
+        if not long_:
+            return
+        end = at if whole else long_
+        pieces = pieces if whole else kept
+        if not _MOCK.search("".join(text[a:b] for a, b in pieces)):
+            self.keep(start, end, "private-key", tuple((a, b) for a, b in pieces))
+
+    def named(self, start: int) -> None:
         text = self.text
+        if start < self.named_to:
+            return  # in a name that was seen
         left = start
-        while left and (text[left - 1].isalnum() or text[left - 1] in "_.-") and start - left < 80:
+        while left and (text[left - 1].isalnum() or text[left - 1] in "_.-"):
             left -= 1
-        right = _IDENT.match(text, start).end()
+        right = self.named_to = _IDENT.match(text, start).end()
         while right > start and text[right - 1] in ".-":
             right -= 1
-        if (left, right) in done:
-            return
-        done.add((left, right))
         name = text[left:right].lstrip(".-")
         if not is_sensitive(name):
             return
-        if name.lower() == "password" and _NETRC.search(text[max(0, left - 200) : right] + " "):
-            m = re.compile(r"[ \t]+(?P<value>[^\s\"']+)").match(text, right)
-            if m and grants_access(m["value"], name):
-                self.keep(*m.span("value"), "netrc")
-            return
         close = _CLOSE.match(text, right)
         at = close.end()
         if close["quote"]:
             default = _DEFAULT.match(text, close.end("quote"))
-            if default and not close["bracket"] and "(" in text[self.line_start(left) : left]:
+            self.look(left)
+            if default and not close["bracket"] and self.paren:
                 self.value(default.end(), name, literal_only=True)
                 return
         annotation = _ANNOTATION.match(text, at)
         if annotation:
             at = annotation.end()
         separator = _SEPARATOR.match(text, at)
-        inside = self.quoted(left) if not close["quote"] else ""
-        in_comment = self.comment(left)
+        self.look(left)
+        in_comment = self.said
+        inside = self.quote if not close["quote"] else ""
         if separator:
             tight = separator.group() in ("=", ":") and separator.start() == right
             if in_comment or not self.code or close["quote"] or not inside or tight:
@@ -411,7 +451,11 @@ class _Scan:
                 self.keep(*m.span("value"), "argument")
 
     def spoken(self, at: int, name: str) -> None:
-        m = _SPOKEN.match(self.text, at)
+        m = _SAID.match(self.text, _SPEECH.match(self.text, at).end()) or _SAID.match(self.text, at)
+        if not m:  # the verb is the last of the words
+            words = _SPEECH.match(self.text, at)
+            verb = words.group().rfind(" is")
+            m = _SAID.match(self.text, at + verb) if verb >= 0 else None
         if m and grants_access(m["value"].rstrip(".,;"), name):
             self.keep(m.start("value"), m.start("value") + len(m["value"].rstrip(".,;")), "comment")
 
@@ -429,24 +473,20 @@ class _Scan:
                 how, at = m["how"].lower(), m.end()
                 continue
             break
-        m = _LITERAL.match(text, at)
-        if m and (not m["prefix"] or m["prefix"].lower() in ("r", "b", "f", "u", "br", "rb", "fr", "rf")):
-            if len(m["q"]) != 3 and m["q"] != "`" and "\n" in m["value"]:
-                return
-            pieces, end, inner = [m["value"]], m.end(), [m.span("value")]
+        m = _literal(text, at)
+        if m:
+            pieces, end, inner = [m["value"]], m["end"], [m["span"]]
             formatted = "f" in m["prefix"].lower()
             while True:
                 j = _JOIN.match(text, end)
                 if not j or ("\n" in j.group() and not self.code):
                     break
-                n = _LITERAL.match(text, j.end())
-                if not n or ("\n" in n["value"] and len(n["q"]) != 3):
-                    break
-                if re.match(r"\s*:", text[n.end() : n.end() + 4]):
+                n = _literal(text, j.end())
+                if not n or _KEY_NEXT.match(text, n["end"]):
                     break  # the next key of a mapping
                 pieces.append(n["value"])
-                inner.append(n.span("value"))
-                end = n.end()
+                inner.append(n["span"])
+                end = n["end"]
             whole = "".join(pieces)
             if "-----BEGIN" in whole or (formatted and "{" in whole):
                 return
@@ -456,7 +496,7 @@ class _Scan:
             d = _SHELL_DEFAULT.fullmatch(whole)
             if d:
                 shown = d["value"]
-            if shown is not None and grants_access(shown.strip(), name):
+            if shown is not None and grants_access(shown.strip(), name, literal=True):
                 lead = len(m["value"]) - len(m["value"].lstrip())
                 inner[0] = (inner[0][0] + lead, inner[0][1])
                 self.keep(inner[0][0], end - (len(m["q"]) if len(pieces) == 1 else 0), "assignment", tuple(inner) if len(pieces) > 1 else ())
@@ -464,9 +504,9 @@ class _Scan:
         if self.code:
             f = _FALLBACK.match(text, at)
             if f and literal_only and not text[at : at + 1] in "\"'":
-                n = _LITERAL.match(text, f.end())
+                n = _literal(text, f.end())
                 if n and grants_access(n["value"], name):
-                    self.keep(*n.span("value"), "assignment")
+                    self.keep(*n["span"], "assignment")
                     return
         if literal_only:
             return
@@ -496,25 +536,17 @@ def find_spans(text: str | None, path: str) -> list[Span]:
 def redact(text: str, spans: list[Span], mark: str = "REDACTED") -> str:
     """``text`` with a placeholder in place of each span; quotes, key names and line ends around it stay.
 
-    The placeholder is a word, so it is valid in any literal; the body of a key block becomes one, between its armor. In
+    The placeholder is a word, so it is valid in any literal; the lines of a key block become one, between its armor. In
     pieces, each has its own.
     """
     out, at = [], 0
     for s in spans:
-        body = text[s.start : s.end]
         out.append(text[at : s.start])
-        if s.rule == "private-key" and not s.pieces:
-            head = body[: body.index("-----", 5) + 5]
-            gap = re.match(r"(?:\\r)?\\n|\\?\r?\n[ \t]*", body[len(head) :])
-            foot = re.search(r"-----END [^-]*-----$", body)
-            gap = gap.group() if gap else "\n"
-            out.append(head + gap + mark + (gap + foot.group() if foot else gap))
-        else:
-            begun = s.start
-            for a, b in s.pieces or ((s.start, s.end),):
-                out.append(text[begun:a] + (mark if a < b else ""))
-                begun = b
-            out.append(text[begun : s.end])
+        begun = s.start
+        for a, b in s.pieces or ((s.start, s.end),):
+            out.append(text[begun:a] + (mark if a < b else ""))
+            begun = b
+        out.append(text[begun : s.end])
         at = s.end
     out.append(text[at:])
     return "".join(out)
