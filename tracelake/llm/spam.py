@@ -57,7 +57,7 @@ FEATURES = ("density", "repetition", "monotony", "function_gap", "tagging")
 _TABLE = "doc_id {kind}, group string, density double, repetition double, monotony double, function_gap double, tagging double"
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _HASHTAG = re.compile(r"(?<![\w&/#])#\w{2,}")
-_OFFER = re.compile(r"[$€£¥]\s?\d|\d\s?[$€£¥]|\b(?:sku|ean|asin|eur|usd|gbp|chf)\b|\b(?:in|out of|low) stock\b|\bsold out\b|\badd to (?:cart|basket)\b|\bfree shipping\b|\bbuy now\b|\btags?\s*:", re.I)
+_OFFER_WORDS = frozenset("sku ean asin eur usd gbp chf stock sold cart basket shipping tag tags".split())
 #: Characters that one sign of an offer stands for.
 _OFFER_CHARS = 16
 
@@ -94,7 +94,6 @@ def features(text: str) -> tuple[str, float, float, float, float, float] | None:
         body = _TAG.sub(" ", body)
     if "#" in body:
         tagging = sum(map(len, _HASHTAG.findall(body)))
-    tagging = min((tagging + _OFFER_CHARS * len(_OFFER.findall(body))) / total, 1.0)
     low = body.lower()
     words = _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
     n = len(words)
@@ -104,8 +103,11 @@ def features(text: str) -> tuple[str, float, float, float, float, float] | None:
     for w, c in counts.items():
         if c > 1:
             spread_ += c * math.log2(c)
-        for i in _OF_WORD.get(w, ()):
-            known[i] += c
+        if w in _OF_WORD:
+            for i in _OF_WORD[w]:
+                known[i] += c
+    offers = sum(counts[w] for w in _OFFER_WORDS & counts.keys()) + sum(map(body.count, "$€£¥"))
+    tagging = min((tagging + _OFFER_CHARS * offers) / total, 1.0)
     most = max(known)
     lang = _NAMES[known.index(most)] if n and most / n >= LEAST_COVER else "none"
     gap = 1 - min(most / n / 0.3, 1.0) if n else 1.0
