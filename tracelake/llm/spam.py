@@ -143,8 +143,15 @@ def _weight(text: str) -> int:
 
 def spam_share(text: str) -> float:
     """Share of characters in units that are links without description, product tags, keyword runs, or hollow sentences
-    around recurring keywords."""
+    around recurring keywords.
+
+    Where half of the text or more is code, logs, tables and the like, which are none of these, the text can't be
+    more than half spam, and 0 stands for its share.
+    """
     units = _units(text)
+    matter = [bool(_MATTER.match(u)) or len(_CODE.findall(u)) > 0.01 * len(u) for u in units]
+    if 2 * sum(_weight(u) for u, m in zip(units, matter, strict=True) if not m or _LINK.search(u) or "#" in u or sum(bool(r.search(u)) for r in _SELL) >= 2) <= sum(map(_weight, units)):
+        return 0.0
     by_unit = [words_of(_TAG.sub(" ", _LINK.sub(" ", u)) if "<" in u or "](" in u or "://" in u or "www." in u else u) for u in units]
     total = sum(map(_weight, units))
     if not total:
@@ -172,7 +179,7 @@ def spam_share(text: str) -> float:
     dense = {p for p, g in gaps.items() if pairs[p] >= 5 and sorted(g)[len(g) // 2] <= 9}
 
     linked = tagged = stuffed = links = 0
-    for u, ws, cs in zip(units, by_unit, content, strict=True):
+    for u, ws, cs, m in zip(units, by_unit, content, matter, strict=True):
         size, n = _weight(u), len(ws)
         functional = sum(w in _ANY for w in ws)
         found = _LINK.findall(u)
@@ -184,7 +191,7 @@ def spam_share(text: str) -> float:
         if sum(bool(r.search(u)) for r in _SELL) >= 2 or (len(hashtags) >= 3 and 2 * len(hashtags) >= n):
             tagged += size
             continue
-        if not n or _MATTER.match(u) or len(_CODE.findall(u)) > 0.01 * len(u):
+        if not n or m:
             continue
         cover = [False] * n
         tight = [False] * n
