@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import json
-import tomllib
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,35 +19,9 @@ LANGUAGES = {"py": "python", "pyi": "python", "pyw": "python", "json": "json", "
 PARSERS = {"python": python_problems, "json": json_problems, "toml": toml_problems, "yaml": yaml_problems, "javascript": js_problems}
 
 
-def _accepts(load, text: str) -> bool:
-    try:
-        load(text)
-    except (SyntaxError, ValueError):
-        return False
-    except (RecursionError, MemoryError):
-        return True  # it can't tell
-    return True
-
-
-def _compile(text: str) -> None:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        ast.parse(text.removeprefix("﻿"))
-
-
-#: Exact checks that follow on what the parsers reject, where the language's own reader is at hand.
-EXACT = {
-    "python": _compile,
-    "json": lambda t: json.loads(t.removeprefix("﻿")),
-    "toml": lambda t: tomllib.loads(t.removeprefix("﻿")),
-}
-
-
 def find_problems(text: str, language: str) -> list[Problem]:
-    """Syntax errors of ``text``; a leading byte order mark is no error. Errors that the exact check denies are dropped."""
-    found = PARSERS[language](text.removeprefix("﻿"))
-    exact = EXACT.get(language)
-    return [] if found and exact and _accepts(exact, text) else found
+    """All syntax errors of ``text``; a leading byte order mark is no error."""
+    return PARSERS[language](text.removeprefix("\ufeff"))
 
 
 def language_of(path: Column) -> Column:
@@ -78,8 +48,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     """One row per file in a known language, with all its errors and the first one as the cause.
 
     Deliveries of a file that are the same are parsed once. A null content or path gives no row, an empty text is
-    valid where the language says so (Python, TOML, YAML, JavaScript, not JSON). Whole texts are parsed; a text that is
-    nested beyond the parser's depth counts as one error unless an exact check accepts it. Empty in, empty out.
+    valid where the language says so (Python, TOML, YAML, JavaScript, not JSON). Whole texts are parsed, nested
+    however deep. Empty in, empty out.
     """
     known = one_per_file(files).withColumn("language", language_of(F.col("rel_path")))
     known = known.where(F.col("language").isNotNull() & F.col("content").isNotNull())

@@ -6,9 +6,8 @@ Whether a slash begins a regular expression depends on the grammar, so tokens ar
 from __future__ import annotations
 
 import re
-import sys
 
-from tracelake.llm.syntax.common import Bad, Problem
+from tracelake.llm.syntax.common import Bad, Problem, any_depth
 
 NAME, NUMBER, STRING, TEMPLATE, REGEX, OP, PRIVATE, END = range(8)
 #: Reserved words that are no identifiers anywhere.
@@ -16,7 +15,8 @@ RESERVED = frozenset(
     "break case catch class const continue debugger default delete do else export extends false finally for function if "
     "import in instanceof new null return super switch this throw true try typeof var void while with enum".split()
 )
-_SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+_LINE_REST = re.compile(r"[^\n\r\u2028\u2029]*")
+_SPACE = re.compile(r"(?:[\s\ufeff]|(?://|<!--)[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)*")
 _OPERATORS = (
     r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-{}()\[\];,<>+*/%&|^!~?:=.@]"
 )
@@ -50,6 +50,7 @@ class Parser:
         self.generator = False
         self.asynchronous = True  # top-level await is valid in modules
         self.labels: list[str] = []
+        self.root = ""  # the operator of the latest binary expression without parentheses
         self.end = self.start = 0
         if text.startswith("#!"):
             self.end = len(text) if "\n" not in text else text.index("\n")
@@ -64,6 +65,9 @@ class Parser:
         gap = self.text[self.end : m.end()]
         self.newline = any(c in gap for c in "\n\r\u2028\u2029")
         self.start = m.end()
+        while (self.newline or not self.text[: self.start].strip()) and self.text.startswith("-->", self.start):
+            m = _SPACE.match(self.text, _LINE_REST.match(self.text, self.start).end())
+            self.start = m.end()
         if self.start >= len(self.text):
             self.kind, self.word, self.end = END, "", self.start
             return
@@ -677,18 +681,23 @@ class Parser:
             if not self.is_("in"):
                 raise self.bad()
             kind = OTHER
+            root = self.root = ""
         else:
             signed = self.kind in (OP, NAME) and self.word in _PREFIX
             kind = self.unary()
+            root = self.root = ""
             if signed and self.is_("**"):
                 raise self.bad("unary operator before '**' needs parentheses")
         while self.kind in (OP, NAME):
             power = _POWER.get(self.word)
             if power is None or power < least or (no_in and self.word == "in"):
                 return kind
-            w = self.word
+            w, at = self.word, self.start
             self.next()
             self.binary(power if w == "**" else power + 1, no_in)
+            if (w == "??" and {root, self.root} & {"||", "&&"}) or (w in ("||", "&&") and "??" in (root, self.root)):
+                raise Bad(at, "'??' does not mix with '||' and '&&' without parentheses")
+            root = self.root = w
             kind = OTHER
         return kind
 
@@ -779,6 +788,8 @@ class Parser:
                     self.template()
                 else:
                     break
+            if self.is_("?."):
+                raise self.bad("an optional chain can't be constructed")
         if self.take("("):
             self.arguments()
         return OTHER
@@ -981,15 +992,10 @@ _STATEMENTS = {
 }
 
 
+@any_depth
 def js_problems(text: str) -> list[Problem]:
     """All syntax errors in the order of the text."""
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
     try:
         return Parser(text).file()
     except Bad as e:
         return [Problem(e.pos, e.message)]
-    except RecursionError:
-        return [Problem(0, "nested too deeply")]
-    finally:
-        sys.setrecursionlimit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tracelake.llm.syntax.common import Bad, Problem
+from tracelake.llm.syntax.common import Bad, Problem, any_depth
 
 _JSON_SPACE = re.compile(r"[ \t\r\n]*")
 _JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
@@ -291,9 +291,7 @@ class _Toml:
                 self._close(x)
 
 
+@any_depth
 def toml_problems(text: str) -> list[Problem]:
     """Positions count after line ends were made ``\\n``, which keeps line numbers."""
-    try:
-        return _Toml(text).run()
-    except RecursionError:
-        return [Problem(0, "nested too deeply")]
+    return _Toml(text).run()

@@ -34,6 +34,8 @@ _ESCAPE = re.compile(r"\\(?:\\|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U00(?:0[0-9a-fA-F
 _BYTES_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|[^x])", re.S)
 _HARD = re.compile(r"\\[xuUN]")
 _WORD_AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b")
+#: Limits of the language's own reader.
+MOST_BRACKETS, MOST_INDENTS, MOST_FSTRINGS = 200, 100, 150
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -77,7 +79,7 @@ def scan_fstring(text: str, pos: int, quote: str, raw: bool, fields: list[tuple[
 
 
 def _scan_field(text: str, pos: int, quote: str, raw: bool, fields: list[tuple[int, int]], depth: int) -> int:
-    if depth > 6:
+    if depth > MOST_FSTRINGS:
         raise Bad(pos, "f-string: expressions nested too deeply")
     start, closing = pos, []
     while True:
@@ -170,6 +172,12 @@ def skip_string(text: str, m: re.Match, fields: list[tuple[int, int]]) -> int:
     return r.end()
 
 
+def _name_end(text: str, pos: int) -> int:
+    while pos < len(text) and ("a" + text[pos]).isidentifier():
+        pos += 1
+    return pos
+
+
 class Tokens:
     """Parallel lists ``kinds``, ``texts`` and ``starts``; ``fields`` has the f-string expressions of a token by index."""
 
@@ -235,6 +243,8 @@ class Tokens:
                 elif width > indents[-1]:
                     if alternate <= alternates[-1]:
                         self.problems.append(Bad(at, "inconsistent use of tabs and spaces in indentation"))
+                    if len(indents) >= MOST_INDENTS:
+                        self.problems.append(Bad(at, "too many levels of indentation"))
                     indents.append(width)
                     alternates.append(alternate)
                     self._add(INDENT, "", at)
@@ -259,6 +269,10 @@ class Tokens:
                     at += 1
                 if at >= n:
                     break
+                if text[at].isidentifier():  # a letter that is no word character elsewhere
+                    pos = _name_end(text, at + 1)
+                    self._add(NAME, text[at:pos], at)
+                    continue
                 self.problems.append(Bad(at, "invalid character"))
                 self._add(BROKEN, text[at], at)
                 pos = at + 1
@@ -269,6 +283,9 @@ class Tokens:
                 texts.append(m["name"])
                 starts.append(m.start("name"))
                 pos = m.end()
+                if text[pos : pos + 1] > "\x7f":
+                    pos = _name_end(text, pos)
+                    texts[-1] = text[starts[-1] : pos]
                 if not texts[-1].isascii() and not texts[-1].isidentifier():
                     self.problems.append(Bad(starts[-1], "invalid character in a name"))
             elif group == "op":
@@ -277,6 +294,8 @@ class Tokens:
                 texts.append(op)
                 starts.append(at)
                 if op in _OPEN:
+                    if len(brackets) >= MOST_BRACKETS:
+                        self.problems.append(Bad(at, "too many nested parentheses"))
                     brackets.append((op, at))
                 elif op in ")]}":
                     if not brackets:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 
-from tracelake.llm.syntax.common import Bad, Problem
+from tracelake.llm.syntax.common import Bad, Problem, any_depth
 from tracelake.llm.syntax.pylexer import BROKEN, DEDENT, END, INDENT, KEYWORDS, NAME, NEWLINE, NUMBER, OP, STRING, Tokens
 
 #: Kinds of expressions, as far as targets and arguments must tell them apart; GROUP is a starred value, no target.
@@ -883,13 +882,7 @@ _SIMPLE = {
 }
 
 
+@any_depth
 def problems(text: str, tokens: Tokens | None = None) -> list[Problem]:
     """All syntax errors in the order of the text."""
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
-    try:
-        return Parser(text, tokens).file()
-    except RecursionError:
-        return [Problem(0, "nested too deeply")]
-    finally:
-        sys.setrecursionlimit(limit)
+    return Parser(text, tokens).file()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tracelake.llm.syntax.common import Bad, Problem
+from tracelake.llm.syntax.common import Bad, Problem, any_depth
 
 _BREAK = "\n"
 _UNPRINTABLE = re.compile("[^\t\n\r\x20-\x7e\x85\xa0-\ud7ff-\ufeff-\ufffd\U00010000-\U0010ffff]")
@@ -45,8 +45,6 @@ class _Yaml:
                 if at < 0:
                     return self.problems
                 self.pos = at + 1
-                if len(self.problems) > 200:
-                    return self.problems
             first = False
 
     # Places
@@ -228,7 +226,8 @@ class _Yaml:
 
     def mapping(self, column: int) -> None:
         while True:
-            if self.char() == "?" and self.blank_after(1):
+            explicit = self.char() == "?" and self.blank_after(1)
+            if explicit:
                 self.pos += 1
                 if self.same_line():
                     self.inline(column, self.column())
@@ -254,7 +253,7 @@ class _Yaml:
                         self.pos += 1
             self.pos += 1
             if self.same_line():
-                self.inline(column, -1)
+                self.inline(column, self.column() if explicit else -1)
             else:
                 self.block(column, column)
             if not self.next_token() or self.at_marker():
@@ -273,10 +272,14 @@ class _Yaml:
     # Leaves
 
     def properties(self) -> None:
+        seen = ""
         while self.char() in ("&", "!") and self.char():
             m = _PROPERTY.match(self.text, self.pos)
             if not m:
                 raise Bad(self.pos, "malformed anchor or tag")
+            if self.char() in seen:
+                raise Bad(self.pos, "a node has one anchor and one tag at most")
+            seen += self.char()
             self.pos = m.end()
             end = self.pos
             while self.char() in (" ", "\t") and self.char():
@@ -440,8 +443,6 @@ class _Yaml:
                     return
 
 
+@any_depth
 def yaml_problems(text: str) -> list[Problem]:
-    try:
-        return _Yaml(text).run()
-    except RecursionError:
-        return [Problem(0, "nested too deeply")]
+    return _Yaml(text).run()
