@@ -8,12 +8,15 @@ without carrying the keys of all levels.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.core import ship
+
 NODE_SCHEMA = "doc_id bigint, entity string, pre int, post int, pos int, value string"
 _SPACE = " \t\r\n\ufeff"
 
@@ -30,10 +33,65 @@ def parse_json(text: str | None):
     """The value of a whole, valid JSON text; ``ValueError`` otherwise. A byte order mark is not part of the text."""
     if text is None:
         raise ValueError("null")
+    text = text.strip(_SPACE)
     try:
-        return json.loads(text.strip(_SPACE), parse_constant=_reject, parse_float=_Number, parse_int=_Number)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+        return json.loads(text, parse_constant=_reject, parse_float=_Number, parse_int=_Number)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+_JSON_TOKEN = re.compile(r"[ \t\r\n]*(?:(?P<mark>[\[\]{},:])|(?P<number>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(?P<word>true|false|null)|(?P<quote>\"))")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _parse_deep(text: str):
+    """``parse_json`` with a stack of its own, for texts that are nested beyond the reader's depth."""
+    at, stack, key, done, value = 0, [], None, False, None
+    expect = "value"  # value, first (value or end), key, first key, colon, next
+    while True:
+        m = _JSON_TOKEN.match(text, at)
+        if not m:
+            break
+        at = m.end()
+        mark = m["mark"]
+        if m["quote"]:
+            value, at = json.decoder.scanstring(text, at, True)
+        elif m["number"]:
+            value = _Number(m["number"])
+        elif m["word"]:
+            value = _WORDS[m["word"]]
+        if mark == ":" and expect == "colon":
+            expect = "value"
+            continue
+        if mark == "," and expect == "next" and stack:
+            expect = "key" if isinstance(stack[-1][0], dict) else "value"
+            continue
+        if mark in ("[", "{") and expect in ("value", "first"):
+            stack.append(([] if mark == "[" else {}, key))
+            expect = "first" if mark == "[" else "first key"
+            continue
+        if mark in ("]", "}") and stack and isinstance(stack[-1][0], list) == (mark == "]") and expect in ("next", "first", "first key"):
+            value, key = stack.pop()
+        elif mark:
+            raise ValueError(f"unexpected {mark}")
+        elif expect in ("key", "first key"):
+            if not m["quote"]:
+                raise ValueError("expected a name")
+            key, expect = value, "colon"
+            continue
+        elif expect not in ("value", "first"):
+            raise ValueError("unexpected value")
+        if not stack:
+            done = True
+            break
+        if isinstance(stack[-1][0], dict):
+            stack[-1][0][key] = value
+        else:
+            stack[-1][0].append(value)
+        expect = "next"
+    if not done or text[at:].strip(" \t\r\n"):
+        raise ValueError("not one whole text")
+    return value
 
 
 def find_key(value, key: str):
@@ -64,10 +122,36 @@ def as_text(value) -> str:
     """Text as written, numbers as written, anything else as JSON; '' for null. Lone surrogates become U+FFFD."""
     if value is None:
         return ""
-    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        text = value
+    else:
+        try:
+            text = json.dumps(value, ensure_ascii=False)
+        except RecursionError:
+            text = _write_deep(value)
     return text.encode("utf-8", "replace").decode("utf-8") if not text.isascii() else text
 
 
+def _write_deep(value) -> str:
+    """``json.dumps`` with a stack of its own."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, dict | list):
+            pairs = [[(json.dumps(k, ensure_ascii=False) + ": ",), v] for k, v in x.items()] if isinstance(x, dict) else [[v] for v in x]
+            todo.append(("}" if isinstance(x, dict) else "]",))
+            for n, p in enumerate(reversed(pairs)):
+                todo.extend(reversed(p))
+                if n + 1 < len(pairs):
+                    todo.append((", ",))
+            out.append("{" if isinstance(x, dict) else "[")
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def _many(value) -> list:
     return value if isinstance(value, list) else [value]
 
@@ -117,6 +201,8 @@ def label_documents(docs: DataFrame, levels=REPORT_LEVELS) -> DataFrame:
     """``docs(doc_id bigint, body string)`` to node rows of ``NODE_SCHEMA``; texts that are not whole JSON give none."""
     root_key = levels[0][1]
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -151,18 +237,22 @@ def contained_in(child: DataFrame, parent: DataFrame, prefix: str) -> DataFrame:
     return child.join(p, hold).drop(f"{prefix}_doc_id", f"{prefix}_post")
 
 
-def with_enclosing(nodes: DataFrame, entities: tuple[str, ...]) -> DataFrame:
-    """``nodes`` with the position of the enclosing (or own) node of each entity, -1 where no interval contains it.
+def with_enclosing(nodes: DataFrame, entities: tuple[str, ...], values: bool = False) -> DataFrame:
+    """``nodes`` with the position of the enclosing (or own) node of each entity, -1 where no interval contains it; with
+    ``values`` that node's value too.
 
     Intervals of one entity do not overlap, so the only candidate is the last one that opened before: one sort of each
     document in place of a range join per level. A document's nodes come from one text cell, which bounds the group.
     """
     so_far = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for e in entities:
-        opened = F.last(F.when(F.col("entity") == e, F.struct("post", "pos")), ignorenulls=True).over(so_far)
+        opened = F.last(F.when(F.col("entity") == e, F.struct("post", "pos", "value") if values else F.struct("post", "pos")), ignorenulls=True).over(so_far)
         nodes = nodes.withColumn(f"_{e}", opened)
+    inside = {e: F.col(f"_{e}.post") >= F.col("post") for e in entities}
     return nodes.select(
-        "*", *(F.when(F.col(f"_{e}.post") >= F.col("post"), F.col(f"_{e}.pos")).otherwise(-1).alias(f"{e}_no") for e in entities)
+        "*",
+        *(F.when(inside[e], F.col(f"_{e}.pos")).otherwise(-1).alias(f"{e}_no") for e in entities),
+        *(F.when(inside[e], F.col(f"_{e}.value")).alias(f"{e}_value") for e in entities if values),
     ).drop(*(f"_{e}" for e in entities))
 
 

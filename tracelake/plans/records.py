@@ -15,10 +15,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with their package by interval containment of the two node tables."""
+    """Groups with their package by interval containment."""
     reports = nested.latest(table(spark, sf_dir, "osv_reports"), "report_id", "loaded_at", "report")
     nodes = nested.label_documents(reports)
-    linked = nested.contained_in(nested.node_table(nodes, "group"), nested.node_table(nodes, "package"), "package")
+    linked = nested.with_enclosing(nodes, ("package",), values=True).where("entity = 'group' and package_no >= 0")
     return linked.select(F.col("doc_id").alias("report_id"), "pre", "post", F.col("value").alias("max_severity"), F.col("package_value").alias("package"))
 
 
