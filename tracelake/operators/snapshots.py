@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.core import cut
+
+
+#: Deliveries that are sent to every task.
+MOST_BROADCAST = 100_000
+
 
 def hash_value(h: Column) -> Column:
     """A hash without its notation: case, outer blanks and a leading algorithm name do not matter; null stays null."""
@@ -28,16 +34,20 @@ def snapshot_changes(
     """``(scope, number, *key, change_kind)``: what each delivery adds, removes or changes against the one before it.
 
     One window per key over the delivery index: a lagged hash shows a change, a gap in the index a removal and a later
-    addition. Only the keys' own rows meet in a task, so the size of a delivery or of a scope does not matter.
+    addition. Only the keys' own rows meet in a task, so the size of a delivery or of a scope does not matter, and rows move
+    once: what counts of a delivery and the window share one hash partitioning by key. The table of deliveries goes to
+    every task while it has ``MOST_BROADCAST`` rows at most; a longer one is joined by shuffling.
 
     Rows with a null scope or number belong to no delivery and are left out. Null key parts are values like any other.
     Of several rows for a key in a delivery the one with the latest ``version`` counts (null is earliest; on a tie the
     greatest hash). A null hash equals only null. The first delivery of a scope has no changes; empty in, empty out.
     """
     rows = rows.where(F.col(scope).isNotNull() & F.col(number).isNotNull())
-    best = F.max(F.struct(F.col(version).alias("v"), hash_value(F.col(content)).alias("h")))
-    state = rows.groupBy(scope, number, *key).agg(best.alias("b")).select(scope, number, *key, F.col("b.h").alias("h"))
-    placed = state.join(deliveries(rows, scope, number), [scope, number])
+    order = cut(deliveries(rows, scope, number))
+    order = F.broadcast(order) if order.count() <= MOST_BROADCAST else order
+    moved = rows.select(scope, number, *key, F.col(version).alias("_v"), hash_value(F.col(content)).alias("_h")).repartition(scope, *key)
+    state = moved.groupBy(scope, number, *key).agg(F.max(F.struct("_v", "_h")).alias("b")).select(scope, number, *key, F.col("b._h").alias("h"))
+    placed = state.join(order, [scope, number])
     w = Window.partitionBy(scope, *key).orderBy("idx")
     seen = placed.select(
         scope,
