@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
-from tracelake.operators import deps, evaluate, extract, incremental, locate, triage
+from tracelake.operators import deps, evaluate, extract, incremental, locate, triage, resolve
 from tracelake.sources import files, reports
 
 
@@ -122,20 +122,21 @@ def test_extraction(spark):
     ids = {r.node_id: r for r in nodes.collect()}
     assert "bad.py::<file>" in ids and "app/web.py::page::L7" in ids and ids["app/web.py::page::L7"].docstring == "Doc."
     assert ids["app/__init__.py::<file>"].qualified_name == "app"
-    edges, refs = extract.resolve_imports(facts, src)
+    edges, refs = resolve.resolve_imports(facts, src)
+    sites = resolve.resolve_sites(facts, src)
     got = {(r.src_id, r.dst_id, r.resolved) for r in edges.collect()}
     assert ("app/web.py::<file>", "app/util.py::<file>", True) in got
     assert any(s == "app/web.py::<file>" and "unknown::" not in d and not ok or d.startswith("unknown::app") or d == "app/__init__.py::<file>" for s, d, ok in got)
     assert {r.package for r in refs.collect()} == {"os", "requests"}
-    calls = {(r.src_id, r.dst_id, r["class"]) for r in extract.call_edges(facts, nodes, edges, refs).collect()}
+    calls = {(r.src_id, r.dst_id, r["class"]) for r in resolve.call_edges(sites, nodes).collect()}
     assert ("app/util.py::Base.run::L5", "app/util.py::helper::L1", "internal") in calls
     assert ("app/web.py::page::L7", "app/util.py::helper::L1", "internal") in calls
-    assert ("app/web.py::page::L7", "unknown::requests.get", "external") in calls
+    assert ("app/web.py::page::L7", None, "external") in calls
     assert ("app/web.py::View.get::L14", "app/web.py::View.inner::L17", "internal") in calls
     assert ("app/util.py::helper::L1", "unknown::eval", "unknown") in calls
-    entry = {r.node_id for r in extract.entry_points(facts, nodes).collect()}
+    entry = {r.node_id for r in resolve.entry_points(facts, nodes, sites).collect()}
     assert entry == {"app/web.py::page::L7", "app/web.py::View::L13", "app/web.py::View.get::L14"}
-    up = {(r.src_id, r.dst_id) for r in extract.inherits_edges(facts, nodes, edges, refs).collect()}
+    up = {(r.src_id, r.dst_id) for r in resolve.inherits_edges(sites, facts).collect()}
     assert up == {("app/web.py::View::L13", "app/util.py::Base::L4")}
     parents = {r.child_id: r.parent_id for r in locate.parent_defs(nodes).collect()}
     assert parents["app/web.py::View.get::L14"] == "app/web.py::View::L13" and parents["app/util.py::helper::L1"] == "app/util.py::<file>"

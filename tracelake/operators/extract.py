@@ -1,7 +1,7 @@
-"""Python source files to nodes, call sites, bases, imports and entry points, and their resolution by joins.
+"""Python source files to definitions, call sites, bases, imports and routes.
 
-One Python stage parses each file once and emits everything it holds as tagged rows; all that relates files to one
-another (modules, callees, base classes, routes) is joins over those rows.
+One Python stage parses each file once and emits everything it holds as tagged rows, with what each name refers to as far
+as the file can tell; all that relates files to one another is joins over those rows, in ``resolve``.
 """
 
 from __future__ import annotations
@@ -16,43 +16,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.core import by_key
+from tracelake.core import by_key, ship
 from tracelake.functions import scalar as S
-from tracelake.operators.locate import innermost
+from tracelake.operators import scopes
 
 FACTS = (
     "rel_path string, fact string, ordinal int, line int, end_line int, col int, kind string, name string, qualified_name string, "
-    "scope string, text string, level int, alias string, source_hash string"
+    "scope string, text string, level int, alias string, source_hash string, refs array<struct<how:string,node:string,ord:int,path:string>>"
 )
-_COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
+_COLUMNS = [x.split()[0] for x in FACTS.split(", ")]  # the struct has no blank behind its commas
 #: Decorator methods that register a web route, and methods of class-based views.
 ROUTE_VERBS = frozenset("route get post put delete patch head options trace websocket".split())
-VIEW_METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
-#: Call names whose target can't be known from the text.
-DYNAMIC = frozenset(["eval", "exec", "getattr", "__import__"])
+VIEW_METHODS = ("dispatch", "get", "post", "put", "patch", "delete", "head", "options", "trace")
 _DOC = re.compile(r"^[rRuU]?(\"\"\"|'''|\"|')(.*)\1$", re.S)
 
 
-def _dotted(e: ast.expr) -> str | None:
-    parts = []
-    while isinstance(e, ast.Attribute):
-        parts.append(e.attr)
-        e = e.value
-    if isinstance(e, ast.Name):
-        return ".".join([e.id, *reversed(parts)])
-    return None
-
-
 class _Facts(ast.NodeVisitor):
-    def __init__(self, path: str, text: str):
+    def __init__(self, path: str, text: str, tree: ast.Module):
         self.path, self.text, self.rows = path, text, []
-        self.scope: list[str] = []
-        self.kinds: list[str] = []
-        self.lines = text.splitlines(keepends=True)
+        self.top = self.here = scopes.scopes_of(tree)
+        self.imported: dict[ast.alias, int] = {}  # imports and the numbers of their rows
+
+    def refs_of(self, e: ast.expr) -> list:
+        return scopes.resolve(e, self.here, e.lineno)
+
+    def finish(self) -> list[dict]:
+        """The rows, references told by node ids and numbers of imports. Names of the module that lead elsewhere are rows too."""
+        for name, bound in self.top.bound.items():
+            line, kind, what = bound[-1]
+            refs = [("import" if kind == "from" else "module", what, "")] if kind in ("import", "from") else scopes.resolve(what, self.top, line) if isinstance(what, (ast.Name, ast.Attribute)) else []
+            if refs:
+                self.add("export", name=name, refs=refs)
+        for a in self.top.stars:
+            self.add("export", name="*", refs=[("star", a, "")])
+        for r in self.rows:
+            if r["refs"] is not None:
+                told = []
+                for how, what, path in r["refs"]:
+                    node = f"{self.path}::{what.path}::L{what.node.lineno}" if how == "local" else what if how == "builtin" else None
+                    number = self.imported.get(what) if how in ("import", "module", "star") else None
+                    told.append({"how": how, "node": node, "ord": number, "path": path})
+                r["refs"] = told
+        return self.rows
 
     def add(self, fact: str, node: ast.AST | None = None, **given) -> None:
         row = dict.fromkeys(_COLUMNS)
-        row |= {"rel_path": self.path, "fact": fact, "ordinal": len(self.rows), "scope": ".".join(self.scope)}
+        row |= {"rel_path": self.path, "fact": fact, "ordinal": len(self.rows), "scope": self.here.path}
         if node is not None:
             row |= {"line": node.lineno, "end_line": node.end_lineno, "col": node.col_offset}
         self.rows.append(row | given)
@@ -64,7 +73,8 @@ class _Facts(ast.NodeVisitor):
         if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
             m = _DOC.match((ast.get_source_segment(self.text, first.value) or "").strip())
             doc = ((m[2] if m else first.value.value).strip()) or None
-        name = ".".join([*self.scope, node.name])
+        inner = self.here.inner[node]
+        name = inner.path
         self.add("def", node, kind=kind, name=node.name, qualified_name=name, text=doc, source_hash=hashlib.sha256(body.encode("utf-8", "replace")).hexdigest())
         for d in node.decorator_list:
             call = d if isinstance(d, ast.Call) else None
@@ -78,17 +88,15 @@ class _Facts(ast.NodeVisitor):
         if kind == "class":
             for b in node.bases:
                 base = b.value if isinstance(b, ast.Subscript) else b
-                self.add("base", base, name=_dotted(base) or ast.unparse(base)[:60], qualified_name=name)
+                self.add("base", base, name=scopes.dotted(base) or ast.unparse(base)[:60], qualified_name=name, refs=self.refs_of(base))
         for p in ast.iter_child_nodes(node):
             if p in node.body or p in node.decorator_list:
                 continue
             self.visit(p)
-        self.scope.append(node.name)
-        self.kinds.append(kind)
+        outer, self.here = self.here, inner
         for s in node.body:
             self.visit(s)
-        self.scope.pop()
-        self.kinds.pop()
+        self.here = outer
 
     def visit_FunctionDef(self, node) -> None:
         self.define(node, "function")
@@ -99,13 +107,16 @@ class _Facts(ast.NodeVisitor):
         self.define(node, "class")
 
     def site(self, target: ast.expr, kind: str) -> None:
-        name = _dotted(target)
+        name = scopes.dotted(target)
         at = -1 if name is None and not isinstance(target, ast.Attribute) else target.end_col_offset - len(target.attr if isinstance(target, ast.Attribute) else target.id)
         shown = name or (target.attr if isinstance(target, ast.Attribute) else ast.unparse(target)[:60])
-        self.add("call", target, kind=kind, name=shown, col=at)
+        self.add("call", target, kind=kind, name=shown, col=at, refs=self.refs_of(target))
 
     def visit_Call(self, node: ast.Call) -> None:
         self.site(node.func, "call")
+        if scopes.dotted(node.func) in ("urlpatterns.append", "urlpatterns.extend"):
+            for a in node.args:
+                self.routes_of(a)
         self.generic_visit(node)
 
     def visit_Raise(self, node: ast.Raise) -> None:
@@ -115,10 +126,12 @@ class _Facts(ast.NodeVisitor):
 
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
+            self.imported[a] = len(self.rows)
             self.add("import", node, kind="import", text=a.name, level=0, alias=a.asname or a.name.split(".")[0])
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         for a in node.names:
+            self.imported[a] = len(self.rows)
             self.add("import", node, kind="from", text=node.module or "", name=a.name, level=node.level, alias=a.asname or a.name)
 
     def routes_of(self, value: ast.expr) -> None:
@@ -130,18 +143,23 @@ class _Facts(ast.NodeVisitor):
                 if isinstance(view, ast.Call):
                     if isinstance(view.func, ast.Attribute) and view.func.attr == "as_view":
                         view = view.func.value
-                    elif view.args and _dotted(view.func) != "include":
+                    elif view.args and scopes.dotted(view.func) != "include":
                         view = view.args[0]
-            name = _dotted(view)
+            name = scopes.dotted(view)
             if name:
                 arg = call.args[0].value if isinstance(call.args[0], ast.Constant) else None
-                self.add("view", call, name=name, text=arg if isinstance(arg, str) else None)
+                self.add("view", call, name=name, text=arg if isinstance(arg, str) else None, refs=self.refs_of(view))
 
     def visit_Assign(self, node: ast.Assign) -> None:
         if any(isinstance(t, ast.Name) and t.id == "urlpatterns" for t in node.targets):
             self.routes_of(node.value)
         self.generic_visit(node)
 
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        if isinstance(node.target, ast.Name) and node.target.id == "urlpatterns" and node.value is not None:
+            self.routes_of(node.value)
+        self.generic_visit(node)
+
     def visit_AugAssign(self, node: ast.AugAssign) -> None:
         if isinstance(node.target, ast.Name) and node.target.id == "urlpatterns":
             self.routes_of(node.value)
@@ -155,9 +173,9 @@ def file_facts(path: str, text: str | None) -> list[dict]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-        v = _Facts(path, text)
+        v = _Facts(path, text, tree)
         v.visit(tree)
-        return v.rows
+        return v.finish()
     except (SyntaxError, ValueError, RecursionError):
         return []  # a file node only
 
@@ -171,6 +189,7 @@ def source_facts(files: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=_COLUMNS)
             yield out.astype({c: "Int32" for c in ("ordinal", "line", "end_line", "col", "level")})
 
+    ship(files.sparkSession)
     python = files.where(F.col("rel_path").rlike(r"\.pyi?w?$")).select("rel_path", "content")
     return by_key(python, "rel_path").mapInPandas(run, FACTS)
 
@@ -205,153 +224,6 @@ def def_nodes(facts: DataFrame) -> DataFrame:
     )
 
 
-def module_index(files: DataFrame) -> DataFrame:
-    """``(alias, rel_path)``: names under which a file can be imported, one file a name: source before stub, then path."""
-    python = files.where(F.col("rel_path").rlike(r"\.pyi?w?$")).select("rel_path", S.module_name("rel_path").alias("m")).where("m <> ''")
-    names = F.array_distinct(F.array("m", F.regexp_replace("m", r"^src\.", "")))
-    rows = python.select("rel_path", F.posexplode(names).alias("n", "alias"))
-    order = F.struct("n", (~F.col("rel_path").endswith(".py")).alias("stub"), "rel_path")
-    return rows.groupBy("alias").agg(F.min_by("rel_path", order).alias("rel_path"))
-
-
-def resolve_imports(facts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Import edges ``(src_id, dst_id, kind, resolved)`` and references ``(node_id, package, symbol, alias)`` to other code.
-
-    A sibling of the importing file comes first, then an exact module, then a top-level name of the repository, whose
-    missing module becomes an unknown target; anything else is external. ``from`` imports try the name as a submodule.
-    """
-    index = module_index(files)
-    tops = index.select(S.first_part("alias").alias("top")).distinct().withColumn("own", F.lit(True))
-    i = facts.where("fact = 'import'").withColumn("folder", S.folder_of("rel_path"))
-    package = F.translate("folder", "/", ".")
-    i = i.withColumn("base", S.absolute_module(package, "text", "level"))
-    sibling = F.when((F.col("level") == 0) & (F.col("folder") != ""), F.concat_ws(".", F.translate("folder", "/", "."), F.nullif("base", F.lit(""))))
-    tries = F.array(
-        F.struct(F.lit(0).alias("r"), F.when(F.col("kind") == "from", F.concat_ws(".", sibling, "name")).alias("alias")),
-        F.struct(F.lit(1).alias("r"), sibling.alias("alias")),
-        F.struct(F.lit(2).alias("r"), F.when(F.col("kind") == "from", F.concat_ws(".", F.nullif("base", F.lit("")), "name")).alias("alias")),
-        F.struct(F.lit(3).alias("r"), F.nullif("base", F.lit("")).alias("alias")),
-    )
-    key = ["rel_path", "ordinal"]
-    found = (
-        i.select(*key, F.col("rel_path").alias("src"), F.explode(tries).alias("t"))
-        .select(*key, F.col("t.r").alias("r"), F.col("t.alias").alias("alias"))
-        .join(index.withColumnRenamed("rel_path", "target"), "alias")
-        .groupBy(*key)
-        .agg(F.min_by("target", "r").alias("target"))
-    )
-    joined = i.join(found, key, "left").join(tops, S.first_part("base") == F.col("top"), "left")
-    here = F.concat("rel_path", F.lit("::<file>"))
-    inside = F.col("target").isNotNull()
-    lost = ~inside & ((F.col("level") > 0) | F.coalesce("own", F.lit(False)) | F.col("base").isNull())
-    edges = joined.where((inside & (F.col("target") != F.col("rel_path"))) | lost).select(
-        here.alias("src_id"),
-        F.when(inside, F.concat("target", F.lit("::<file>"))).otherwise(F.concat(F.lit("unknown::"), F.coalesce("base", "text", F.lit("")))).alias("dst_id"),
-        F.lit("imports").alias("kind"),
-        inside.alias("resolved"),
-    )
-    refs = joined.where(~inside & ~lost & (S.first_part("base") != "__future__")).select(
-        here.alias("node_id"), S.first_part("base").alias("package"), F.when((F.col("kind") == "from") & (F.col("name") != "*"), F.col("name")).alias("symbol"), "alias"
-    )
-    return edges.distinct(), refs.distinct()
-
-
-def call_edges(facts: DataFrame, nodes: DataFrame, imports: DataFrame, refs: DataFrame) -> DataFrame:
-    """``(src_id, dst_id, kind, resolved, class)`` of each call site: by local names, self, imports; else unknown.
-
-    Candidates in this order: a def of the same scope or an enclosing one in the file; a method of the own class through
-    ``self``; a def of an imported module; an external package (which makes no edge but counts as ``external``). What
-    none of them explains is kept as ``unknown::<name>``.
-    """
-    defs = nodes.where("kind <> 'file'").select("node_id", "kind", "file_path", "qualified_name", "start_line", "end_line", "ordinal")
-    calls = facts.where("fact = 'call'").select("rel_path", "ordinal", "line", "name", "scope", F.col("kind").alias("site"), "col")
-    key = ["rel_path", "ordinal"]
-    parts = F.when(F.col("scope") == "", F.array().cast("array<string>")).otherwise(F.split("scope", r"\."))
-    scopes = F.transform(F.sequence(F.size(parts), F.lit(0)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    local = calls.select(*key, F.posexplode(scopes).alias("r", "s"), "name").select(*key, "r", F.when(F.col("s") == "", F.col("name")).otherwise(F.concat_ws(".", "s", "name")).alias("q"))
-    own_class = calls.where("name like 'self.%' or name like 'cls.%'").select(
-        *key, F.lit(100).alias("r"), F.concat_ws(".", F.array_join(F.slice(F.split("scope", r"\."), 1, F.greatest(F.size(F.split("scope", r"\.")) - 1, F.lit(0))), "."), F.regexp_replace("name", r"^(self|cls)\.", "")).alias("q")
-    )
-    target = defs.select(F.col("file_path").alias("rel_path"), F.col("qualified_name").alias("q"), F.col("node_id").alias("to"), "ordinal").groupBy("rel_path", "q").agg(F.min_by("to", "ordinal").alias("to"))
-    in_file = local.unionByName(own_class).join(target, ["rel_path", "q"]).groupBy(*key).agg(F.min_by("to", "r").alias("local"))
-    bound = facts.where("fact = 'import'").select("rel_path", F.col("alias").alias("head"), F.col("name").alias("symbol"), F.col("kind").alias("form"), F.col("ordinal").alias("o"))
-    links = imports.where("resolved").select(F.regexp_replace("src_id", "::<file>$", "").alias("rel_path"), F.regexp_replace("dst_id", "::<file>$", "").alias("module"))
-    remote_name = F.when(F.col("form") == "from", F.concat_ws(".", "symbol", F.nullif(F.regexp_extract("name", r"^[^.]+\.(.+)$", 1), F.lit("")))).otherwise(S.last_part("name"))
-    far = (
-        calls.withColumn("head", S.first_part("name"))
-        .join(bound, ["rel_path", "head"])
-        .join(links, "rel_path")
-        .select(*key, F.col("module"), F.array(remote_name, S.last_part("name")).alias("qs"))
-        .select(*key, F.col("module"), F.posexplode("qs").alias("r", "q"))
-        .join(target.select(F.col("rel_path").alias("module"), "q", "to"), ["module", "q"])
-        .groupBy(*key)
-        .agg(F.min(F.struct("r", "to")).alias("f"))
-        .select(*key, F.col("f.to").alias("far"))
-    )
-    outside = refs.select(F.regexp_replace("node_id", "::<file>$", "").alias("rel_path"), F.col("alias").alias("head")).distinct().withColumn("external", F.lit(True))
-    routed = (
-        calls.withColumn("head", S.first_part("name"))
-        .join(in_file, key, "left")
-        .join(far, key, "left")
-        .join(outside, ["rel_path", "head"], "left")
-    )
-    known = F.when(~F.col("name").isin(*DYNAMIC) & (F.col("col") >= 0), F.coalesce("local", "far"))
-    kind = F.when(known.isNotNull(), "internal").when(F.coalesce("external", F.lit(False)) & (F.col("col") >= 0), "external").otherwise("unknown")
-    sites = routed.select(*key, F.col("rel_path").alias("file_path"), "line", known.alias("known"), kind.alias("class"), "name").withColumn("site_id", F.concat_ws("#", "rel_path", "ordinal"))
-    placed = innermost(sites, nodes.where("kind = 'function'"))
-    src = F.coalesce("node_id", F.concat("file_path", F.lit("::<file>")))
-    return placed.select(
-        src.alias("src_id"),
-        F.coalesce("known", F.concat(F.lit("unknown::"), F.substr("name", F.lit(1), F.lit(60)))).alias("dst_id"),
-        F.lit("calls").alias("kind"),
-        F.col("known").isNotNull().alias("resolved"),
-        "class",
-    )
-
-
-def coverage(sites: DataFrame) -> DataFrame:
-    """Share of call sites whose target is known; 1.0 if there are none."""
-    total = F.count("*")
-    good = F.count_if(F.col("class") != "unknown")
-    return sites.agg(
-        total.alias("total"),
-        F.count_if(F.col("class") == "internal").alias("internal"),
-        F.count_if(F.col("class") == "external").alias("external"),
-        F.count_if(F.col("class") == "unknown").alias("unresolved"),
-        F.when(total == 0, 1.0).otherwise(good / total).alias("ratio"),
-    )
-
-
-def inherits_edges(facts: DataFrame, nodes: DataFrame, imports: DataFrame, refs: DataFrame) -> DataFrame:
-    """``(src_id, dst_id, kind, resolved)``: bases found in the file or an imported one, else unknown; external ones have none."""
-    classes = nodes.where("kind = 'class'")
-    by_name = classes.groupBy("file_path", "qualified_name").agg(F.min_by("node_id", "ordinal").alias("to"))
-    base = facts.where("fact = 'base'").select("rel_path", "ordinal", "name", "qualified_name")
-    own = by_name.select(F.col("file_path").alias("rel_path"), F.col("qualified_name").alias("name"), F.col("to").alias("near"))
-    links = imports.where("resolved").select(F.regexp_replace("src_id", "::<file>$", "").alias("rel_path"), F.regexp_replace("dst_id", "::<file>$", "").alias("file_path"))
-    other = base.withColumn("q", S.last_part("name")).join(links, "rel_path").join(by_name.withColumnRenamed("qualified_name", "q"), ["file_path", "q"]).groupBy("rel_path", "ordinal").agg(F.min("to").alias("far"))
-    outside = refs.select(F.regexp_replace("node_id", "::<file>$", "").alias("rel_path"), F.col("alias").alias("head")).distinct().withColumn("external", F.lit(True))
-    src = by_name.select(F.col("file_path").alias("rel_path"), "qualified_name", F.col("to").alias("src_id"))
-    found = base.withColumn("head", S.first_part("name")).join(own, ["rel_path", "name"], "left").join(other, ["rel_path", "ordinal"], "left").join(outside, ["rel_path", "head"], "left").join(src, ["rel_path", "qualified_name"])
-    known = F.coalesce("near", "far")
-    return (
-        found.withColumn("known", known)
-        .where(F.col("known").isNotNull() | F.col("external").isNull())
-        .select("src_id", F.coalesce("known", F.concat(F.lit("unknown::"), "name")).alias("dst_id"), F.lit("inherits").alias("kind"), F.col("known").isNotNull().alias("resolved"))
-    )
-
-
-def entry_points(facts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node_id, kind, trust)``: functions behind route decorators, and views of URL tables with their HTTP methods."""
-    routes = facts.where("fact = 'route'").select("rel_path", F.col("line").alias("start_line"))
-    direct = nodes.where("kind = 'function'").join(routes.withColumnRenamed("rel_path", "file_path"), ["file_path", "start_line"]).select("node_id")
-    views = facts.where("fact = 'view'").select(S.last_part("name").alias("qualified_name")).distinct()
-    hit = nodes.where("kind <> 'file'").join(views, "qualified_name")
-    verbs = hit.where("kind = 'class'").select("file_path", F.explode(F.array(*(F.concat_ws(".", "qualified_name", F.lit(v)) for v in VIEW_METHODS))).alias("qualified_name"))
-    methods = nodes.where("kind = 'function'").join(verbs, ["file_path", "qualified_name"]).select("node_id")
-    return direct.unionByName(hit.select("node_id")).unionByName(methods).distinct().select("node_id", F.lit("http_route").alias("kind"), F.lit("untrusted").alias("trust"))
-
-
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in ``order``."""
     w = Window.partitionBy(*key).orderBy(*order)

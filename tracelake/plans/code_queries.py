@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
-from tracelake.operators import evaluate, extract, reach
+from tracelake.operators import evaluate, extract, reach, resolve
 from tracelake.operators import graph as G
 from tracelake.plans import code_graph as P
 from tracelake.plans import table_queries as T
@@ -22,7 +22,7 @@ nodes, edges, calls = P.nodes, P.edges, P.calls
 def _source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Entry points, and the packages that files import, as the source files say."""
     files, facts = T._facts(spark, sf_dir)
-    return G.cut(extract.entry_points(facts, extract.def_nodes(facts))), extract.resolve_imports(facts, files)[1]
+    return G.cut(resolve.entry_points(facts, extract.def_nodes(facts), resolve.resolve_sites(facts, files))), resolve.resolve_imports(facts, files)[1]
 
 
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +144,8 @@ def code_package_in_use(spark, sf_dir) -> DataFrame:
 def code_miss_classification(spark, sf_dir) -> DataFrame:
     """Calls found in the source files against those of the table, per repository, and why calls are missed."""
     files, facts = T._facts(spark, sf_dir)
-    imports, refs = extract.resolve_imports(facts, files)
     known = extract.file_nodes(files).unionByName(extract.def_nodes(facts))
-    found = extract.call_edges(facts, known, imports, refs)
+    found = resolve.call_edges(resolve.resolve_sites(facts, files), known).where("dst_id is not null")
     category = F.split_part(F.regexp_replace("src", f"^{G.UNKNOWN}", ""), F.lit("/"), F.lit(1)).alias("category")
     emitted = found.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "resolved").select(category, "src", "dst", "resolved")
     truth = calls(spark, sf_dir).where("resolved").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).select(category, "src", "dst")

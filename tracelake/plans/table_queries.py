@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.core import table
 from tracelake.functions import scalar as S
-from tracelake.operators import deps, evaluate, extract, incremental, locate, reach, report, triage
+from tracelake.operators import deps, evaluate, extract, incremental, locate, reach, report, resolve, triage
 from tracelake.operators import graph as G
 from tracelake.plans import graph_queries as GQ
 from tracelake.plans import code_graph as P
@@ -186,26 +186,24 @@ def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def extracted_imports(spark, sf_dir) -> DataFrame:
     f, facts = _facts(spark, sf_dir)
-    edges, refs = extract.resolve_imports(facts, f)
+    edges, refs = resolve.resolve_imports(facts, f)
     return edges.select("src_id", "dst_id", "resolved").unionByName(refs.select(F.col("node_id").alias("src_id"), F.col("package").alias("dst_id"), F.lit(None).cast("boolean").alias("resolved")).distinct())
 
 
 def extracted_coverage(spark, sf_dir) -> DataFrame:
     f, facts = _facts(spark, sf_dir)
     nodes = extract.file_nodes(f).unionByName(extract.def_nodes(facts))
-    edges, refs = extract.resolve_imports(facts, f)
-    return extract.coverage(extract.call_edges(facts, nodes, edges, refs))
+    return resolve.coverage(resolve.call_edges(resolve.resolve_sites(facts, f), nodes))
 
 
 def extracted_entry_points(spark, sf_dir) -> DataFrame:
     f, facts = _facts(spark, sf_dir)
-    return extract.entry_points(facts, extract.def_nodes(facts))
+    return resolve.entry_points(facts, extract.def_nodes(facts), resolve.resolve_sites(facts, f))
 
 
 def extracted_inherits(spark, sf_dir) -> DataFrame:
     f, facts = _facts(spark, sf_dir)
-    edges, refs = extract.resolve_imports(facts, f)
-    return extract.inherits_edges(facts, extract.def_nodes(facts), edges, refs)
+    return resolve.inherits_edges(resolve.resolve_sites(facts, f), facts)
 
 
 def mro_order(spark, sf_dir) -> DataFrame:

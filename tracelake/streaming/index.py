@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.core import cut
-from tracelake.operators import extract
+from tracelake.operators import extract, resolve
 
 
 @dataclass
@@ -25,11 +25,7 @@ class Index:
 
     def tables(self) -> dict[str, DataFrame]:
         """Nodes, edges of all kinds, references and entry points."""
-        nodes = extract.file_nodes(self.files).unionByName(extract.def_nodes(self.facts))
-        imports, refs = extract.resolve_imports(self.facts, self.files)
-        calls = extract.call_edges(self.facts, nodes, imports, refs).drop("class")
-        inherits = extract.inherits_edges(self.facts, nodes, imports, refs)
-        return {"nodes": nodes, "edges": imports.unionByName(calls).unionByName(inherits), "refs": refs, "entry_points": extract.entry_points(self.facts, nodes)}
+        return resolve.code_graph(self.facts, self.files)
 
     def apply(self, changes: DataFrame) -> Index:
         """After ``changes(rel_path, content)``; a null content deletes the file. Of a file's changes in a batch there is one.
