@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tracelake import cli
 from tracelake.functions import scalar as S
-from tracelake.operators import deps, evaluate, locate, report
+from tracelake.operators import deps, evaluate, incremental, locate, report
 from tracelake.operators import graph as G
 from tracelake.sources import reports
 from tracelake.streaming import changes, index
@@ -31,9 +31,52 @@ def test_index_follows_a_stream(spark, tmp_path):
     first = spark.createDataFrame([("d.py", "def x(): pass\n", 1), ("d.py", "def y(): pass\n", 2), ("c.py", None, 2)], "rel_path string, content string, changed_at int")
     first.coalesce(1).write.parquet(str(folder))
     stream = spark.readStream.schema(first.schema).parquet(str(folder))
-    got = index.follow(index.Index.build(frame(spark, BASE)), stream, str(tmp_path / "state"))
+    stored = index.StoredIndex(spark, str(tmp_path / "index"))
+    stored.write(-1, frame(spark, BASE))
+    got = index.follow(stored, stream, str(tmp_path / "state"))
     want = {"a.py": BASE["a.py"], "b.py": BASE["b.py"], "d.py": "def y(): pass\n"}
     assert rows(got.tables()) == rows(index.Index.build(frame(spark, want)).tables())
+    # After a restart the state comes from the folder, and the stream goes on behind what it has seen.
+    spark.createDataFrame([("e.py", "import d\n", 3), ("d.py", None, 3)], "rel_path string, content string, changed_at int").coalesce(1).write.mode("append").parquet(str(folder))
+    again = index.StoredIndex(spark, str(tmp_path / "index"))
+    numbers = []
+    stream = spark.readStream.schema(first.schema).parquet(str(folder))
+    got = index.follow(again, stream, str(tmp_path / "state"), lambda n, s: numbers.append(n))
+    want = {"a.py": BASE["a.py"], "b.py": BASE["b.py"], "e.py": "import d\n"}
+    full = rows(index.Index.build(frame(spark, want)).tables())
+    assert numbers == [1] and rows(got.tables()) == full
+    again.write(1, spark.createDataFrame([("e.py", "import d\n"), ("d.py", None)], "rel_path string, content string"))  # a batch that runs twice
+    assert rows(again.load().tables()) == full
+    small = again.compact(str(tmp_path / "small"))
+    assert rows(small.load().tables()) == full
+    empty = index.StoredIndex(spark, str(tmp_path / "none"))
+    assert empty.load().files.collect() == []
+
+
+def test_tables_have_edges_of_all_kinds(spark):
+    t = index.Index.build(frame(spark, BASE | {"c.py": "from b import h\nclass K: pass\nclass L(K): pass\n"})).tables()
+    assert {r.kind for r in t["edges"].select("kind").distinct().collect()} == {"defines", "imports", "calls", "inherits"}
+
+
+def test_findings_after_a_change(spark):
+    F_ = "finding_id string, rel_path string, node_id string, reachable string, path array<string>, blast_radius bigint"
+    old = [("1", "a.py", "ep", "reachable", ["ep"], 1), ("2", "b.py", "b1", "reachable", ["ep", "b1"], 1), ("3", "c.py", "c", "unreachable", [], 0), ("4", "d.py", "gone", "unreachable", [], 0), ("5", "e.py", "e", "reachable", ["ep", "b1", "e"], 1), ("6", "x.py", "x", None, None, None)]
+    nodes = spark.createDataFrame([(n,) for n in ("ep", "b2", "c", "e", "x", "y")], "node_id string")
+    renamed = spark.createDataFrame([("b1", "b2")], "old_id string, new_id string")
+    rescanned = spark.createDataFrame([("a.py",)], "rel_path string")
+    fresh = spark.createDataFrame([("9", "a.py", "y")], "finding_id string, rel_path string, node_id string")
+    affected = spark.createDataFrame([("c",)], "node_id string")
+    asked = []
+
+    def recompute(targets):
+        asked.extend(r.finding_id for r in targets.collect())
+        return targets.select("finding_id", F.lit("unknown").alias("reachable"), F.array("node_id").alias("path"), F.lit(7).cast("bigint").alias("blast_radius"))
+
+    got, counts = incremental.update_findings(spark.createDataFrame(old, F_), nodes, renamed, rescanned, fresh, affected, recompute)
+    assert {r.finding_id: (r.node_id, r.reachable, tuple(r.path)) for r in got.collect()} == {
+        "2": ("b2", "reachable", ("ep", "b2")), "3": ("c", "unknown", ("c",)), "5": ("e", "reachable", ("ep", "b2", "e")), "6": ("x", "unknown", ("x",)), "9": ("y", "unknown", ("y",)),
+    }
+    assert sorted(asked) == ["3", "6", "9"] and counts.first().asDict() == {"reused": 2, "invalidated": 2, "new": 1, "dropped": 2}
 
 
 def test_windowed_stream(spark, tmp_path):

@@ -89,17 +89,55 @@ def invalid_paths(evidence: DataFrame, dirty: DataFrame, new_edges: DataFrame) -
 
 
 def affected_targets(targets: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(finding_id)`` of targets that a change of edges can touch at all: those behind an end of a changed edge.
+    """``(finding_id)`` of targets that a change of edges can touch at all."""
+    return targets.join(affected_nodes(old, new), "node_id", "left_semi").select("finding_id").distinct()
 
-    ``old`` and ``new`` are graphs ``(src_id, dst_id, resolved)``. No way to any other target leads over a changed edge, so
-    its class, path and radius stay. Exact, where ``invalid_paths`` looks at the known paths only.
+
+def affected_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(node_id)`` of nodes behind an end of a changed edge.
+
+    ``old`` and ``new`` are graphs ``(src_id, dst_id, resolved)``. No way to any other node leads over a changed edge, so its
+    class, path and radius stay. Exact, where ``invalid_paths`` looks at the known paths only.
     """
     both = old.withColumn("side", F.lit(1)).unionByName(new.withColumn("side", F.lit(2))).groupBy("src_id", "dst_id").agg(F.count("*").alias("n"), F.min("resolved").alias("a"), F.max("resolved").alias("b"))
     both = G.cut(both)
     changed = both.where((F.col("n") < 2) | (F.col("a") != F.col("b")))
     ends = changed.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct()
-    behind = G.reached(both, ends)
-    return targets.join(behind, "node_id", "left_semi").select("finding_id").distinct()
+    return G.reached(both, ends)
+
+
+def update_findings(previous: DataFrame, nodes: DataFrame, renamed: DataFrame, rescanned: DataFrame, fresh: DataFrame, affected: DataFrame, recompute) -> tuple[DataFrame, DataFrame]:
+    """Findings after a change, and how many were ``reused``, ``invalidated``, ``new`` and ``dropped``.
+
+    ``previous(finding_id, rel_path, node_id, reachable, path, blast_radius)``; ``nodes(node_id)`` of now;
+    ``renamed(old_id, new_id)``; ``rescanned(rel_path)``: files whose findings ``fresh(finding_id, rel_path, node_id)``
+    replaces; ``affected(node_id)``: nodes behind an end of a changed edge. Ids in nodes and paths follow renames; a finding
+    whose node is gone is dropped; one without evidence, or at an affected node, is computed anew by
+    ``recompute(targets)``, which gives (finding_id, reachable, path, blast_radius); the others keep their evidence.
+    """
+    r = renamed.select("old_id", "new_id").distinct()
+    kept = previous.join(rescanned.select("rel_path").distinct(), "rel_path", "left_anti")
+    moved = kept.join(r.withColumnRenamed("old_id", "node_id"), "node_id", "left").withColumn("node_id", F.coalesce("new_id", "node_id")).drop("new_id")
+    alive = G.cut(moved.join(nodes.select("node_id").distinct().withColumn("_there", F.lit(True)), "node_id", "left").where(F.col("node_id").isNull() | F.col("_there")).drop("_there"))
+    hit = affected.select("node_id").distinct().withColumn("_hit", F.lit(True))
+    marked = alive.join(hit, "node_id", "left").withColumn("_again", F.coalesce("_hit", F.lit(False)) | F.col("node_id").isNull() | F.col("reachable").isNull()).drop("_hit")
+    steps = marked.where(~F.col("_again")).select("finding_id", F.posexplode("path").alias("at", "old_id")).join(r, "old_id", "left")
+    paths = steps.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new_id", "old_id").alias("id")))).alias("p"))
+    columns = ["finding_id", "rel_path", "node_id", "reachable", "path", "blast_radius"]
+    path = F.coalesce(F.transform("p", lambda x: x["id"]), F.array().cast("array<string>"))
+    reused = marked.where(~F.col("_again")).drop("path").join(paths, "finding_id", "left").withColumn("path", path).select(*columns)
+    again = marked.where("_again").select("finding_id", "rel_path", "node_id", F.lit("invalidated").alias("_state")).unionByName(fresh.select("finding_id", "rel_path", "node_id", F.lit("new").alias("_state")))
+    again = G.cut(again)
+    computed = again.join(recompute(again.select("finding_id", "node_id")), "finding_id").select(*columns)
+    counts = (
+        previous.agg(F.count("*").alias("all")).select(F.lit("all").alias("state"), F.col("all").alias("n"))
+        .unionByName(reused.agg(F.count("*").alias("n")).select(F.lit("reused").alias("state"), "n"))
+        .unionByName(again.groupBy(F.col("_state").alias("state")).agg(F.count("*").alias("n")))
+    )
+    total = F.sum(F.when(F.col("state") == "all", F.col("n")).otherwise(0))
+    one = {s: F.sum(F.when(F.col("state") == s, F.col("n")).otherwise(0)) for s in ("reused", "invalidated", "new")}
+    counts = counts.agg(*(v.alias(k) for k, v in one.items()), (total - one["reused"] - one["invalidated"]).alias("dropped"))
+    return reused.unionByName(computed), counts
 
 
 def update_evidence(evidence: DataFrame, targets: DataFrame, invalid: DataFrame, recompute) -> DataFrame:

@@ -88,7 +88,7 @@ def adjudicate(findings: DataFrame, provider: Provider, cache: DataFrame | None
     """
     f = findings.withColumn("cache_key", cache_key(template, provider.model_name))
     skip = f.where("reachable = 'unreachable'").select("finding_id", F.lit("unreachable").alias("verdict"), F.lit(1.0).alias("confidence"), F.lit("").alias("reasoning"), F.lit("skipped").alias("how"))
-    open_ = f.where("reachable <> 'unreachable'")
+    open_ = f.where(~F.col("reachable").eqNullSafe("unreachable"))  # what was never traced is asked too
     out = skip
     if cache is not None:
         known = cache.select("cache_key", "verdict", "confidence", "reasoning").dropDuplicates(["cache_key"])

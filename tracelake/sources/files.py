@@ -13,7 +13,7 @@ from tracelake.core import ship
 from tracelake.functions import scalar as S
 from tracelake.sources.reports import skipped
 
-PYTHON = "*.{py,pyw,pyi}"
+PYTHON = "*.[pP][yY]{,w,W,i,I}"
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:

@@ -27,10 +27,8 @@ OSV = (
     "database_specific:struct<cwe_ids:array<string>>,affected:array<struct<package:struct<name:string>,ranges:array<struct<type:string,"
     "events:array<struct<introduced:string,fixed:string>>>>>>>>>>>>"
 )
-#: Folders that no scanner result counts in.
-SKIPPED = (
-    ".git .hg .svn .tox .nox .venv venv env node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache build dist site-packages"
-).split()
+#: Folders that are never looked into.
+SKIPPED = (".git", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".tox", "site-packages", ".idea", ".vscode", ".eggs")
 
 
 #: Parsers by source: reports and root folder to raw findings. Others can be added.
@@ -73,8 +71,9 @@ def _row(df: DataFrame, **given: Column) -> DataFrame:
 
 
 def skipped(path: Column | str) -> Column:
-    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
-    return F.arrays_overlap(parts, F.array(*(F.lit(x) for x in SKIPPED)))
+    """Whether a folder of the path is one that is never looked into; a file may have such a name."""
+    folders = F.split(F.regexp_replace(F.col(path) if isinstance(path, str) else path, "/?[^/]*$", ""), "/")
+    return F.arrays_overlap(folders, F.array(*(F.lit(x) for x in SKIPPED)))
 
 
 def bandit(reports: DataFrame, root: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the session's checkpoint folder, which all executors share."""
     ensure_checkpoint_dir(spark)
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = at.get() if at.isDefined() else spark.conf.get("spark.checkpoint.dir", tempfile.gettempdir())
+    base = at.get() if at.isDefined() else spark.conf.get("spark.checkpoint.dir")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
