@@ -87,7 +87,7 @@ def dependency_report(advisories: DataFrame, deprecated: DataFrame | None = None
     per = rows.groupBy(S.canonical_name("package").alias("package"), "package_version").agg(
         F.countDistinct("rule_id").alias("n_advisories"),
         F.max_by("fixed_in", "k").alias("upgrade_to"),
-        F.count_if(F.col("k").isNull()).alias("unfixed"),
+        (F.countDistinct("rule_id") - F.countDistinct(F.when(F.col("k").isNotNull(), F.col("rule_id")))).alias("unfixed"),
         F.max_by("reachable", reach_rank(F.col("reachable"))).alias("worst"),
     )
     if deprecated is not None:
@@ -101,6 +101,79 @@ def dependency_report(advisories: DataFrame, deprecated: DataFrame | None = None
     return out.orderBy(urgency_rank(F.col("urgency")), "package", "package_version")
 
 
+def upgrade_report(advisories: DataFrame, refs: DataFrame, names: DataFrame, above: DataFrame, installed: DataFrame, deprecated: DataFrame) -> DataFrame:
+    """What upgrading would cost, a row for each third-party package that is used, vulnerable or deprecated.
+
+    ``advisories(package, package_version, rule_id, severity, fixed_in, reachable)``, ``refs(node_id, file_path, package)``
+    by import name, ``names(dist, import_name)``, ``above(name, parent)`` the closure of requirements, ``installed(package,
+    version)`` by distribution, ``deprecated(package, symbol, reachable)``: one row a call, package by distribution.
+
+    ``version`` is the installed one, ``declared`` the advisories'; ``unfixed`` counts advisories without a fix,
+    ``references`` imports and calls, ``files`` and ``users`` where they stand. A package that nothing imports runs ``via``
+    those that need it and are imported, and has their files. ``pin_is_stale``: what is installed has the fix, what is
+    declared has not. Advisories count once per rule, with the greatest fix and the worst class of their rows.
+    """
+    words = ("critical", "high", "medium", "low")
+    rows = advisories.withColumn("name", S.canonical_name("package")).withColumn("k", S.version_key("fixed_in"))
+    per_rule = rows.groupBy("name", "rule_id").agg(
+        F.max_by("fixed_in", "k").alias("fixed_in"), F.max("k").alias("k"), F.max_by("reachable", reach_rank(F.col("reachable"))).alias("reachable"),
+        F.max(F.struct(S.rank_of("severity", words).alias("r"), F.lower("severity").alias("s"))).alias("severity"), F.min("package_version").alias("declared"),
+    )
+    per = per_rule.groupBy("name").agg(
+        F.count("*").alias("n_advisories"), F.max_by("fixed_in", "k").alias("upgrade_to"), F.count_if(F.col("k").isNull()).alias("unfixed"),
+        F.max_by("reachable", reach_rank(F.col("reachable"))).alias("worst"), F.max("severity").alias("sev"), F.min("declared").alias("declared"),
+    )
+    dist_of = names.select(F.col("import_name").alias("package"), S.canonical_name("dist").alias("dist"))
+    used = refs.select("node_id", "file_path", "package").join(dist_of, "package", "left").withColumn("name", F.coalesce("dist", S.canonical_name("package")))
+    direct = used.groupBy("name").agg(F.count("*").alias("references"), F.countDistinct("file_path").alias("files"), F.countDistinct("node_id").alias("users"))
+    up = above.select(S.canonical_name("name").alias("name"), S.canonical_name("parent").alias("parent"))
+    through = up.join(used.select(F.col("name").alias("parent"), "file_path").distinct(), "parent").groupBy("name").agg(F.sort_array(F.collect_set("parent")).alias("via"), F.countDistinct("file_path").alias("via_files"))
+    calls = deprecated.withColumn("name", S.canonical_name("package")).groupBy("name").agg(
+        F.count("*").alias("n_deprecated"), F.sort_array(F.collect_set("symbol")).alias("symbols"),
+        *(F.count_if(F.coalesce("reachable", F.lit("unknown")) == r).alias(f"deprecated_{r}") for r in ("reachable", "unknown", "unreachable")),
+    )
+    have = installed.groupBy(S.canonical_name("package").alias("name")).agg(F.min("version").alias("version"))
+    out = per.join(direct, "name", "full").join(calls, "name", "full").join(through, "name", "left").join(have, "name", "left")
+    counts = ["n_advisories", "unfixed", "references", "files", "users", "n_deprecated", "deprecated_reachable", "deprecated_unknown", "deprecated_unreachable"]
+    out = out.na.fill(0, counts)
+    alone = F.col("users") == 0
+    empty = F.array().cast("array<string>")
+    return out.select(
+        F.col("name").alias("package"), F.coalesce("version", "declared").alias("version"), "declared", "n_advisories", F.col("sev.s").alias("worst_severity"), "upgrade_to", "unfixed", "worst",
+        "references", F.when(alone, F.coalesce("via_files", F.lit(0))).otherwise(F.col("files")).alias("files"), "users", F.when(alone, F.coalesce("via", empty)).otherwise(empty).alias("via"),
+        *counts[5:], F.coalesce("symbols", empty).alias("symbols"), F.coalesce(pin_is_stale(F.col("version"), F.col("upgrade_to"), F.col("declared")), F.lit(False)).alias("pin_is_stale"),
+        urgency(F.col("n_advisories"), F.col("worst"), F.col("n_deprecated")).alias("urgency"),
+    )
+
+
+def upgrade_summary(report: DataFrame) -> DataFrame:
+    """One row over ``upgrade_report``: packages, how many of each urgency, deprecated calls by class."""
+    return report.agg(
+        F.count("*").alias("packages"), *(F.count_if(F.col("urgency") == u).alias(u) for u in URGENCIES[:-1]),
+        *(F.coalesce(F.sum(f"deprecated_{r}"), F.lit(0)).alias(f"deprecated_{r}") for r in ("reachable", "unknown", "unreachable")),
+    )
+
+
+#: What every report of upgrades says of itself.
+UPGRADE_NOTE = "upgrade_to is the least version with the listed fixes, not the latest release"
+
+
+def upgrade_payload(report: DataFrame, scan: DataFrame, checked: DataFrame, unresolved: int) -> DataFrame:
+    """One JSON document, as rows ``(part, no, body)`` in order, so that no task holds all packages: summary, scan status
+    (``scan(status, detail)``, none if it did not run), ``checked(checked, deprecated, no_source)``, note, then packages."""
+    status = F.struct("status", "detail")
+    check = F.to_json(F.struct("checked", "deprecated", "no_source", F.lit(unresolved).alias("unresolved_calls")))
+    head = (
+        upgrade_summary(report).select(F.lit("summary").alias("part"), F.lit(0).cast("bigint").alias("no"), F.to_json(F.struct("*")).alias("body"))
+        .unionByName(scan.select(F.lit("osv").alias("part"), F.lit(0).cast("bigint").alias("no"), F.to_json(status).alias("body")))
+        .unionByName(checked.select(F.lit("deprecation_check").alias("part"), F.lit(0).cast("bigint").alias("no"), check.alias("body")))
+        .unionByName(report.sparkSession.range(1).select(F.lit("upgrade_note").alias("part"), F.lit(0).cast("bigint").alias("no"), F.to_json(F.struct(F.lit(UPGRADE_NOTE).alias("text"))).alias("body")))
+    )
+    order = F.concat_ws(" ", urgency_rank(F.col("urgency")).cast("string"), "package")
+    packages = report.select(F.lit("package").alias("part"), F.xxhash64("package").alias("no"), F.to_json(F.struct(order.alias("order"), *report.columns)).alias("body"))
+    return head.unionByName(packages)
+
+
 def pin_is_stale(installed: Column, upgrade_to: Column, pin: Column) -> Column:
     """Whether the environment has the fix already while the declared pin is below it."""
     return (S.version_key(installed) >= S.version_key(upgrade_to)) & (S.version_key(pin) < S.version_key(upgrade_to))

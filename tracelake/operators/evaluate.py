@@ -75,11 +75,21 @@ def gate(p: DataFrame) -> DataFrame:
     return both.select(F.round(g, 6).alias("gain"), "recall_retained", ((g >= GAIN) & (F.col("recall_retained") >= RECALL)).alias("passed"))
 
 
+def triage_gate(p: DataFrame) -> DataFrame:
+    """One row: whether the verdicts raise precision over reachability alone and lose no recall; null without them."""
+    ours = {m: p.where(F.col("method") == m).agg(F.max("precision").alias(f"p_{m}"), F.max("recall_retained").alias(f"r_{m}"), F.count("*").alias(f"n_{m}")).withColumn("k", F.lit(1)) for m in ("reachability", "triage")}
+    j = ours["reachability"].join(ours["triage"], "k")
+    zero = F.lit(0.0)
+    gained = F.coalesce("p_triage", zero) > F.coalesce("p_reachability", zero)
+    kept = F.coalesce("r_triage", zero) >= F.coalesce("r_reachability", zero)
+    return j.select(F.when(F.col("n_triage") > 0, gained & kept).alias("passed"))
+
+
 def random_baseline(findings: DataFrame, hit: DataFrame, n: int, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """Mean true findings among ``n`` drawn at random, by simulation and by expectation.
+    """Mean true findings and mean cases hit among ``n`` findings drawn at random, and the expected true findings.
 
-    Each draw ranks the true findings only: how many of them are among the first ``n`` follows from the uniform order of
-    all, so a draw costs as many numbers as there are true findings, not all findings.
+    How many true findings a draw has is simulated from the numbers alone; which ones they are is an order of the true
+    findings by the draw. So a draw costs as many rows as there are true findings, not all findings.
     """
     total = findings.count()
     true = hit.select("finding_id").distinct()
@@ -94,8 +104,14 @@ def random_baseline(findings: DataFrame, hit: DataFrame, n: int, draws: int = 10
             (acc["got"] + F.when((F.pmod(F.xxhash64(F.lit(seed), acc["x"], i), F.lit(1_000_000)) / 1e6) * (F.lit(total) - i) < (F.lit(k) - acc["got"]), 1).otherwise(0)).alias("got"), acc["x"].alias("x")
         ),
     )["got"]
-    got = d.select(steps.alias("got")) if min(n, total) > 0 else d.select(F.lit(0).alias("got"))
-    return got.agg(F.round(F.avg("got"), 6).alias("mean_true_pos")).withColumn("expected", F.round(F.lit(n * k / total if total else 0.0), 6))
+    got = d.select("id", steps.alias("got")) if min(n, total) > 0 else d.select("id", F.lit(0).alias("got"))
+    # Which of the true findings those are: the first ones in an order of the draw's own.
+    every = true.select("finding_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("id"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), "id", "finding_id"), "finding_id"))
+    drawn = every.withColumn("place", place).join(got, "id").where(F.col("place") <= F.col("got"))
+    cases = drawn.join(hit, "finding_id").groupBy("id").agg(F.countDistinct("case_id").alias("cases"))
+    per = got.join(cases, "id", "left").select("got", F.coalesce("cases", F.lit(0)).alias("cases"))
+    return per.agg(F.round(F.avg("got"), 6).alias("mean_true_pos"), F.round(F.avg("cases"), 6).alias("mean_cases_hit")).withColumn("expected", F.round(F.lit(n * k / total if total else 0.0), 6))
 
 
 def edge_scores(emitted: DataFrame, truth: DataFrame, nodes: DataFrame, category: str = "category") -> DataFrame:

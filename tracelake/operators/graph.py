@@ -323,7 +323,7 @@ def linearise(cls: str, parents: dict[str, list[str]], seen: tuple[str, ...] = (
     """Method resolution order of ``cls``; ends early where the bases are inconsistent or circular."""
     if cls in seen:
         return []
-    bases = parents.get(cls, [])
+    bases = [b for b in parents.get(cls, []) if b != cls and b not in seen]
     return [cls, *_merge_orders([*(linearise(b, parents, (*seen, cls)) for b in bases), bases])]
 
 

@@ -55,23 +55,34 @@ def finding_ids(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("finding_id", F.when(F.col("package").isNotNull(), package).otherwise(code)).drop("_basis")
 
 
-def mapping_status(source: Column, package: Column, anchors: Column, node: Column, python: Column) -> Column:
-    """One class per finding, so that the counters of a scan are disjoint."""
+STATUSES = ("to_def", "to_file", "to_package", "via_dependency", "unmapped", "non_python", "unused_dependency", "dependency_unknown")
+
+
+def mapping_status(package: Column, anchors: Column, via: Column, node_kind: Column, python: Column, environment: Column) -> Column:
+    """One class per finding, so that the counters of a scan are disjoint.
+
+    ``anchors`` and ``via`` count the files that use a dependency and the packages it is needed by; ``environment`` says
+    whether the installed distributions are known, without which a dependency that nothing imports may still be used.
+    """
     return (
-        F.when(package.isNotNull() & (anchors > 0), "package_anchored")
-        .when(package.isNotNull(), "package_unanchored")
-        .when(~python, "not_python")
-        .when(node.isNotNull(), "mapped")
+        F.when(package.isNotNull() & (anchors > 0) & (via > 0), "via_dependency")
+        .when(package.isNotNull() & (anchors > 0), "to_package")
+        .when(package.isNotNull() & environment, "unused_dependency")
+        .when(package.isNotNull(), "dependency_unknown")
+        .when(~python, "non_python")
+        .when(node_kind == "file", "to_file")
+        .when(node_kind.isNotNull(), "to_def")
         .otherwise("unmapped")
     )
 
 
 def mapping_stats(rows: DataFrame) -> DataFrame:
-    """Counters over ``rows(status)``: mapped, mappable, their ratio (1.0 if nothing is mappable)."""
-    mapped = F.count_if(F.col("status").isin("mapped", "package_anchored"))
-    mappable = F.count_if(F.col("status") != "not_python")
+    """Counters over ``rows(status)``: each status, mapped, mappable, their ratio (1.0 if nothing is mappable)."""
+    mapped = F.count_if(F.col("status").isin("to_def", "to_file", "to_package", "via_dependency"))
+    mappable = F.count_if(~F.col("status").isin("non_python", "unused_dependency", "dependency_unknown"))
     return rows.agg(
         F.count("*").alias("total"),
+        *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES),
         mapped.alias("mapped"),
         mappable.alias("mappable"),
         F.when(mappable == 0, 1.0).otherwise(mapped / mappable).alias("ratio"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.plans import code_queries, graph_queries, records, table_queries
+from tracelake.plans import case_queries, code_queries, graph_queries, records, table_queries
 
-MODULES = (graph_queries, table_queries, code_queries, records)
+MODULES = (graph_queries, table_queries, code_queries, case_queries, records)
 
 
 def queries() -> dict:

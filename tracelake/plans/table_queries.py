@@ -70,9 +70,11 @@ def node_snippets(spark, sf_dir) -> DataFrame:
 
 
 def mapping_stats(spark, sf_dir) -> DataFrame:
-    at = finding_nodes(spark, sf_dir)
-    f = _findings(spark, sf_dir).join(at, "finding_id", "left")
-    status = locate.mapping_status(F.col("source"), F.col("package"), F.lit(0), F.col("node_id"), F.col("rel_path").rlike(r"\.pyi?w?$"))
+    """Findings by how they are placed; a dependency is anchored in files of its repository with an import from elsewhere."""
+    kinds = _nodes(spark, sf_dir).select("repo", "node_id", "kind").distinct()
+    users = _edges(spark, sf_dir).where("kind = 'imports' and not resolved and src_id is not null").groupBy("repo").agg(F.countDistinct("src_id").alias("anchors"))
+    f = _findings(spark, sf_dir).join(finding_nodes(spark, sf_dir), "finding_id", "left").join(kinds, ["repo", "node_id"], "left").join(users, "repo", "left")
+    status = locate.mapping_status(F.col("package"), F.coalesce("anchors", F.lit(0)), F.lit(0), F.col("kind"), F.col("rel_path").rlike(r"\.pyi?w?$"), F.lit(False))
     return locate.mapping_stats(f.select(status.alias("status")))
 
 
@@ -426,8 +428,13 @@ WHERE package IS NOT NULL AND regexp_matches(trim(fixed_in), '^[0-9]+(\\.[0-9]+)
     "node_snippets": f"""WITH {_SRC}, {_N}, x AS (SELECT DISTINCT n.repo, n.node_id, array_to_string(string_split(s.content, chr(10))[n.start_line:least(n.end_line, n.start_line + 59)], chr(10)) AS t
   FROM n JOIN src s ON s.repo = n.repo AND s.rel_path = n.file_path WHERE n.kind <> 'file' AND s.content IS NOT NULL) SELECT repo, node_id, sha256(t) AS snippet_hash, CAST(length(t) AS INTEGER) AS n_chars FROM x""",
     "finding_nodes": f"WITH {_AT} SELECT finding_id, node_id FROM located",
-    "mapping_stats": f"""WITH {_AT}, s AS (SELECT CASE WHEN f.package IS NOT NULL THEN 'pu' WHEN NOT regexp_matches(f.rel_path, '\\.pyi?w?$') THEN 'np' WHEN l.node_id IS NOT NULL THEN 'm' ELSE 'u' END AS st FROM f LEFT JOIN located l USING (finding_id))
-SELECT count(*) AS total, count(*) FILTER (WHERE st = 'm') AS mapped, count(*) FILTER (WHERE st <> 'np') AS mappable, CASE WHEN mappable = 0 THEN 1.0 ELSE mapped / mappable END AS ratio FROM s""",
+    "mapping_stats": f"""WITH {_AT}, u AS (SELECT DISTINCT repo FROM edges WHERE lower(trim(kind)) = 'imports' AND NOT resolved AND src_id IS NOT NULL),
+s AS (SELECT CASE WHEN f.package IS NOT NULL AND u.repo IS NOT NULL THEN 'to_package' WHEN f.package IS NOT NULL THEN 'dependency_unknown' WHEN NOT regexp_matches(f.rel_path, '\\.pyi?w?$') THEN 'non_python'
+    WHEN k.kind = 'file' THEN 'to_file' WHEN k.kind IS NOT NULL THEN 'to_def' ELSE 'unmapped' END AS st
+  FROM f LEFT JOIN located l USING (finding_id) LEFT JOIN (SELECT DISTINCT repo, node_id, kind FROM n) k ON k.repo = f.repo AND k.node_id = l.node_id LEFT JOIN u ON u.repo = f.repo)
+SELECT count(*) AS total, {", ".join(f"count(*) FILTER (WHERE st = '{x}') AS {x}" for x in locate.STATUSES)},
+  count(*) FILTER (WHERE st IN ('to_def', 'to_file', 'to_package', 'via_dependency')) AS mapped, count(*) FILTER (WHERE st NOT IN ('non_python', 'unused_dependency', 'dependency_unknown')) AS mappable,
+  CASE WHEN mappable = 0 THEN 1.0 ELSE mapped / mappable END AS ratio FROM s""",
     "scanner_groups": f"""WITH {_F} SELECT CASE WHEN package IS NOT NULL THEN 'pkg:' || repo || '/' || package || '@' || coalesce(package_version, '') ELSE repo || '/' || rel_path END AS anchor,
   CASE WHEN package IS NOT NULL THEN rule_id ELSE coalesce(cwe, source || ':' || rule_id) END AS weakness, CAST(CASE WHEN package IS NOT NULL THEN 0 ELSE line END AS INTEGER) AS line, count(*) AS n, min(finding_id) AS first_id FROM f GROUP BY 1, 2, 3""",
     "finding_identities": f"""WITH {_F} SELECT finding_id AS row_id, CASE WHEN package IS NOT NULL THEN sha256(concat_ws(chr(31), source, rule_id, lower(regexp_replace(package, '[-_.]+', '-', 'g')), coalesce(package_version, '')))
@@ -496,7 +503,7 @@ FROM (SELECT x.category, x.src, x.dst, bool_or(x.e) AS e, bool_or(x.t) AS t, x.d
 c AS (SELECT name, parent FROM req UNION SELECT c.name, r.parent FROM c JOIN req r ON r.name = c.parent) SELECT name, parent FROM c""",
     "deps_urgency": f"""WITH {_F}, r AS (SELECT lower(regexp_replace(package, '[-_.]+', '-', 'g')) AS package, package_version, rule_id, CASE lower(trim(severity)) WHEN 'critical' THEN 3 WHEN 'low' THEN 1 WHEN 'medium' THEN 1 WHEN 'high' THEN 1 ELSE 2 END AS k,
   coalesce(regexp_matches(trim(fixed_in), '^[0-9]'), FALSE) AS fixed FROM f WHERE package IS NOT NULL)
-SELECT package, package_version, count(DISTINCT rule_id) AS n_advisories, count(*) FILTER (WHERE NOT fixed) AS unfixed, CASE max(k) WHEN 3 THEN 'reachable' WHEN 2 THEN 'unknown' ELSE 'unreachable' END AS worst,
+SELECT package, package_version, count(DISTINCT rule_id) AS n_advisories, count(DISTINCT rule_id) - count(DISTINCT rule_id) FILTER (WHERE fixed) AS unfixed, CASE max(k) WHEN 3 THEN 'reachable' WHEN 2 THEN 'unknown' ELSE 'unreachable' END AS worst,
   CASE max(k) WHEN 3 THEN 'urgent' WHEN 2 THEN 'check' ELSE 'routine' END AS urgency FROM r GROUP BY 1, 2""",
     "verdict_parse": "SELECT * FROM (VALUES (1, 'real', 0.9::DOUBLE), (2, 'false_positive', 1.0), (3, 'needs_review', 0.25), (4, 'needs_review', 0.0), (5, 'needs_review', 0.5), (6, 'needs_review', 0.5), (7, 'real', 0.5)) AS t(id, verdict, confidence)",
 }
