@@ -8,7 +8,7 @@ from tracelake.plans import registry
 
 NODES = "repo string, node_id string, kind string, qualified_name string, file_path string, start_line int, end_line int, source_hash string, ordinal int"
 EDGES = "repo string, src_id string, dst_id string, kind string, resolved boolean, ordinal bigint"
-FINDINGS = "finding_id bigint, repo string, source string, rule_id string, rel_path string, line int, raw_severity string, severity string, cwe string, message string, package string, package_version string, fixed_in string, aliases array<string>, scan_ordinal bigint"
+FINDINGS = "finding_id bigint, repo string, source string, rule_id string, rel_path string, line int, raw_severity string, severity string, cwe string, message string, package string, package_version string, fixed_in string, aliases array<string>, scan_ordinal bigint, reported_at timestamp"
 FILES = "file_id bigint, repo string, rel_path string, content string, loaded_at timestamp"
 APP = "import wares\n@app.route('/')\ndef home():\n    return work()\ndef work():\n    return sink()\ndef sink():\n    return 1\ndef idle():\n    return 2\n"
 HOME, WORK, SINK, IDLE = (f"a.py::{n}::L{i}" for n, i in (("home", 3), ("work", 5), ("sink", 7), ("idle", 9)))
@@ -22,7 +22,7 @@ def small(spark, tmp_path_factory):
     nodes = [(r, i, k, q, "a.py", a, b, "h", o) for r in ("one", "two") for o, (i, k, q, a, b) in enumerate(spans)]
     edges = [("one", HOME, WORK, "calls", True, 1), ("one", WORK, SINK, " CALLS", True, 2), ("one", HOME, "unknown::get", "calls", True, 3), ("two", HOME, WORK, "calls", True, 4), ("two", WORK, "unknown::get", "calls", False, 5), ("two", "unknown::get", SINK, "calls", True, 6)]
     finding = [(1, "one", 8, None), (2, "one", 10, None), (3, "two", 8, None), (4, "one", 4, None), (5, "one", None, "wares"), (6, "two", None, "absent")]
-    findings = [(i, r, "bandit", "R", "a.py", n, "HIGH", "high", None, "m", p, None, None, None, i) for i, r, n, p in finding]
+    findings = [(i, r, "bandit", "R", "a.py", n, "HIGH", "high", None, "m", p, None, None, None, i, None) for i, r, n, p in finding]
     day = datetime.datetime(2026, 1, 1)
     files = [(1, "one", "a.py", APP, day), (2, "two", "a.py", APP.replace("@app.route('/')\n", "\n").replace("import wares", ""), day)]
     for name, rows, schema in (("nodes", nodes, NODES), ("edges", edges, EDGES), ("raw_findings", findings, FINDINGS), ("source_files", files, FILES)):
