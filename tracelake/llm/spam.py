@@ -320,17 +320,41 @@ def robust_models(table: DataFrame) -> Models | None:
 
 
 _SCORES = "doc_id {kind}, group string, " + ", ".join(f"{c} double" for c in FEATURES) + ", distance double, spamward double, share double"
+#: Ids of candidates that are sent to every task; more are joined by shuffling.
+MOST_BROADCAST = 1_000_000
+
+
+def _candidates(table: DataFrame, models: Models) -> DataFrame:
+    """``(doc_id)`` of the rows of a feature table that are candidates."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for i, group, *f in zip(b["doc_id"], b["group"], *(b[c] for c in FEATURES), strict=True):
+                distance, spamward = models.measure(group, f)
+                if distance > CUTOFF and spamward > 0:
+                    keep.append(i)
+            yield pd.DataFrame({"doc_id": keep}).astype(b.dtypes["doc_id"])
+
+    return table.mapInPandas(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}")
 
 
 def score(docs: DataFrame, candidates_only: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Features, ``distance``, ``spamward`` and ``share`` of each text that is not blank.
 
     ``share`` is worked out for candidates only: robust outliers (squared distance over ``CUTOFF``) that lie in a spam
-    direction; others have null. Texts are read twice, for the models and to be measured, and never move.
+    direction; others have null. Texts are read twice, for the models and to be measured. With ``candidates_only`` the second
+    time takes only texts whose id is that of a candidate; the ids go to every task, or, if there are more than
+    ``MOST_BROADCAST``, are joined by shuffling.
     """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    models = robust_models(cut(feature_table(docs, key, text)))
+    table = cut(feature_table(docs, key, text))
+    models = robust_models(table)
+    source = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "doc_id")
+    if candidates_only and models:
+        ids = cut(_candidates(table, models).distinct())
+        source = source.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -344,8 +368,7 @@ def score(docs: DataFrame, candidates_only: bool = False, key: str = "doc_id", t
                         out.append((i, *f, round(distance, 6), round(spamward, 6), round(spam_share(t), 6) if candidate else None))
             yield pd.DataFrame(out, columns=["doc_id", "group", *FEATURES, "distance", "spamward", "share"]).astype({"share": float})
 
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    scored = spread(source, "doc_id").mapInPandas(run, _SCORES.format(kind=kind))
+    scored = source.mapInPandas(run, _SCORES.format(kind=kind))
     return scored.withColumn("share", F.when(~F.isnan("share"), F.col("share")))
 
 
