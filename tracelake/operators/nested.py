@@ -221,6 +221,48 @@ def label_documents(docs: DataFrame, levels=REPORT_LEVELS) -> DataFrame:
     return docs.select("doc_id", "body").mapInPandas(run, NODE_SCHEMA)
 
 
+_LISTS = ("packages", "groups", "vulnerabilities", "ids", "aliases", "affected", "ranges", "events", "cwe_ids")
+
+
+def _plain(value):
+    """A report's part with arrays where arrays belong, without null elements, a package by its name as an object."""
+    if isinstance(value, list):
+        return [_plain(x) for x in value if x is not None]
+    if not isinstance(value, dict):
+        return value
+    out = {}
+    for k, x in value.items():
+        if x is None:
+            continue
+        if k in _LISTS:
+            x = _many(x)
+        if k == "package" and isinstance(x, str):
+            x = {"name": x}
+        if k == "packages":
+            x = [{"package": {"name": p}} if isinstance(p, str) else p for p in x]
+        out[k] = _plain(x)
+    return out
+
+
+def plain_reports(docs: DataFrame, root_key: str = "results") -> DataFrame:
+    """``(doc_id, body)``: each report as one object with its ``root_key`` on top, in the plain layout; others give no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, body in zip(batch["doc_id"], batch["body"], strict=True):
+                try:
+                    root = find_key(parse_json(body), root_key)
+                    if root is not None:
+                        out.append((doc_id, as_text({root_key: _plain(_many(root[root_key]))})))
+                except (ValueError, RecursionError):  # deeper than any report's own levels
+                    continue
+            yield pd.DataFrame(out, columns=["doc_id", "body"])
+
+    ship(docs.sparkSession)
+    return docs.select("doc_id", "body").mapInPandas(run, "doc_id bigint, body string")
+
+
 def node_table(nodes: DataFrame, entity: str) -> DataFrame:
     """The flat table of one entity."""
     return nodes.where(F.col("entity") == entity).drop("entity")

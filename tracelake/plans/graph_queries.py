@@ -263,6 +263,15 @@ JOIN links e ON e.src_id = h.src_id AND e.dst_id = h.dst_id GROUP BY 1, 2, 3, 4"
 LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a) r ON r.a = i.x GROUP BY i.x""",
         "reach AS (SELECT src_id AS a, dst_id AS b FROM calls UNION SELECT r.a, c.dst_id FROM reach r JOIN calls c ON c.src_id = r.b)",
     ),
+    "scc_levels": P.sql(
+        "SELECT m.x AS node, m.c AS component, CAST(max(l.l) AS INTEGER) AS level FROM member m JOIN lv l ON l.c = m.c GROUP BY 1, 2",
+        "own AS MATERIALIZED (SELECT DISTINCT node_id FROM defs WHERE kind <> 'file')",
+        "inner_calls AS MATERIALIZED (SELECT DISTINCT src_id AS a, dst_id AS b FROM calls WHERE src_id <> dst_id AND src_id IN (SELECT node_id FROM own) AND dst_id IN (SELECT node_id FROM own))",
+        "reach AS (SELECT a, b FROM inner_calls UNION SELECT r.a, c.b FROM reach r JOIN inner_calls c ON c.a = r.b)",
+        "member AS MATERIALIZED (SELECT o.node_id AS x, coalesce(least(o.node_id, min(r.b)), o.node_id) AS c FROM own o LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a) r ON r.a = o.node_id GROUP BY o.node_id)",
+        "between AS MATERIALIZED (SELECT DISTINCT p.c AS a, q.c AS b FROM inner_calls i JOIN member p ON p.x = i.a JOIN member q ON q.x = i.b WHERE p.c <> q.c)",
+        "lv AS (SELECT DISTINCT c, 0 AS l FROM member UNION SELECT t.a, lv.l + 1 FROM lv JOIN between t ON t.b = lv.c)",
+    ),
     "innermost_span_first": _span("ASC"),
     "innermost_span_last": _span("DESC"),
     "dedupe_groups": P.sql("SELECT anchor, weakness, line, array_to_string(members, ',') AS members, n_sources FROM groups", _GROUPS),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.core import table
 from tracelake.functions import scalar as S
-from tracelake.operators import deps, evaluate, extract, incremental, locate, reach, report, resolve, triage
+from tracelake.operators import deps, evaluate, extract, incremental, locate, nested, reach, report, resolve, triage
 from tracelake.operators import graph as G
 from tracelake.plans import graph_queries as GQ
 from tracelake.plans import code_graph as P
@@ -362,9 +362,9 @@ def verdict_parse(spark, sf_dir) -> DataFrame:
 
 
 def osv_raw_findings(spark, sf_dir) -> DataFrame:
-    """Dependency findings of the reports that have the plain layout."""
-    r = table(spark, sf_dir, "osv_reports").where(F.col("report").isNotNull()).groupBy("report_id").agg(F.max(F.struct("loaded_at", "report")).alias("b"))
-    return reports.osv(r.select(F.col("b.report").alias("body"))).select("rule_id", "package", "package_version", "severity", "cwe", "fixed_in", "rel_path")
+    """Dependency findings of all reports, in whatever wrapping they hold their results."""
+    r = nested.latest(table(spark, sf_dir, "osv_reports"), "report_id", "loaded_at", "report")
+    return reports.osv(nested.plain_reports(r).select("body")).select("rule_id", "package", "package_version", "severity", "cwe", "fixed_in", "rel_path")
 
 
 def report_json(spark, sf_dir) -> DataFrame:
@@ -505,5 +505,11 @@ c AS (SELECT name, parent FROM req UNION SELECT c.name, r.parent FROM c JOIN req
   coalesce(regexp_matches(trim(fixed_in), '^[0-9]'), FALSE) AS fixed FROM f WHERE package IS NOT NULL)
 SELECT package, package_version, count(DISTINCT rule_id) AS n_advisories, count(DISTINCT rule_id) - count(DISTINCT rule_id) FILTER (WHERE fixed) AS unfixed, CASE max(k) WHEN 3 THEN 'reachable' WHEN 2 THEN 'unknown' ELSE 'unreachable' END AS worst,
   CASE max(k) WHEN 3 THEN 'urgent' WHEN 2 THEN 'check' ELSE 'routine' END AS urgency FROM r GROUP BY 1, 2""",
+    "verdict_cache_join": f"""WITH {_F}, p AS (SELECT finding_id, coalesce(contains(message, 'session'), FALSE) AS seen, concat_ws(chr(10), 'finding: ' || concat_ws(' | ', source, rule_id, coalesce(cwe, 'no weakness')),
+    'severity: ' || coalesce(raw_severity, ''), 'message: ' || coalesce(message, ''), 'target: ', 'code: ', 'path: ', 'callers: ', 'module: ',
+    'question: ' || CASE cwe {" ".join(f"WHEN '{w}' THEN '{t}'" for w, t in triage.FOCUS.items() if w)} ELSE '{triage.FOCUS[""]}' END) AS prompt FROM f),
+k AS (SELECT finding_id, prompt IN (SELECT prompt FROM p WHERE seen) AS cached, regexp_matches(lower(prompt), 'sanitize|escaped|parameterized|constant') AS safe, regexp_matches(lower(prompt), 'request|user input|untrusted|remote') AS open FROM p)
+SELECT finding_id, CASE WHEN cached THEN 'real' WHEN safe THEN 'false_positive' WHEN open THEN 'real' ELSE 'needs_review' END AS verdict,
+  CAST(CASE WHEN cached THEN 0.7 WHEN safe THEN 0.8 WHEN open THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN cached THEN 'cached' ELSE 'called' END AS how FROM k""",
     "verdict_parse": "SELECT * FROM (VALUES (1, 'real', 0.9::DOUBLE), (2, 'false_positive', 1.0), (3, 'needs_review', 0.25), (4, 'needs_review', 0.0), (5, 'needs_review', 0.5), (6, 'needs_review', 0.5), (7, 'real', 0.5)) AS t(id, verdict, confidence)",
 }
