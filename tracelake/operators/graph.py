@@ -159,17 +159,14 @@ def degrees(edges: DataFrame, kinds: tuple[str, ...] = ("calls", "inherits")) ->
 ONE_TASK = 200_000
 
 
-def _walked_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of two nodes or more by one depth-first walk, with a stack of its own instead of calls."""
-    down: dict = {}
-    for b in batches:
-        for a, c in zip(b["src_id"], b["dst_id"], strict=True):
-            down.setdefault(a, []).append(c)
+def walked(down: dict) -> dict:
+    """The component of each node of a component of two nodes or more, named by its least node; ``down`` maps a node to
+    those its edges lead to. One depth-first walk, with a stack of its own instead of calls."""
     number: dict = {}
     low: dict = {}
     open_: list = []
     inside: set = set()
-    out = []
+    out: dict = {}
     for first in sorted(down):
         if first in number:
             continue
@@ -200,9 +197,16 @@ def _walked_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
                     del open_[at:]
                     inside.difference_update(members)
                     if len(members) > 1:
-                        name = min(members)
-                        out.extend((m, name) for m in members)
-    yield pd.DataFrame(out, columns=["node", "component"])
+                        out.update(dict.fromkeys(members, min(members)))
+    return out
+
+
+def _walked_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    down: dict = {}
+    for b in batches:
+        for a, c in zip(b["src_id"], b["dst_id"], strict=True):
+            down.setdefault(a, []).append(c)
+    yield pd.DataFrame(list(walked(down).items()), columns=["node", "component"])
 
 
 def components(graph: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.core import cores, cut, ship
-from tracelake.operators.graph import components
+from tracelake.operators.graph import components, walked
 
 #: Rows of one partition-local disjoint set.
 LOCAL_ROWS = 200_000
@@ -236,6 +236,7 @@ class Behind:
     amounts: DataFrame
     trees: DataFrame
     tainted: DataFrame
+    overlap: bool  # whether trees may be reached in several ways
 
 
 _KEY = "\x1f"
@@ -249,6 +250,16 @@ def _behind(f: Forest) -> Behind:
     ends = ends.join(f.local.select("scope", F.col("child").alias("node"), "top"), ["scope", "node"], "left").withColumn("top", F.coalesce("top", "node"))
     ends = ends.join(f.tops.select("scope", F.col("node").alias("top"), "root"), ["scope", "top"]).select("scope", F.col("node").alias("parent"), "root")
     links = cut(f.cuts.join(ends, ["scope", "parent"]).select("scope", "parent", "root", "child", key("root").alias("a"), key("child").alias("b")))
+    tainted = f.cuts.select("scope", F.col("child").alias("root")).distinct()
+    if links.count() <= LOCAL_ROWS:
+        n = F.lit(0).cast("bigint")
+        roots = links.select("scope", F.explode(F.array("root", "child")).alias("root")).distinct()
+        sizes = f.tops.where("top is null").select("scope", F.col("node").alias("root"), (F.col("total") + 1).alias("n")).join(roots, ["scope", "root"], "left_semi")
+        rows = links.select("scope", "parent", "root", "child", n.alias("n")).unionByName(sizes.select("scope", F.lit(None).cast("string").alias("parent"), "root", F.lit(None).cast("string").alias("child"), "n"))
+        solved = cut(rows.coalesce(1).mapInPandas(_behind_local, "kind string, scope string, node string, extra bigint, loops bigint, reach bigint"))
+        if solved.where("kind = 'overlap'").isEmpty():
+            amounts = solved.where("kind = 'amount'").select("scope", "node", "extra", "loops")
+            return Behind(amounts, solved.where("kind = 'tree'").select("scope", F.col("node").alias("root"), "reach"), tainted, False)
     size = f.tops.where("top is null").select(key("node").alias("node"), "scope", F.col("node").alias("root"), (F.col("total") + 1).alias("n"))
     member = components(links.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id")))
     names = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -269,7 +280,56 @@ def _behind(f: Forest) -> Behind:
         F.sum(F.when(F.col("inside"), 0).otherwise(F.col("reach"))).alias("extra"), F.count_if("inside").alias("loops")
     )
     trees = member.join(reach, "component").select("scope", "root", "reach")
-    return Behind(cut(amounts), cut(trees), f.cuts.select("scope", F.col("child").alias("root")).distinct())
+    return Behind(cut(amounts), cut(trees), tainted, True)
+
+
+def _behind_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What ``_behind`` works out, for the cuts of one task: components of trees by one walk, sums up the trees between them.
+
+    A component that two cuts lead into is told by a row of kind overlap alone.
+    """
+    cuts, size = [], {}
+    for b in batches:
+        for scope, parent, root, child, n in zip(*(b[c] for c in ("scope", "parent", "root", "child", "n")), strict=True):
+            if child is None:
+                size[scope, root] = int(n)
+            else:
+                cuts.append(((scope, parent), (scope, root), (scope, child)))
+    down: dict = {}
+    for _, a, b in cuts:
+        down.setdefault(a, []).append(b)
+    member = walked(down)
+    whole: dict = {}
+    for t, n in size.items():
+        c = member.get(t, t)
+        whole[c] = whole.get(c, 0) + n
+    above: dict = {}
+    columns = ["kind", "scope", "node", "extra", "loops", "reach"]
+    for _, a, b in cuts:
+        ca, cb = member.get(a, a), member.get(b, b)
+        if ca != cb:
+            if cb in above:
+                yield pd.DataFrame([("overlap", None, None, 0, 0, 0)], columns=columns)
+                return
+            above[cb] = ca
+    depth: dict = {}
+    for c in whole:
+        way = [c]
+        while way[-1] in above and way[-1] not in depth:
+            way.append(above[way[-1]])
+        at = depth.setdefault(way[-1], 0)
+        for x in reversed(way[:-1]):
+            at = depth[x] = at + 1
+    for c in sorted(above, key=lambda c: depth[c], reverse=True):
+        whole[above[c]] += whole[c]
+    amounts: dict = {}
+    for p, a, b in cuts:
+        ca, cb = member.get(a, a), member.get(b, b)
+        m = amounts.setdefault(p, [0, 0])
+        m[0] += 0 if ca == cb else whole[cb]
+        m[1] += ca == cb
+    out = [("amount", *p, e, n, 0) for p, (e, n) in amounts.items()] + [("tree", *t, 0, 0, whole[member.get(t, t)]) for t in size]
+    yield pd.DataFrame(out, columns=columns)
 
 
 def _closure(edges: DataFrame) -> DataFrame:
@@ -290,6 +350,8 @@ def _overlapping(f: Forest, b: Behind) -> DataFrame | None:
     There the same nodes are reached in several ways, so they are counted apart: from each node above such a link to the
     trees behind it. Null where no node has two such parents, which is what a hierarchy with nothing but loops wrong has.
     """
+    if not b.overlap:
+        return None
     way = f.cuts.groupBy("scope", "child").agg(F.count("*").alias("n"))
     looped = b.amounts.where("loops > 0").select("scope", F.col("node").alias("parent"))
     free = f.cuts.join(looped, ["scope", "parent"], "left_anti").groupBy("scope", "child").agg(F.count("*").alias("n")).where("n > 1")
