@@ -6,12 +6,14 @@ import json
 import tomllib
 from pathlib import Path
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.core import ship
 from tracelake.functions import scalar as S
-from tracelake.sources.reports import skipped
+from tracelake.sources.reports import SKIPPED, skipped
 
 PYTHON = "*.[pP][yY]{,w,W,i,I}"
 
@@ -28,10 +30,39 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     # A file scan passes over empty files; the scan's own listing has them.
     listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string").select(local.alias("path"))
     empty = listed.join(raw.select("path"), "path", "left_anti").withColumn("content", F.lit(""))
-    files = raw.unionByName(empty).select(S.relative_path("path", root).alias("rel_path"), "content").where(~skipped("rel_path"))
+    files = raw.unionByName(empty).unionByName(_hidden(spark, root)).select(S.relative_path("path", root).alias("rel_path"), "content").where(~skipped("rel_path"))
     return inventory(files)
 
 
+def _hidden(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, content)`` of Python files that a file scan passes over, as they or a folder of theirs begin with ``_`` or ``.``;
+    ``__init__.py`` is one. Their names are listed on the driver, as those of a scan are; executors read them."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    top = system.makeQualified(at).toString().rstrip("/") + "/"
+    found = []
+    if system.exists(at):
+        listing = system.listFiles(at, True)
+        while listing.hasNext():
+            path = listing.next().getPath().toString()
+            parts = path.removeprefix(top).split("/")
+            if parts[-1].lower().endswith((".py", ".pyw", ".pyi")) and any(x.startswith(("_", ".")) for x in parts) and not set(parts[:-1]) & set(SKIPPED):
+                found.append((path,))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                store, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                with store.open_input_stream(name) as f:
+                    rows.append((path, f.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    texts = spark.createDataFrame(found, "path string").mapInPandas(run, "path string, content string")
+    return texts.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+
+
 def inventory(files: DataFrame) -> DataFrame:
     """``files(rel_path, content, ...)`` with its hash and number of lines (0 if empty)."""
     lines = F.when(F.length("content") > 0, F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
