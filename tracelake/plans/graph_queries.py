@@ -209,7 +209,7 @@ QUERIES = {
 }
 
 _RANK = "CASE reachable WHEN 'reachable' THEN 3 WHEN 'unknown' THEN 2 ELSE 1 END"
-_SEVERITY = "CASE raw_severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 ELSE 2 END"
+_SEVERITY = "CASE raw_severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 WHEN 'INFO' THEN 1 ELSE 0 END"
 _EVIDENCE = (P.GOOD, P.FAR, P.PAIRS, P.EVIDENCE)
 
 
