@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.core import cut
+
 COVERAGE_FLOOR = 0.60
 GAIN, RECALL = 3.0, 0.85
 
@@ -165,9 +167,21 @@ def recall_of_traces(observed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, scope: str, order: str, cost: str, limit: int) -> DataFrame:
-    """``rows`` with ``spent`` before each and whether it still runs: once the limit is reached, nothing more does."""
-    w = Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("spent", F.coalesce(F.sum(cost).over(w), F.lit(0))).withColumn("runs", F.col("spent") < limit)
+    """``rows`` with ``spent`` before each and whether it still runs: once the limit is reached, nothing more does.
+
+    ``order`` tells the rows of a scope apart. Rows are cut into even ranges of (scope, order), whatever the scope, so that a
+    scope with most rows is no single task: the sum before a row is that of its scope's ranges before and of what
+    precedes it in its own.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    here = cut(rows.repartitionByRange(parts, scope, order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy(scope, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = here.groupBy(scope, "_part").agg(F.sum(cost).alias("_total"))
+    earlier = Window.partitionBy(scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = totals.select(F.col(scope).alias("_scope"), F.col("_part").alias("_p"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    j = here.join(before, here[scope].eqNullSafe(before["_scope"]) & (here["_part"] == before["_p"]))
+    spent = F.coalesce(F.sum(cost).over(own), F.lit(0)) + F.col("_before")
+    return j.withColumn("spent", spent).withColumn("runs", F.col("spent") < limit).drop("_part", "_scope", "_p", "_before")
 
 
 def case_gate(passed: DataFrame, coverage: float, floor: float = 0.80) -> DataFrame:
