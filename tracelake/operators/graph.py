@@ -87,13 +87,57 @@ def _frontier_search(edges: DataFrame, start: DataFrame, keys: list[str], take=N
     return seen
 
 
-_NO_PATH = "array<string>"
+_NO_PATH = "array<bigint>"
+
+
+def numbering(graph: DataFrame, more: DataFrame) -> DataFrame:
+    """``(node, id)``: every end of an edge and every ``more(node_id)`` with a number, in text order.
+
+    Searches move numbers, not names: a row of a pair is a few bytes, and paths compare by number as they do by name. The
+    numbers come from a sort by ranges, the range in the upper bits, so that no task counts all.
+    """
+    names = graph.select(F.explode(F.array("src_id", "dst_id")).alias("node")).unionByName(more.select(F.col("node_id").alias("node"))).where("node is not null").distinct()
+    return cut(names.orderBy("node").select("node", F.monotonically_increasing_id().alias("id")))
+
+
+def in_numbers(graph: DataFrame, ids: DataFrame) -> DataFrame:
+    """``graph`` with numbers for names at both ends."""
+    a, b = (ids.select(F.col("node").alias(e), F.col("id").alias(f"_{e}")) for e in ("src_id", "dst_id"))
+    j = graph.join(a, "src_id").join(b, "dst_id")
+    return j.select(F.col("_src_id").alias("src_id"), F.col("_dst_id").alias("dst_id"), *(c for c in graph.columns if c not in ("src_id", "dst_id")))
+
+
+def in_names(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with names for numbers in ``columns``."""
+    for c in columns:
+        rows = rows.join(ids.select(F.col("id").alias(c), F.col("node").alias("_name")), c).drop(c).withColumnRenamed("_name", c)
+    return rows
+
+
+def named_paths(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``(key, path)`` with names in the paths of ``rows(key, path)``."""
+    names = ids.select(F.col("id").alias("_id"), F.col("node").alias("_name"))
+    steps = rows.select(key, F.posexplode("path").alias("_at", "_id")).join(names, "_id")
+    whole = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_name"))).alias("_p"))
+    return whole.select(key, F.transform("_p", lambda x: x["_name"]).alias("path"))
 
 
 def reach_pairs(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(seed, node, depth)``: least number of steps from each seed to every node it reaches, itself included at 0."""
-    start = seeds.select(F.col("node_id").alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(None).cast(_NO_PATH).alias("path"))
-    return _frontier_search(graph.select("src_id", "dst_id").distinct(), start, ["seed", "node"]).select("seed", "node", "depth")
+    ids = numbering(graph, seeds)
+    found = _pairs(graph, seeds, ids)
+    return in_names(found, ids, "seed", "node").select("seed", "node", "depth")
+
+
+def _pairs(graph: DataFrame, seeds: DataFrame, ids: DataFrame) -> DataFrame:
+    start = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(None).cast(_NO_PATH).alias("path"))
+    return _frontier_search(in_numbers(graph.select("src_id", "dst_id").distinct(), ids), start, ["seed", "node"])
+
+
+def blast_radii(graph: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(node, blast)``: how many seeds reach each node, counted before names come back."""
+    ids = numbering(graph, seeds)
+    return in_names(blast_radius(_pairs(graph, seeds, ids)), ids, "node").select("node", "blast")
 
 
 def shortest_paths(graph: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -101,32 +145,39 @@ def shortest_paths(graph: DataFrame, seeds: DataFrame) -> DataFrame:
 
     A node is settled once, at its least depth, so a round holds one path a node and work is linear in the edges.
     """
-    start = seeds.select(F.col("node_id").alias("node")).distinct().select("node", F.array("node").alias("path"))
-    return _frontier_search(graph.select("src_id", "dst_id").distinct(), start, ["node"])
+    ids = numbering(graph, seeds)
+    start = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("node"), F.array("id").alias("path"))
+    found = _frontier_search(in_numbers(graph.select("src_id", "dst_id").distinct(), ids), start, ["node"])
+    paths = named_paths(found, ids, "node")
+    return in_names(found.select("node", "depth").join(paths, "node"), ids, "node").select("node", "depth", "path")
 
 
 def reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node_id)``: what any of ``seeds(node_id)`` reaches, itself included."""
-    start = seeds.select(F.col("node_id").alias("node")).distinct().select("node", F.lit(None).cast(_NO_PATH).alias("path"))
-    return _frontier_search(graph.select("src_id", "dst_id").distinct(), start, ["node"]).select(F.col("node").alias("node_id"))
+    ids = numbering(graph, seeds)
+    start = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("node"), F.lit(None).cast(_NO_PATH).alias("path"))
+    found = _frontier_search(in_numbers(graph.select("src_id", "dst_id").distinct(), ids), start, ["node"])
+    return in_names(found.select("node"), ids, "node").select(F.col("node").alias("node_id"))
 
 
 GOOD, FAR, PAIR = 0, 1, 2
 
 
-def search(graph: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(layer, seed, node, depth, path)``: three searches in one loop, so that a depth costs one job, not three.
+def search(graph: DataFrame, seeds: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(layer, seed, node, depth, path)`` in numbers: three searches in one loop, so that a depth costs one job, not three.
 
     Layer ``GOOD`` has shortest paths over resolved edges, ``FAR`` over all edges (both without a seed), ``PAIR`` the pairs
-    of a seed and what it reaches over all edges (without a path). ``graph(src_id, dst_id, resolved)``.
+    of a seed and what it reaches over all edges (without a path). ``graph(src_id, dst_id, resolved)``, ``ids`` as from
+    ``numbering``.
     """
-    s = seeds.select(F.col("node_id").alias("node")).distinct()
+    s = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("node"))
     none = F.lit(None).cast(_NO_PATH)
     layers = F.array(
-        *(F.struct(F.lit(x).alias("layer"), (F.col("node") if x == PAIR else F.lit("")).alias("seed"), (none if x == PAIR else F.array("node")).alias("path")) for x in (GOOD, FAR, PAIR))
+        *(F.struct(F.lit(x).alias("layer"), (F.col("node") if x == PAIR else F.lit(-1).cast("bigint")).alias("seed"), (none if x == PAIR else F.array("node")).alias("path")) for x in (GOOD, FAR, PAIR))
     )
     start = s.select("node", F.explode(layers).alias("l")).select("l.layer", "l.seed", "node", "l.path")
-    return _frontier_search(graph.select("src_id", "dst_id", "resolved"), start, ["layer", "seed", "node"], take=(F.col("layer") != GOOD) | F.col("resolved"))
+    edges = in_numbers(graph.select("src_id", "dst_id", "resolved"), ids)
+    return _frontier_search(edges, start, ["layer", "seed", "node"], take=(F.col("layer") != GOOD) | F.col("resolved"))
 
 
 def blast_radius(pairs: DataFrame) -> DataFrame:

@@ -44,16 +44,18 @@ def trace(targets: DataFrame, edges: DataFrame, entry_points: DataFrame) -> Data
     nodes = graph.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct().withColumn("known", F.lit(True))
     t = targets.join(nodes, "node_id", "left").join(untrusted.withColumn("is_entry", F.lit(True)), "node_id", "left")
     if any_untrusted:
-        wanted = targets.select(F.col("node_id").alias("node")).distinct()
-        found = G.cut(G.search(graph, untrusted).join(wanted, "node", "left_semi"))
+        ids = G.numbering(graph, untrusted)
+        wanted = targets.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("node"), F.col("node").alias("node_id"))
+        found = G.cut(G.search(graph, untrusted, ids).join(wanted, "node"))
         good, far, pairs = (found.where(F.col("layer") == x) for x in (G.GOOD, G.FAR, G.PAIR))
         t = (
-            t.join(good.select(F.col("node").alias("node_id"), F.struct(F.size("path").alias("n"), "path").alias("good")), "node_id", "left")
-            .join(far.select(F.col("node").alias("node_id"), F.struct(F.size("path").alias("n"), "path").alias("far")), "node_id", "left")
+            t.join(good.select("node_id", F.struct(F.size("path").alias("n"), "path").alias("good")), "node_id", "left")
+            .join(far.select("node_id", F.struct(F.size("path").alias("n"), "path").alias("far")), "node_id", "left")
         )
-        seeds = targets.join(pairs.select(F.col("node").alias("node_id"), "seed"), "node_id").groupBy("finding_id").agg(F.countDistinct("seed").alias("blast"))
+        seeds = targets.join(pairs.select("node_id", "seed"), "node_id").groupBy("finding_id").agg(F.countDistinct("seed").alias("blast"))
     else:
-        void = F.lit(None).cast("struct<n:int,path:array<string>>")
+        ids = None
+        void = F.lit(None).cast("struct<n:int,path:array<bigint>>")
         t = t.withColumn("good", void).withColumn("far", void)
         seeds = spark.createDataFrame([], "finding_id string, blast bigint")
     # A target that is not in the graph has no paths; nor has one that only an entry point names.
@@ -65,13 +67,19 @@ def trace(targets: DataFrame, edges: DataFrame, entry_points: DataFrame) -> Data
         F.min(F.when(inside, F.col("far"))).alias("far"),
     )
     f = f.join(seeds, "finding_id", "left").withColumn("blast", F.coalesce("blast", F.lit(0)))
+    # Paths are chosen by numbers, which compare as names do; the names of the chosen ones come last.
     none = F.array().cast("array<string>")
+    if ids is not None:
+        f = G.cut(f.withColumn("path", F.coalesce("good.path", "far.path")))
+        f = f.drop("path").join(G.named_paths(f.where("path is not null").select("finding_id", "path"), ids, "finding_id"), "finding_id", "left")
+    else:
+        f = f.withColumn("path", none)
     rules = (
         (F.lit(not any_entry) | ~F.col("inside"), UNKNOWN, none, F.lit(0)),
         (F.lit(not any_untrusted), UNREACHABLE, none, F.lit(0)),
         (F.col("entry").isNotNull(), REACHABLE, F.array("entry"), F.lit(1)),
-        (F.col("good").isNotNull(), REACHABLE, F.col("good.path"), F.col("blast")),
-        (F.col("far").isNotNull(), UNKNOWN, F.col("far.path"), F.col("blast")),
+        (F.col("good").isNotNull(), REACHABLE, F.col("path"), F.col("blast")),
+        (F.col("far").isNotNull(), UNKNOWN, F.col("path"), F.col("blast")),
         (F.lit(True), UNREACHABLE, none, F.lit(0)),
     )
     kind = path = radius = None

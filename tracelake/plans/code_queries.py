@@ -101,7 +101,7 @@ def code_shortest_paths(spark, sf_dir) -> DataFrame:
 
 
 def code_blast_radius(spark, sf_dir) -> DataFrame:
-    return G.blast_radius(G.reach_pairs(_graph(spark, sf_dir), entry_points(spark, sf_dir)))
+    return G.blast_radii(_graph(spark, sf_dir), entry_points(spark, sf_dir))
 
 
 def code_attack_surface(spark, sf_dir) -> DataFrame:

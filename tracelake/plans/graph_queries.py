@@ -43,7 +43,7 @@ def shortest_paths(spark, sf_dir) -> DataFrame:
 
 
 def blast_radius(spark, sf_dir) -> DataFrame:
-    return G.blast_radius(G.reach_pairs(G.full_graph(P.edges(spark, sf_dir)), _untrusted(spark, sf_dir)))
+    return G.blast_radii(G.full_graph(P.edges(spark, sf_dir)), _untrusted(spark, sf_dir))
 
 
 def finding_reachability(spark, sf_dir) -> DataFrame:
