@@ -47,12 +47,12 @@ def test_reachability_of_every_finding(spark, small):
 
 
 def test_graph_of_every_edge(spark, small):
-    assert {(r.node_id, r.degree) for r in run(spark, small, "code_node_degree")} == {
+    assert {(r.node_id, r.degree) for r in run(spark, small, "node_degree")} == {
         (f"one/{HOME}", 2), (f"one/{WORK}", 2), (f"one/{SINK}", 1), ("unknown::one/get", 1), (f"two/{HOME}", 1), (f"two/{WORK}", 2), ("unknown::two/get", 2), (f"two/{SINK}", 1)
     }
     assert {r.node: r.depth for r in run(spark, small, "code_resolved_depth")} == {f"one/{HOME}": 0, f"one/{WORK}": 1, f"one/{SINK}": 2}
     assert len(run(spark, small, "code_reach_pairs")) == 4
-    assert len(run(spark, small, "code_strong_components")) == 8
+    assert len(run(spark, small, "strong_components")) == 8
     assert run(spark, small, "code_attack_surface")[0].asDict() == {"functions": 8, "exposed": 3, "ratio": 0.375}
 
 
@@ -60,5 +60,5 @@ def test_whole_tables(spark, sf_dir):
     """Every finding has a row, every call counts at both ends."""
     findings = spark.read.parquet(f"{sf_dir}/raw_findings.parquet").select("finding_id").distinct().count()
     assert registry.queries()["code_reachability"](spark, sf_dir).count() == findings
-    e = spark.read.parquet(f"{sf_dir}/edges.parquet").where("lower(trim(kind)) in ('calls', 'inherits') and src_id is not null and dst_id is not null and repo is not null")
-    assert registry.queries()["code_node_degree"](spark, sf_dir).agg({"degree": "sum"}).first()[0] == 2 * e.count()
+    e = spark.read.parquet(f"{sf_dir}/edges.parquet").where("lower(trim(kind)) = 'calls' and src_id is not null and dst_id is not null and repo is not null")
+    assert registry.queries()["node_degree"](spark, sf_dir).agg({"degree": "sum"}).first()[0] == 2 * e.count()

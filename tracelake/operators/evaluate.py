@@ -87,6 +87,20 @@ def triage_gate(p: DataFrame) -> DataFrame:
     return j.select(F.when(F.col("n_triage") > 0, gained & kept).alias("passed"))
 
 
+def random_expectation(findings: DataFrame, hit: DataFrame, n: int) -> DataFrame:
+    """What ``n`` findings drawn at random hold on average: true findings, and cases with one of theirs among them.
+
+    A case with m findings is missed if all m are among those left behind, which is a product of m quotients.
+    """
+    total = findings.count()
+    n = min(n, total)
+    k = F.lit(n / total if total else 0.0)
+    missed = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), F.lit(1.0), lambda p, i: p * F.greatest(F.lit(total - n) - i, F.lit(0)) / (F.lit(total) - i))
+    cases = hit.groupBy("case_id").agg(F.countDistinct("finding_id").alias("m")).agg(F.round(F.coalesce(F.sum(1 - missed), F.lit(0.0)), 6).alias("expected_cases_hit"))
+    true = hit.select("finding_id").distinct().agg(F.round(F.count("*") * k, 6).alias("expected_true_pos"))
+    return true.withColumn("k", F.lit(1)).join(cases.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
+
+
 def random_baseline(findings: DataFrame, hit: DataFrame, n: int, draws: int = 1000, seed: int = 7) -> DataFrame:
     """Mean true findings and mean cases hit among ``n`` findings drawn at random, and the expected true findings.
 

@@ -117,24 +117,6 @@ def code_path_hops(spark, sf_dir) -> DataFrame:
     return G.path_hops(G.shortest_paths(G.full_graph(e), entry_points(spark, sf_dir)), e)
 
 
-def code_node_degree(spark, sf_dir) -> DataFrame:
-    return G.degrees(edges(spark, sf_dir))
-
-
-def code_callers(spark, sf_dir) -> DataFrame:
-    found = G.predecessors(calls(spark, sf_dir), nodes(spark, sf_dir))
-    return found.select("node_id", F.array_join("callers", ",").alias("callers"))
-
-
-def code_strong_components(spark, sf_dir) -> DataFrame:
-    return G.components(calls(spark, sf_dir))
-
-
-def code_scc_levels(spark, sf_dir) -> DataFrame:
-    """Components and callee-first levels of the call graph."""
-    return G.callee_first(calls(spark, sf_dir), nodes(spark, sf_dir).where("kind <> 'file'"))
-
-
 def code_package_in_use(spark, sf_dir) -> DataFrame:
     """The dependency findings alone: class, path and blast radius."""
     f = findings(spark, sf_dir).where("package is not null").select("finding_id")
@@ -156,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_reachability, code_reachability_counts, code_ranked_topk, code_worst_by_file, code_reach_pairs, code_resolved_depth, code_shortest_paths, code_blast_radius, code_attack_surface, code_path_hops,
-        code_node_degree, code_callers, code_strong_components, code_scc_levels, code_package_in_use, code_miss_classification,
+        code_package_in_use, code_miss_classification,
     )
 }
 

@@ -304,6 +304,11 @@ def random_baseline(spark, sf_dir) -> DataFrame:
     return evaluate.random_baseline(f, h, n=50)
 
 
+def random_expectation(spark, sf_dir) -> DataFrame:
+    f, h, _ = _eval_case(spark, sf_dir)
+    return evaluate.random_expectation(f, h, n=50)
+
+
 def _edge_case(spark, sf_dir):
     """Calls as emitted; true are those that are resolved, and those of a name that one definition of the repository has."""
     repo = F.split_part(F.regexp_replace("src_id", "^unknown::", ""), F.lit("/"), F.lit(1))
@@ -389,7 +394,7 @@ QUERIES = {
         source_inventory, copied_files, severity_bands, primary_ids, upgrade_to, finding_line_text, node_snippets, finding_nodes, mapping_stats, scanner_groups, finding_identities, first_wins_dedupe, finding_search,
         node_search, index_summary, coverage_rates, unknown_hubs, repo_callers, defines_parent, token_budget_running, identifier_extract, content_hash_docs, doc_search, json_props, extracted_nodes, extracted_imports,
         extracted_coverage, extracted_entry_points, extracted_inherits, mro_order, node_diff_counts, rename_pairs, file_change_kinds, path_invalidation, incremental_equals_full,
-        stream_incremental_counts, windowed_events, stream_snapshot_state, prec_recall_by_method, pooled_gate, random_baseline, miss_classification, requires_closure, deps_urgency, verdict_cache_join, verdict_parse,
+        stream_incremental_counts, windowed_events, stream_snapshot_state, prec_recall_by_method, pooled_gate, random_baseline, random_expectation, miss_classification, requires_closure, deps_urgency, verdict_cache_join, verdict_parse,
         osv_raw_findings, report_json, summary_levels,
     )
 }
@@ -489,6 +494,20 @@ UNION SELECT s.finding_id FROM s JOIN (SELECT DISTINCT src_id, dst_id FROM calls
 FROM (SELECT * FROM pool WHERE method = 'reachability') o, (SELECT * FROM pool WHERE method = 'keep_all') b""",
         *_EV, _EVAL, "pool AS (SELECT method, round(sum(true_pos) / nullif(sum(kept), 0), 6) AS precision, round(sum(cases_hit) / nullif(sum(detected), 0), 6) AS recall_retained FROM scores GROUP BY 1)",
     ),
+    "random_expectation": P.sql(
+        """SELECT round((SELECT count(DISTINCT finding_id) FROM hit) * 50 / t.n, 6) AS expected_true_pos,
+  round((SELECT sum(1 - p) FROM (SELECT list_aggregate(list_transform(range(0, m), lambda i: greatest(t.n - 50 - i, 0) / (t.n - i)), 'product') AS p FROM (SELECT case_id, count(DISTINCT finding_id) AS m FROM hit GROUP BY 1))), 6) AS expected_cases_hit
+FROM (SELECT count(*) AS n FROM ev) t""",
+        *_EV, _EVAL,
+    ),
+    "mro_order": """WITH l AS (SELECT concat_ws('/', repo, src_id) AS cls, concat_ws('/', repo, dst_id) AS base, min(ordinal) AS o FROM edges WHERE lower(trim(kind)) = 'inherits' AND src_id IS NOT NULL AND dst_id IS NOT NULL GROUP BY 1, 2)
+SELECT cls, CAST(row_number() OVER (PARTITION BY cls ORDER BY o, base) AS INTEGER) AS position, base FROM l UNION ALL SELECT DISTINCT cls, 0, cls FROM l
+UNION ALL SELECT DISTINCT base, 0, base FROM l WHERE base NOT IN (SELECT cls FROM l)""",  # as no base in the tables has bases of its own
+    "summary_levels": f"""WITH RECURSIVE {_N}, {_E}, own AS MATERIALIZED (SELECT DISTINCT concat_ws('/', repo, node_id) AS x, qualified_name AS q FROM n WHERE kind = 'class'),
+i AS MATERIALIZED (SELECT DISTINCT concat_ws('/', repo, src_id) AS a, concat_ws('/', repo, dst_id) AS b FROM e WHERE kind = 'inherits' AND repo IS NOT NULL AND src_id <> dst_id),
+k AS MATERIALIZED (SELECT a, b FROM i WHERE a IN (SELECT x FROM own) AND b IN (SELECT x FROM own)),
+lv AS (SELECT x, 0 AS l FROM own UNION SELECT k.a, lv.l + 1 FROM lv JOIN k ON k.b = lv.x)
+SELECT o.x AS node_id, CAST(max(lv.l) AS INTEGER) AS level, o.q || ' uses ' || CAST((SELECT count(*) FROM k WHERE k.a = o.x) AS VARCHAR) AS summary FROM own o JOIN lv ON lv.x = o.x GROUP BY o.x, o.q""",
     "miss_classification": P.sql(
         """SELECT coalesce(category, 'TOTAL') AS category, count(*) FILTER (WHERE t AND e) AS tp, count(*) FILTER (WHERE e) AS emitted, count(*) FILTER (WHERE t) AS truth, count(*) FILTER (WHERE t AND NOT e AND NOT nd) AS no_node,
   count(*) FILTER (WHERE t AND NOT e AND nd AND bl) AS unknown, count(*) FILTER (WHERE t AND NOT e AND nd AND NOT bl) AS silent
