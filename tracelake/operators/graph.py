@@ -53,6 +53,7 @@ HOPS = 4
 
 def _frontier_search(edges: DataFrame, start: DataFrame, keys: list[str], take=None, max_depth: int = 100_000) -> DataFrame:
     """``(*keys, depth, path)``: breadth-first search from the rows of ``start(*keys, path)``, a null path stays null.
+    Without a path column there is none, which leaves numbers alone to group by and needs no sorting.
 
     Semi-naive: only rows that are new go on, and an anti join drops what was seen before, so loops end. A round over a
     large frontier is one hop; over a small one it is several hops in one job, after which each key keeps its least depth
@@ -63,7 +64,8 @@ def _frontier_search(edges: DataFrame, start: DataFrame, keys: list[str], take=N
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = cut(edges.repartition(parts, "src_id"))
     group = [k for k in keys if k != "node"]
-    seen = frontier = cut(start.select(*keys, F.lit(0).alias("depth"), "path"))
+    way = ["path"] if "path" in start.columns else []
+    seen = frontier = cut(start.select(*keys, F.lit(0).alias("depth"), *way))
     depth, rounds = 0, 0
     while depth < max_depth:
         size = frontier.count()
@@ -75,11 +77,12 @@ def _frontier_search(edges: DataFrame, start: DataFrame, keys: list[str], take=N
             step = here.join(edges, here["node"] == edges["src_id"])
             if take is not None:
                 step = step.where(take)
-            step = step.select(*group, F.col("dst_id").alias("node"), F.concat("path", F.array("dst_id")).alias("path"))
-            here = step.groupBy(*keys).agg(F.min("path").alias("path")).withColumn("depth", F.lit(depth + h)).select(*keys, "depth", "path")
+            step = step.select(*group, F.col("dst_id").alias("node"), *(F.concat("path", F.array("dst_id")).alias("path") for _ in way))
+            here = step.groupBy(*keys).agg(F.min("path").alias("path")) if way else step.distinct()
+            here = here.withColumn("depth", F.lit(depth + h)).select(*keys, "depth", *way)
             found = here if found is None else found.unionByName(here)
         if hops > 1:
-            found = found.groupBy(*keys).agg(F.min(F.struct("depth", "path")).alias("b")).select(*keys, "b.depth", "b.path")
+            found = found.groupBy(*keys).agg(F.min(F.struct("depth", "path")).alias("b")).select(*keys, "b.*") if way else found.groupBy(*keys).agg(F.min("depth").alias("depth"))
         new = cut(found.join(seen.select(*keys), keys, "left_anti"))
         depth, rounds = depth + hops, rounds + 1
         frontier = new.where(F.col("depth") == depth)
@@ -130,7 +133,7 @@ def reach_pairs(graph: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _pairs(graph: DataFrame, seeds: DataFrame, ids: DataFrame) -> DataFrame:
-    start = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(None).cast(_NO_PATH).alias("path"))
+    start = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("seed"), F.col("id").alias("node"))
     return _frontier_search(in_numbers(graph.select("src_id", "dst_id").distinct(), ids), start, ["seed", "node"])
 
 
@@ -155,7 +158,7 @@ def shortest_paths(graph: DataFrame, seeds: DataFrame) -> DataFrame:
 def reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node_id)``: what any of ``seeds(node_id)`` reaches, itself included."""
     ids = numbering(graph, seeds)
-    start = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("node"), F.lit(None).cast(_NO_PATH).alias("path"))
+    start = seeds.select(F.col("node_id").alias("node")).distinct().join(ids, "node").select(F.col("id").alias("node"))
     found = _frontier_search(in_numbers(graph.select("src_id", "dst_id").distinct(), ids), start, ["node"])
     return in_names(found.select("node"), ids, "node").select(F.col("node").alias("node_id"))
 
