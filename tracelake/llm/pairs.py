@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+import unicodedata
 import warnings
 from collections.abc import Iterator
 
@@ -18,18 +19,25 @@ from tracelake.llm.syntax import pylexer as lex
 from tracelake.llm.syntax.python import problems
 
 TOKENS = "file_id bigint, repo string, rel_path string, i int, k tinyint, line int, w string"
-#: Kinds of tokens. A run of names, numbers and operators that are none of the others is one OTHER.
-OTHER, STRING, NEWLINE, INDENT, DEDENT, END, COMMENT, DEF, CLASS, ASYNC, AT, OPEN, ROUND, CLOSE, COMMA, COLON, SEMICOLON, STAR = range(18)
+#: Kinds of tokens. Names, numbers and operators that are none of the others are OTHER.
+OTHER, STRING, NEWLINE, INDENT, DEDENT, END, COMMENT, DEF, CLASS, ASYNC, AT, OPEN, ROUND, CLOSE, COMMA, COLON, SEMICOLON, STAR, ROUND_CLOSE, LAMBDA, ARROW = range(21)
 _KIND = np.array([{lex.STRING: STRING, lex.NEWLINE: NEWLINE, lex.INDENT: INDENT, lex.DEDENT: DEDENT, lex.END: END}.get(k, OTHER) for k in range(9)], np.int8)
-_WORDS = {"def": DEF, "class": CLASS, "async": ASYNC, "@": AT, "(": ROUND, "[": OPEN, "{": OPEN, ")": CLOSE, "]": CLOSE, "}": CLOSE, ",": COMMA, ":": COLON, ";": SEMICOLON, "*": STAR, "**": STAR}
+_WORDS = {"def": DEF, "class": CLASS, "async": ASYNC, "@": AT, "(": ROUND, "[": OPEN, "{": OPEN, ")": ROUND_CLOSE, "]": CLOSE, "}": CLOSE, ",": COMMA, ":": COLON, ";": SEMICOLON, "*": STAR, "**": STAR, "lambda": LAMBDA, "->": ARROW}
+#: What a bracket that is not round adds to the depth of brackets, where a round one adds 1; the language nests no more than 200.
+NOT_ROUND = 1000
 _LINE_END = re.compile(r"\r\n|\r|\n")
 
 
+def _name(word: str) -> str:
+    """A name as the language reads it."""
+    return word if word.isascii() else unicodedata.normalize("NFKC", word)
+
+
 def lexed(text: str) -> tuple[np.ndarray, np.ndarray, list[str | None]] | None:
     """Kinds, lines and texts of all tokens of a file in order, comments of their own line among them; null if it does not parse.
 
     Nothing is told of functions here. The text of a token is the literal of a string (of strings side by side as one), the
-    name behind ``def`` or ``class``, a comment, or the first word of an OTHER.
+    name behind ``def`` or ``class``, a comment, or an OTHER as it stands.
     """
     text = text.removeprefix("\ufeff")
     tokens = lex.Tokens(text)
@@ -43,20 +51,19 @@ def lexed(text: str) -> tuple[np.ndarray, np.ndarray, list[str | None]] | None:
     kinds[(kinds == AT) & ~np.isin(last, (NEWLINE, INDENT, DEDENT, SEMICOLON))] = OTHER  # a product, no decorator
     kinds[(kinds == ASYNC) & (following != DEF)] = OTHER
     new = np.ones(len(kinds), bool)
-    new[1:] = (kinds[1:] != kinds[:-1]) | ((kinds[1:] != OTHER) & (kinds[1:] != STRING))
+    new[1:] = (kinds[1:] != STRING) | (kinds[:-1] != STRING)
     at = np.flatnonzero(new)
     ends = np.append(at[1:], len(kinds)) - 1
-    out: list[str | None] = [None] * len(at)
     kept = kinds[at]
-    for n in np.flatnonzero((kept == OTHER) | (kept == STRING) | (kept == DEF) | (kept == CLASS)).tolist():
-        j = at[n]
-        if kept[n] == OTHER:
-            out[n] = words[j]
-        elif kept[n] == STRING:
-            e = ends[n]
-            out[n] = words[j] if e == j else text[starts[j] : starts[e] + len(words[e])]
-        else:
-            out[n] = words[j + 1]
+    says = np.isin(kept, (OTHER, STRING)).tolist()
+    out: list[str | None] = [words[j] if s else None for j, s in zip(at.tolist(), says, strict=True)]
+    for n in np.flatnonzero((kept == DEF) | (kept == CLASS)).tolist():
+        out[n] = _name(words[at[n] + 1])
+    for n in np.flatnonzero(ends != at).tolist():
+        out[n] = text[starts[at[n]] : starts[ends[n]] + len(words[ends[n]])]
+    if not text.isascii():
+        for n in np.flatnonzero(kept == OTHER).tolist():
+            out[n] = _name(words[at[n]])
     places = starts[at]
     if tokens.comments:
         where = np.array([c for c, _ in tokens.comments], np.int64)
@@ -65,8 +72,10 @@ def lexed(text: str) -> tuple[np.ndarray, np.ndarray, list[str | None]] | None:
         places = np.concatenate([places, where])[order]
         out += [c for _, c in tokens.comments]
         out = [out[o] for o in order.tolist()]
-    lines = np.searchsorted(np.array([0, *(m.end() for m in _LINE_END.finditer(text))], np.int64), places, "right")
-    return kept, lines.astype(np.int32), out
+    lines = np.searchsorted(np.array([0, *(m.end() for m in _LINE_END.finditer(text))], np.int64), places, "right").astype(np.int32)
+    behind = np.flatnonzero((kept[1:] == DEF) & (kept[:-1] == ASYNC)) + 1
+    lines[behind] = lines[behind - 1]  # a function begins with its async
+    return kept, lines, out
 
 
 # What says something
@@ -126,7 +135,7 @@ def _documentation(source: pd.Series, name: pd.Series, args: pd.Series) -> pd.Se
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """One row per token of each Python file that parses: its number in the file, kind, line and text."""
+    """One row per token of each Python file that parses: its number in the file, kind, line and text; strings side by side are one."""
     known = one_per_file(files).where((language_of(F.col("rel_path")) == "python") & F.col("content").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +165,10 @@ def documented_functions(tokens: DataFrame) -> DataFrame:
     """``(file_id, qualified_name, start_line, name, doc)`` of each function whose documentation says something.
 
     ``tokens`` are those of ``token_rows``. One exchange hashes them by file and one sort puts them in order; cumulative block
-    and bracket depths, islands of headers and looks ahead are one window over all tokens. What follows works on headers,
-    their colons and parameters, and the openings of blocks alone. A file's tokens come from one text, which bounds a
-    window. Deliveries of a file that are the same count once; null, empty and invalid texts give no rows.
+    and bracket depths, islands of headers and looks around are one window over all tokens. What follows works on headers,
+    their colons and parameters, the openings of blocks and the strings that are whole statements. A file's tokens come from
+    one text, which bounds a window. Deliveries of a file that are the same count once; null, empty and invalid texts give
+    no rows.
     """
     file = Window.partitionBy("file_id").orderBy("i")
     past = file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -172,30 +182,46 @@ def documented_functions(tokens: DataFrame) -> DataFrame:
         "file_id", "i", "k", "line", "w",
         # Block and bracket depth behind each token; headers number the islands of tokens up to the next header.
         F.sum(F.when(k == INDENT, 1).when(k == DEDENT, -1).otherwise(0)).over(past).alias("block"),
-        F.sum(F.when(k.isin(OPEN, ROUND), 1).when(k == CLOSE, -1).otherwise(0)).over(past).alias("bracket"),
+        F.sum(F.when(k == ROUND, 1).when(k == ROUND_CLOSE, -1).when(k == OPEN, NOT_ROUND).when(k == CLOSE, -NOT_ROUND).otherwise(0)).over(past).alias("bracket"),
         F.count(F.when(header, 1)).over(past).alias("island"),
         *(F.lag("k", n).over(file).alias(f"b{n}") for n in (1, 2)),
-        *(F.lead("k", n).over(file).alias(f"a{n}") for n in (1, 2, 3, 4)),
-        *(F.lead("w", n).over(file).alias(f"w{n}") for n in (1, 3)),
+        *(F.lead("k", n).over(file).alias(f"a{n}") for n in (1, 2)),
+        # What stands before the round brackets that open, or close, right before a token.
+        F.last(F.when(k != ROUND, k), ignorenulls=True).over(before).alias("opened"),
+        F.last(F.when(k != ROUND_CLOSE, k), ignorenulls=True).over(before).alias("closed"),
     )
-    colon = (k == COLON) & (F.col("bracket") == 0)
-    named = (k == OTHER) & (F.col("bracket") == 1) & (F.col("b1").isin(ROUND, COMMA) | ((F.col("b1") == STAR) & F.col("b2").isin(ROUND, COMMA)))
-    ends = (NEWLINE, SEMICOLON, END)
+    outside, single = F.col("bracket") == 0, F.col("bracket") == 1
+    colon = (k == COLON) & outside
+    named = (k == OTHER) & single & (F.col("b1").isin(ROUND, COMMA) | ((F.col("b1") == STAR) & F.col("b2").isin(ROUND, COMMA)))
+    begins = (k == STRING) & F.col("opened").isin(COLON, INDENT) & (F.col("bracket") < NOT_ROUND)
+    ends = k.isin(NEWLINE, SEMICOLON, END) & (F.col("closed") == STRING)
+    unnamed = k.isin(COLON, LAMBDA) & (outside | single)
     opens = (F.col("a1") == NEWLINE) & (F.col("a2") == INDENT)
-    # The first string of a body stands below the header, or beside it.
-    source = F.when(opens & (F.col("a3") == STRING) & F.col("a4").isin(*ends), F.col("w3")).when((F.col("a1") == STRING) & F.col("a2").isin(*ends), F.col("w1"))
-    rows = rows.where(header | colon | named | (k == INDENT)).select(
-        "file_id", "i", "k", "line", "w", "block", "island", opens.alias("opens"), source.alias("source"),
-        # A header ends at the first colon outside brackets; names before that are parameters.
-        F.last(F.when(header | (k == COLON), k), ignorenulls=True).over(before).alias("latest"),
+    rows = rows.where(header | unnamed | (k == ARROW) | named | (k == INDENT) | begins | ends).select(
+        "file_id", "i", "k", "line", "w", "block", "bracket", "island", opens.alias("opens"),
+        # Parameters stand before the arrow and the colon of a header, and are no lambda's.
+        F.last(F.when(header | colon | (k == ARROW), k), ignorenulls=True).over(before).alias("latest"),
+        F.last(F.when(header | (k.isin(COLON, LAMBDA) & single), k), ignorenulls=True).over(before).alias("bound"),
         F.last(F.when(header, F.col("w")), ignorenulls=True).over(before).alias("within"),
+        # Every lambda outside brackets has a colon of its own.
+        F.sum(F.when(colon, 1).when((k == LAMBDA) & outside, -1).otherwise(0)).over(past).alias("colons"),
+        # The brackets around a string close right behind it, and then its statement ends.
+        (F.lead("k").over(file).isin(NEWLINE, SEMICOLON, END) & (F.lead("i").over(file) - F.col("i") - 1 == F.col("bracket"))).alias("whole"),
     )
-    first_colon = (k == COLON) & F.col("latest").isin(DEF, CLASS)
-    rows = rows.where(header | first_colon | ((k == OTHER) & (F.col("latest") == DEF)) | (k == INDENT)).select(
-        "file_id", "i", "k", "line", "w", "block", "island", F.when(k == COLON, F.col("source")).alias("source"),
+    parameter = (k == OTHER) & (F.col("latest") == DEF) & (F.col("bound") != LAMBDA)
+    rows = rows.where(header | colon | parameter | (k == INDENT) | ((k == STRING) & F.col("whole")))
+    # A header ends at the first colon outside brackets that is no lambda's.
+    rows = rows.withColumn("ahead", F.last(F.when(header, F.col("colons")), ignorenulls=True).over(past))
+    rows = rows.where((k != COLON) | (F.col("colons") == F.col("ahead") + 1))
+    kb, opened = [F.lag("k", n).over(file) for n in (1, 2)], [F.lag("opens", n).over(file) for n in (1, 2)]
+    # The first string of a body stands below the header, or beside it, with nothing but its brackets before it.
+    first = ((kb[0] == INDENT) & (kb[1] == COLON) & opened[1]) | ((kb[0] == COLON) & kb[1].isin(DEF, OTHER))
+    rows = rows.select(
+        "file_id", "i", "k", "line", "w", "block", "island",
+        F.when((k == STRING) & first & (F.col("i") - F.lag("i").over(file) - 1 == F.col("bracket")), F.col("w")).alias("source"),
         # A block belongs to the header whose colon it follows, or to none.
-        F.when((k == INDENT) & (F.lag("k").over(file) == COLON) & F.lag("opens").over(file), F.col("within")).alias("owner"),
-    )
+        F.when((k == INDENT) & (kb[0] == COLON) & opened[0], F.col("within")).alias("owner"),
+    ).where((k != STRING) | F.col("source").isNotNull())
     # Every header looks up, at each smaller depth, the block that was opened last there: those are the ones around it.
     depths = F.when(header & (F.col("block") > 0), F.sequence(F.lit(1), F.col("block").cast("int"))).when(k == INDENT, F.array(F.col("block").cast("int"))).otherwise(F.array(F.lit(0)))
     lookup = Window.partitionBy("file_id", "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
