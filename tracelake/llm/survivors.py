@@ -1,4 +1,4 @@
-"""One surviving record for each group of duplicates: truth discovery over field values."""
+"""One surviving record for each group of duplicates by declared trust, and truth discovery over field values."""
 
 from __future__ import annotations
 
@@ -43,11 +43,8 @@ def group_members(groups: DataFrame, findings: DataFrame, trust: DataFrame) -> D
 
 
 def claims(members: DataFrame) -> DataFrame:
-    """``(group_id, field, value, source, trust, reported_at, finding_id)``: what each member says of each field.
-
-    Each member also says that it is one, as field and value ''.
-    """
-    said = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS), F.struct(F.lit("").alias("field"), F.lit("").alias("value")))).alias("s")
+    """``(group_id, field, value, source, trust, reported_at, finding_id)``: what each member says of each field."""
+    said = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS))).alias("s")
     return members.select("group_id", "source", "trust", "reported_at", "finding_id", said).select("*", "s.*").drop("s").where(F.col("value").isNotNull())
 
 
@@ -77,7 +74,8 @@ def discover_truth(said: DataFrame, declared: bool = False, rounds: int = 100, t
     ``declared``, voters are the ranks of trust that sources were given (sources of one rank can't be told apart, and those
     without a rank have 0). A value is as strong as its strongest vote: the most reliable voter's, of one voter's the latest
     reported one, then that of the greatest finding. A voter's reliability is its rank plus half the share of its claims
-    that won, so an estimate moves within its rank and never past another: what was declared is a bound, not only a start.
+    that won, so of whole ranks an estimate moves within its own and never past another: what was declared is a bound, not
+    only a start. The values are then those of ``survivors``, which needs no estimates; only the reliabilities are new.
 
     Rounds end when no reliability moves by more than ``tolerance``; ``converged`` tells whether one did not within
     ``rounds``. Votes are counted per voter and value before any join, so however large a group, what moves in a round is
@@ -101,7 +99,7 @@ def discover_truth(said: DataFrame, declared: bool = False, rounds: int = 100, t
     now = votes.join(F.broadcast(weight) if small else weight, "voter")
     if declared:
         return Truth(_strongest(now), weight, k, converged)
-    best = _supports(now).where("field <> ''").groupBy("group_id", "field").agg(F.max(F.struct(F.round("support", DECIMALS).alias("support"), "value")).alias("b"), F.sum("n").alias("claims"))
+    best = _supports(now).groupBy("group_id", "field").agg(F.max(F.struct(F.round("support", DECIMALS).alias("support"), "value")).alias("b"), F.sum("n").alias("claims"))
     return Truth(best.select("group_id", "field", "b.value", "b.support", "claims"), weight, k, converged)
 
 
@@ -113,7 +111,7 @@ def _strongest(now: DataFrame) -> DataFrame:
 
 def _agreement(now: DataFrame, best: DataFrame) -> DataFrame:
     """``(voter, reliability)``: the rank and half the share of claims that won."""
-    j = now.where("field <> ''").join(best.select("group_id", "field", F.col("value").alias("won")), ["group_id", "field"])
+    j = now.join(best.select("group_id", "field", F.col("value").alias("won")), ["group_id", "field"])
     share = F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)) / F.sum("n")
     heard = j.groupBy("voter").agg((F.col("voter").cast("double") + share / 2).alias("estimate"))
     return now.select("voter").distinct().join(heard, "voter", "left").select("voter", F.coalesce("estimate", F.col("voter").cast("double")).alias("reliability"))
@@ -126,19 +124,19 @@ def _supports(now: DataFrame) -> DataFrame:
 
 
 def _mean_support(now: DataFrame) -> DataFrame:
-    s = _supports(now.where("field <> ''")).select("group_id", "field", "value", "support")
+    s = _supports(now).select("group_id", "field", "value", "support")
     return now.join(s, ["group_id", "field", "value"]).groupBy("voter").agg((F.sum(F.col("n") * F.col("support")) / F.sum("n")).alias("reliability"))
 
 
 def survivors(groups: DataFrame, findings: DataFrame, trust: DataFrame) -> DataFrame:
     """``(group_id, severity, confidence, cwe, fixed_in)`` of each group with two or more existing members.
 
-    Every field is settled on its own by ``discover_truth`` within the declared ranks of trust; '' if no member has a value.
+    Every field is settled on its own by the best member that has a value for it: of the highest declared trust, then
+    reported last, then of the greatest id; '' if none has one. That order leaves nothing open, so nothing is estimated.
     Null or unknown sources have trust 0 and a null ``reported_at`` is earliest. Repeated groups, members and findings count
     once (of findings that share an id the one reported last counts); null ids and members that never arrived do not
     count. Empty inputs give an empty result; columns beyond those used are ignored.
     """
-    won = discover_truth(claims(group_members(groups, findings, trust)), declared=True).values
-    picks = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS]
-    merged = won.groupBy("group_id").agg(F.max(F.when(F.col("field") == "", F.col("claims"))).alias("members"), *picks)
-    return merged.where("members >= 2").select("group_id", *(F.coalesce(f, F.lit("")).alias(f) for f in FIELDS))
+    best = [F.max(F.when(F.col(f).isNotNull(), F.struct("trust", "reported_at", "finding_id", f))).alias(f) for f in FIELDS]
+    merged = group_members(groups, findings, trust).groupBy("group_id").agg(F.count("*").alias("members"), *best)
+    return merged.where("members >= 2").select("group_id", *(F.coalesce(F.col(f)[f], F.lit("")).alias(f) for f in FIELDS))
